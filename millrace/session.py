@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,21 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context (they need not have it on their path)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    staging = Path(tempfile.mkdtemp(prefix="millrace-"))
+    shutil.copytree(root, staging / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(staging / "millrace_pkg"), "zip", staging / "src"))
+    sc._millrace_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """One parquet table; ``columns`` prunes early so that the scan's ReadSchema is explicit."""
+    ship_package(spark)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
 
