@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import copies, mixing, residue, survivor, tokens
+from millrace.llm import canonical, copies, mixing, residue, survivor, tokens
 from millrace.session import table
 
 
@@ -13,6 +13,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.find_copies(table(spark, sf_dir, "people", ["id", "company_id", "name", "title"]))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "people", ["id", "data_source", "sector", "primary_expertise", "matched_inferred_expertise_topics"])
+    return canonical.find_terms(people, table(spark, sf_dir, "reference_terms"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.find_survivors(table(spark, sf_dir, "people", ["id", "company_id", "name", "title", "updated_at", *survivor.FIELDS]))
 
@@ -36,7 +41,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report_shares(documents, table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 #: None of these is expressible in SQL (automata, BPE, learned precedence); tests compare them with brute force.
 SQL: dict[str, str] = {}
