@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical, copies, mixing, residue, survivor, tokens
+from millrace.llm import canonical, copies, mixing, residue, subjects, survivor, tokens
 from millrace.session import table
 
 
@@ -41,7 +41,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report_shares(documents, table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return subjects.find_subjects(documents, table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_examples"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 #: None of these is expressible in SQL (automata, BPE, learned precedence); tests compare them with brute force.
 SQL: dict[str, str] = {}
