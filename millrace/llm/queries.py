@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import canonical, copies, mixing, residue, subjects, survivor, tokens
+from millrace.llm import canonical, copies, mixing, residue, spellings, subjects, survivor, tokens
 from millrace.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.find_spellings(table(spark, sf_dir, "people", spellings.READ_COLUMNS))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.find_copies(table(spark, sf_dir, "people", ["id", "company_id", "name", "title"]))
 
@@ -46,7 +50,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.find_subjects(documents, table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_examples"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 #: None of these is expressible in SQL (automata, BPE, learned precedence); tests compare them with brute force.
 SQL: dict[str, str] = {}
