@@ -105,6 +105,12 @@ def name_words(text: str) -> list[str]:
     return [w for w in _LETTERS.findall(fold(text)) if w not in TITLES and w not in SUFFIXES]
 
 
+@lru_cache(maxsize=100_000)
+def _near_given(word: str, given_names: frozenset[str]) -> bool:
+    """Whether a word may be a given name with slips."""
+    return len(word) > 3 and any(g[0] in word[:2] and len(g) > 3 and edits(word, g, 1) <= 1 for g in given_names)
+
+
 def split_name(name: str | None, places: tuple[str, ...] = (), given_names: frozenset[str] = frozenset()) -> tuple[str, str, str]:
     """(given, middle, surname) of a name as typed, folded; parts that are missing are empty."""
     if not name:
@@ -127,9 +133,10 @@ def split_name(name: str | None, places: tuple[str, ...] = (), given_names: froz
         return "", "", words[0]
     known = lambda w: w in given_names or w in FULL_FORMS or w in NICKNAMES
     if len(words[0]) > 2 and not known(words[0]):
+        near = lambda w: known(w) or _near_given(w, given_names)
         # Surname first: a given name, an initial or a cut form comes behind it.
         cut_last = re.search(rf"\b{words[-1]}\.", fold(text)) is not None and len(words[-1]) <= 4
-        if len(words) > 2 and (known(words[1]) or known(words[-1]) or len(words[-1]) == 1):
+        if len(words) > 2 and near(words[1]) and not near(words[0]):
             return words[1], " ".join(words[2:]), words[0]
         if len(words) == 2 and (known(words[1]) or len(words[1]) == 1 or cut_last):
             return words[1], "", words[0]
@@ -231,7 +238,7 @@ def read_person(name: str | None, email: str | None, phone: str | None, image: s
         if s and not best_surname and (close(s, surname) or given and close(s, given)):
             # The name as typed may have its parts the other way round.
             best_surname = s
-            if not close(s, surname) and close(g, surname):
+            if not close(s, surname):
                 given, surname = surname, given
         agrees = g and (not given or g[0] == given[0] and len(given) == 1 or close(g, given) or g in given_forms(given) or given in NICKNAMES.get(g, "").split() or len(given) == 3 and g.startswith(given))
         if agrees and len(g) > 1 and len(best_given) < 2 and (not s or best_surname and close(s, best_surname)):

@@ -136,7 +136,7 @@ def minhash_bands(name: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return keys(name)
 
 
-def _likeness(a: Column, b: Column) -> Column:
+def name_likeness(a: Column, b: Column) -> Column:
     """Likeness of two name words: by edits, 1 if equal, and 0.95 for an initial or a cut form."""
     longest = F.greatest(F.length(a), F.length(b))
     shortest = F.least(F.length(a), F.length(b))
@@ -171,13 +171,14 @@ def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     keys = F.concat(minhash_bands(F.concat_ws(" ", "given", "surname")), F.filter(F.array(short, *exact), lambda k: k.isNotNull()))
     known = F.col("given").isin(*lexicon) if lexicon else F.lit(False)
     full = nodes.withColumn("known", known)
-    buckets = full.select("company_id", "node", F.explode(F.array_distinct(keys)).alias("key"))
-    meetings = buckets.alias("x").join(buckets.alias("y"), (F.col("x.company_id") == F.col("y.company_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    # The company is part of the key, so that a bucket is one number.
+    buckets = full.select("node", F.explode(F.transform(F.array_distinct(keys), lambda k: F.xxhash64("company_id", k))).alias("key"))
+    meetings = buckets.alias("x").join(buckets.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
     pairs = meetings.select(F.col("x.node").alias("n1"), F.col("y.node").alias("n2")).distinct()
     both = pairs.join(full.alias("p"), F.col("n1") == F.col("p.node")).join(full.alias("q"), F.col("n2") == F.col("q.node"))
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    surname, given = _likeness(p("surname"), q("surname")), _likeness(p("given"), q("given"))
-    crossed = (_likeness(p("surname"), q("given")) + _likeness(p("given"), q("surname"))) / 2
+    surname, given = name_likeness(p("surname"), q("surname")), name_likeness(p("given"), q("given"))
+    crossed = (name_likeness(p("surname"), q("given")) + name_likeness(p("given"), q("surname"))) / 2
     monge_elkan = F.greatest((surname + given) / 2, crossed)
     same_id = _agree(p("number"), q("number")) | _agree(p("page"), q("page"))
     mailbox, title, city = _agree(p("mailbox"), q("mailbox")), _agree(p("title_key"), q("title_key")), _agree(p("city"), q("city"))
@@ -215,9 +216,10 @@ def star_cluster(links: DataFrame) -> DataFrame:
 
 
 def resolve_people(people: DataFrame) -> DataFrame:
-    """(id, company_id, words, person): the person that each row with a real name stands for."""
+    """(id, company_id, words, person): the person that each row with a real name stands for; ``words`` is a hash of the
+    words of the name in order."""
     lexicon = given_names(people)
-    read = read_people(people, lexicon).withColumn("node", F.xxhash64("company_id", "given", "surname", "weak"))
+    read = read_people(people, lexicon).withColumn("node", F.xxhash64("company_id", "given", "surname", "weak")).drop("weak").withColumn("words", F.xxhash64("words"))
     read = checkpoint(read)
     centers = star_cluster(link_nodes(make_nodes(read), lexicon))
     rows = read.select("id", "company_id", "node", "words").join(centers, "node", "left")
@@ -225,9 +227,13 @@ def resolve_people(people: DataFrame) -> DataFrame:
 
 
 def find_spellings(people: DataFrame) -> DataFrame:
-    """(id_a, id_b): all pairs of rows of one company that stand for one person under different names."""
-    rows = checkpoint(resolve_people(people).select("person", "id", F.xxhash64("words").alias("w")))
-    several = rows.groupBy("person").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b").select("person")
-    kept = rows.join(several, "person", "left_semi")
-    pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.person") == F.col("y.person")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.w") != F.col("y.w")))
-    return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    """(id_a, id_b): all pairs of rows of one company that stand for one person under different names.
+
+    The spellings of a person are paired first, so that rows of one spelling never meet and every comparison is a result.
+    """
+    rows = checkpoint(resolve_people(people).select("person", "id", F.col("words").alias("w")))
+    spellings = rows.select("person", "w").distinct()
+    two = spellings.alias("x").join(spellings.alias("y"), (F.col("x.person") == F.col("y.person")) & (F.col("x.w") < F.col("y.w"))).select("x.person", F.col("x.w").alias("w"), F.col("y.w").alias("v"))
+    first = two.join(rows, ["person", "w"]).select("person", "v", F.col("id").alias("i"))
+    pairs = first.join(rows.withColumnRenamed("w", "v"), ["person", "v"])
+    return pairs.select(F.least("i", "id").alias("id_a"), F.greatest("i", "id").alias("id_b"))
