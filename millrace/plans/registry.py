@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import training
+from millrace.plans import analytics, training
 
 
 def _modules() -> list:
-    return [training]
+    return [analytics, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

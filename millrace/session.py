@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +49,25 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; it survives the loss of executors."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to the shared folder once, as a columnar table, and go on from there.
+
+    The table survives the loss of executors, later reads prune its columns, and its size is known to the optimiser. It is
+    removed when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_checkpoint_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
 
 
 def estimated_bytes(df: DataFrame) -> int:
