@@ -47,7 +47,7 @@ def rules(columns: set[str], vocabulary: tuple[str, ...] = CATEGORIES, sectors:
     for name, most in (("categories", limits.categories), ("declared", limits.declared), ("inferred", limits.inferred), ("topics", limits.topics)):
         if has(name):
             say(f"{name}_count", "soft", F.size(arr(name)) > most, f"{name} has ", F.size(arr(name)).cast("string"), f" items (max {most})")
-    say("primary_listed", "hard", pe.isNotNull() & (F.size(cats) > 0) & ~F.array_contains(cats, pe), "primary_expertise '", pe, "' not present in categories")
+    say("primary_listed", "hard", pe.isNotNull() & (F.size(cats) > 0) & ~F.coalesce(F.array_contains(cats, pe), F.lit(False)), "primary_expertise '", pe, "' not present in categories")
     if has("reasoning"):
         say("reasoning", "hard", (F.size(inferred) > 0) & blank_to_null(F.col("reasoning")).isNull(), "reasoning is empty but inferred is non-empty")
     if has("evidence_sectors"):

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics, training
+from millrace.plans import analytics, records, training
 
 
 def _modules() -> list:
-    return [analytics, training]
+    return [analytics, records, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
