@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from millrace.llm.persons import SUFFIXES, TITLES, fold, read_person
 from millrace.llm.residue import is_residue
-from millrace.session import checkpoint
+from millrace.session import broadcast_if_small, checkpoint
 
 BANDS, ROWS, Q = 12, 3, 3
 #: Least share of all names in which a given name comes first, so that at most 1 / share words are gathered.
@@ -160,7 +160,13 @@ def make_nodes(read: DataFrame) -> DataFrame:
     """One node per company, name parts and (for initials) everything else, with its weight and identifiers."""
     some = lambda c: F.max(c).alias(c)
     often = lambda c: F.coalesce(F.mode(F.when(F.col(c) != "", F.col(c))), F.lit("")).alias(c)
-    return read.groupBy("node", "company_id", "given", "surname").agg(F.count(F.lit(1)).alias("weight"), some("number"), some("page"), some("network"), some("mailbox"), often("title_key"), often("city"))
+    # The node stands for its parts, so it is the only key: what follows by node needs no further shuffle.
+    return read.groupBy("node").agg(some("company_id"), some("given"), some("surname"), F.count(F.lit(1)).alias("weight"), some("number"), some("page"), some("network"), some("mailbox"), often("title_key"), often("city"))
+
+
+def read_nodes(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """The rows of ``read_people`` with the node they belong to; ``words`` is a hash of the words of the name in order."""
+    return read_people(people, lexicon).withColumn("node", F.xxhash64("company_id", "given", "surname", "weak")).drop("weak").withColumn("words", F.xxhash64("words"))
 
 
 def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
@@ -219,9 +225,8 @@ def resolve_people(people: DataFrame) -> DataFrame:
     """(id, company_id, words, person): the person that each row with a real name stands for; ``words`` is a hash of the
     words of the name in order."""
     lexicon = given_names(people)
-    read = read_people(people, lexicon).withColumn("node", F.xxhash64("company_id", "given", "surname", "weak")).drop("weak").withColumn("words", F.xxhash64("words"))
-    read = checkpoint(read)
-    centers = star_cluster(link_nodes(make_nodes(read), lexicon))
+    read = checkpoint(read_nodes(people, lexicon))
+    centers = broadcast_if_small(checkpoint(star_cluster(link_nodes(make_nodes(read), lexicon))))
     rows = read.select("id", "company_id", "node", "words").join(centers, "node", "left")
     return rows.select("id", "company_id", "words", F.coalesce("center", "node").alias("person"))
 
