@@ -60,6 +60,9 @@ NAME_PHRASES = (
     "sample person", "test test", "test user", "test person", "sample name", "john doe", "jane doe", "max mustermann", "erika mustermann", "vorname nachname", "prénom nom", "nom prénom", "nombre apellido", "nombre apellidos", "team member", "staff member", "name", "n.n", "unknown", "nan", "null", "none", "request blocked", "just a second", "just a moment", "checking your browser", "session expired",
 )
 
+# Phrases that are also names of people.
+ALSO_NAMES = frozenset(("ray", "gone", "reference", "apache", "words"))
+
 _IDENT = r"[A-Za-z_][A-Za-z0-9_.]*"
 _TAGS = "p|br|b|i|u|a|em|strong|span|div|li|ul|ol|noscript|script|style|h[1-6]|td|tr|table|img|hr|sup|sub|small|html|body|head|title|section|article|header|footer|nav|main|font|center"
 #: Unfilled placeholders in the notations of common template languages.
@@ -82,7 +85,8 @@ def automaton(names: bool) -> ahocorasick.Automaton:
     """Automaton over all phrases; ``names`` adds those that are residue only where a name is expected."""
     out = ahocorasick.Automaton()
     for phrase in SCRIPT_PHRASES + ERROR_PHRASES + FILLER_PHRASES + (NAME_PHRASES if names else ()):
-        out.add_word(phrase, len(phrase))
+        if not (names and phrase in ALSO_NAMES):
+            out.add_word(phrase, len(phrase))
     out.make_automaton()
     return out
 

@@ -40,7 +40,7 @@ def _is_filler(c: Column) -> Column:
 
 def usable_email(c: Column) -> Column:
     low = F.lower(_plain(c))
-    return low.rlike(r"^[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}$") & ~F.split_part(low, F.lit("@"), F.lit(1)).isin(*SHARED_MAILBOXES) & ~low.rlike(r"^x+@|@x+\.")
+    return low.rlike(r"^[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}$") & ~F.split_part(low, F.lit("@"), F.lit(1)).isin(*SHARED_MAILBOXES) & ~low.rlike(r"^x{3,}@|@x{3,}\.")
 
 
 def usable_phone(c: Column) -> Column:
