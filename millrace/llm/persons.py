@@ -32,7 +32,7 @@ for _full, _short in NICKNAMES.items():
 
 _SPECIAL = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "œ": "oe", "ı": "i"})
 _LETTERS = re.compile(r"[a-z]+")
-_CAPITALISED = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
+_CAPITALISED = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÞŠŽŁŚŻŹČĆĐ][^\W\d_]*(?:[’'-][^\W\d_]+)*")
 _SLUG = re.compile(r"/([^/?#]+)/?(?:[?#].*)?$")
 
 
@@ -79,25 +79,39 @@ def close(a: str, b: str) -> bool:
     return a == b or longest >= 3 and edits(a, b, 1 if longest < 5 else 2) <= (1 if longest < 5 else 2)
 
 
+_PASTED = re.compile(r"(\bPh\.?D\.?|\b[JS]r\.?|\bM\.?B\.?A\.?|\bC\.?F\.?A\.?|\bF\.?C\.?A\.?|LL\.?M\.?|J\.D\.|\))(?=[A-ZÀ-Þ][^\W\d_A-Z]).*$")
+_DEGREE = re.compile(r"\b(?:J\.\s?D\.?|LL\.\s?[MB]\.?|Ph\.?\s?D\.?)(?=\W|$|[A-Z])", re.I)
+_MEET = re.compile(r"(?<=[a-zß-ÿ.)])\s*Meet\s+\S+.*$")
+_MEET_LOW = re.compile(r"(?<=\w)meet\s+\S+\s*$")
+_GLUE = re.compile(r"(?<=[a-zß-ÿ)])(?=[A-ZÀ-Þ])")
+_PREFIX = re.compile(r"\b(?:Mc|Mac|De|Di|Le|La|Van|O)$")
+_DEGREE_SIGNS = ("ph", "jr", "sr", "ba", "fa", "ca", "ll", "j.", ")")
+
+
 def clean_name(name: str, places: tuple[str, ...] = ()) -> str:
     """The name without quotes, invisible marks, degrees and pasted-on text ('NamePlaceMeet Name')."""
-    text = "".join(" " if c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "Zs") else c for c in name)
-    # Text pasted on behind a degree, a full stop or a bracket, without a blank.
-    text = re.sub(r"(\bPh\.?D\.?|\b[JS]r\.?|\bM\.?B\.?A\.?|\bC\.?F\.?A\.?|\bF\.?C\.?A\.?|LL\.?M\.?|J\.D\.|\))(?=[A-ZÀ-Þ][^\W\d_A-Z]).*$", r"\1", text)
-    text = re.sub(r"\b(?:J\.\s?D\.?|LL\.\s?[MB]\.?|Ph\.?\s?D\.?)(?=\W|$|[A-Z])", " ", text, flags=re.I)
-    text = re.sub(r"(?<=[a-zß-ÿ.)])\s*Meet\s+\S+.*$", "", text)
-    text = re.sub(r"meet\s+\S+\s*$", "", text) if re.search(r"\wmeet\s+\S+\s*$", text) else text
+    text = name
+    if not (text.isascii() and text.isprintable()):
+        text = "".join(" " if c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "Zs") else c for c in name)
+    low = text.lower()
+    if any(d in low for d in _DEGREE_SIGNS):
+        # Text pasted on behind a degree, a full stop or a bracket, without a blank.
+        text = _DEGREE.sub(" ", _PASTED.sub(r"\1", text))
+    if "meet" in low:
+        text = _MEET_LOW.sub("", _MEET.sub("", text))
     # A capital right after a small letter begins pasted-on text, unless it is the whole name without its blank.
-    glued = re.search(r"(?<=[a-zß-ÿ)])(?=[A-ZÀ-Þ])", text)
-    if glued and glued.start() > 3 and not re.search(r"\b(?:Mc|Mac|De|Di|Le|La|Van|O)$", text[: glued.start()]):
+    glued = _GLUE.search(text)
+    if glued and glued.start() > 3 and not _PREFIX.search(text[: glued.start()]):
         text = text[: glued.start()] + (" " if " " not in text[: glued.start()].strip() else " \u0000") + text[glued.start() :]
         text = text.split("\u0000")[0]
-    low = fold(text)
-    for place in places:
-        at = low.rfind(place)
-        if place and at > 3 and low[at - 1].isalnum() and len(low.rstrip(" .,|*;·-\"'")) == at + len(place):
-            text = text[:at]
-            break
+    if places:
+        low = fold(text)
+        bare = len(low.rstrip(" .,|*;·-\"'"))
+        for place in places:
+            at = low.rfind(place)
+            if at > 3 and low[at - 1].isalnum() and bare == at + len(place):
+                text = text[:at]
+                break
     return text
 
 
@@ -111,15 +125,19 @@ def _near_given(word: str, given_names: frozenset[str]) -> bool:
     return len(word) > 3 and any(g[0] in word[:2] and len(g) > 3 and edits(word, g, 1) <= 1 for g in given_names)
 
 
+_HYPHEN = re.compile(r"([^\W\d_]+)[-‐]([^\W\d_]+)")
+
+
 def split_name(name: str | None, places: tuple[str, ...] = (), given_names: frozenset[str] = frozenset()) -> tuple[str, str, str]:
     """(given, middle, surname) of a name as typed, folded; parts that are missing are empty."""
     if not name:
         return "", "", ""
     text = clean_name(name, places)
-    text = re.sub(r"\([^()]*\)", " ", text)
+    if "(" in text:
+        text = re.sub(r"\([^()]*\)", " ", text)
     before, comma, after = text.partition(",")
-    first, rest = name_words(re.sub(r"[-–—]\s*$", "", before).replace("-", "-")), name_words(after)
-    hyphen = re.search(r"([^\W\d_]+)[-‐]([^\W\d_]+)", before)
+    first, rest = name_words(before), name_words(after)
+    hyphen = _HYPHEN.search(before) if "-" in before or "‐" in before else None
     if hyphen:  # a double surname counts by its first part
         second = fold(hyphen[2])
         if second in first and len(first) > 1:
@@ -159,6 +177,7 @@ def slug_of(url: str | None, own: bool = True) -> str:
     return m[1] if m else ""
 
 
+@lru_cache(maxsize=100_000)
 def slug_name(slug: str) -> tuple[str, str]:
     """(given, surname) as a slug spells them."""
     parts = [p for p in fold(slug).split("-") if p]
@@ -204,14 +223,16 @@ def name_in_text(text: str | None, given: str, surname: str, given_names: frozen
     """(given, surname) as a running text spells them, found by nearness to the name as typed."""
     if not text:
         return "", ""
-    words = _CAPITALISED.findall(text)
-    found_given = ""
-    for i, w in enumerate(words):
-        if not w[0].isupper() or len(w) < 2:
+    found_given, before, end = "", "", -9
+    for m in _CAPITALISED.finditer(text):
+        w = m.group()
+        beside = before if m.start() - end <= 3 and not any(c.isalpha() for c in text[end : m.start()]) else ""
+        before, end = w, m.end()
+        if len(w) < 2:
             continue
         f = fold(w)
-        if surname and len(f) >= 3 and i and words[i - 1][0].isupper() and close(f, surname):
-            g = fold(words[i - 1])
+        if surname and beside and len(f) >= 3 and close(f, surname):
+            g = fold(beside)
             if not given or g[0] == given[0] or close(g, given) or g in given_forms(given) or given in NICKNAMES.get(g, "").split():
                 return g, f
         if not found_given and given and (f in NICKNAMES or f in given_names) and (f in given_forms(given) or given in NICKNAMES.get(f, "").split() or (f.startswith(given) if len(given) <= 4 else close(f, given))):
@@ -219,13 +240,18 @@ def name_in_text(text: str | None, given: str, surname: str, given_names: frozen
     return found_given, ""
 
 
+@lru_cache(maxsize=100_000)
+def _places(location: str) -> tuple[str, ...]:
+    return tuple(p for p in (fold(x).strip() for x in re.split(r"[,(]", location)) if len(p) > 2)
+
+
 def read_person(name: str | None, email: str | None, phone: str | None, image: str | None, profile_url: str | None, twitter_url: str | None, linkedin_url: str | None, bio: str | None, location: str | None, given_names: frozenset[str] = frozenset()) -> dict[str, str]:
     """Name parts as best known from all fields, and the identifiers of the record.
 
     ``given`` and ``surname`` are taken from the own page, the other addresses, the text or the mailbox where these agree
     with the name as typed up to slips; ``hinted`` tells that they were.
     """
-    places = tuple(p for p in (fold(x).strip() for x in re.split(r"[,(]", location or "")) if len(p) > 2)
+    places = _places(location) if location else ()
     given, middle, surname = split_name(name, places, given_names)
     slugs = [slug_of(u) for u in (profile_url, twitter_url, linkedin_url)]
     mailbox = own_mailbox(email)

@@ -138,9 +138,8 @@ def is_residue(text: str | None, names: bool = False) -> bool:
     if has_placeholder(text):
         return True
     low = _TAG.sub(" ", text).lower().replace(" ", " ").replace("’", "'")
-    if not names:
-        if next(automaton(False).iter(low), None) is None and not any(w in low for w in ("lorem", "ipsum", "dolor", "adipiscing", "eiusmod", "tempor", "nostrud", "magna")):
-            return False
+    if next(automaton(names).iter(low), None) is None and not any(w in low for w in ("lorem", "ipsum", "dolor", "adipiscing", "eiusmod", "tempor", "nostrud", "magna")):
+        return False
     for sentence in [low] if names else _SENTENCE_END.split(low):
         sentence = " ".join(sentence.split())
         if sentence and covered_share(sentence, names) >= COVERAGE:

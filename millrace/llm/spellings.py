@@ -15,7 +15,9 @@ order give no pair; a hot person's rows are joined by key only (AQE splits them)
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,13 +50,18 @@ def given_names(people: DataFrame, share: float = GIVEN_SHARE) -> frozenset[str]
     return frozenset(fold(r["word"]) for r in rows)
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+@lru_cache(maxsize=100_000)
 def title_key(title: str | None) -> str:
     """The first letters of the words of a title, sorted: the same for reordered and shortened titles."""
     if not title:
         return ""
-    return " ".join(sorted({w[:3] for w in "".join(c if c.isalnum() else " " for c in fold(title)).split() if w not in ("of", "the", "and")}))
+    return " ".join(sorted({w[:3] for w in _WORD.findall(fold(title)) if w not in ("of", "the", "and")}))
 
 
+@lru_cache(maxsize=100_000)
 def city_key(location: str | None) -> str:
     """The first part of a place."""
     if not location:
@@ -88,16 +95,7 @@ def read_people(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
 
 
 def _words(name: str) -> list[str]:
-    out, word = [], []
-    for c in name.lower():
-        if c.isalnum():
-            word.append(c)
-        elif word:
-            out.append("".join(word))
-            word = []
-    if word:
-        out.append("".join(word))
-    return out
+    return _WORD.findall(name.lower())
 
 
 def padded_grams(words: list[str], q: int = Q) -> set[str]:
@@ -117,20 +115,18 @@ def minhash_bands(name: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
         a, b = seeds[0] | np.uint64(1), seeds[1]
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for names in batches:
-            out = []
-            for n in names:
-                grams = padded_grams(n.split())
-                if not grams:
-                    out.append([])
-                    continue
-                x = np.array([zlib.crc32(g.encode()) for g in grams], dtype=np.uint64)
+            out: list[list[int]] = []
+            for at in range(0, len(names), 2000):
+                grams = [padded_grams(n.split()) or {""} for n in names.iloc[at : at + 2000]]
+                sizes = np.array([len(g) for g in grams])
+                x = np.array([zlib.crc32(g.encode()) for gs in grams for g in gs], dtype=np.uint64)
                 h = (x[:, None] * a[None, :] + b[None, :]) >> np.uint64(20)
-                low = h.min(axis=0).reshape(bands, rows)
-                mixed = salt.copy()
+                low = np.minimum.reduceat(h, np.cumsum(sizes) - sizes, axis=0).reshape(len(grams), bands, rows)
+                mixed = np.tile(salt, (len(grams), 1))
                 for r in range(rows):
-                    mixed = (mixed ^ low[:, r]) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ low[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
                     mixed ^= mixed >> np.uint64(29)
-                out.append(mixed.view(np.int64).tolist())
+                out += [m if "" not in g else [] for m, g in zip(mixed.view(np.int64).tolist(), grams)]
             yield pd.Series(out, dtype=object)
 
     return keys(name)

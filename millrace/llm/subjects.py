@@ -403,7 +403,10 @@ def train(documents: DataFrame, subject_areas: DataFrame, subject_examples: Data
     """Fit on the driver, on bounded inputs: the examples table and WEAK_DOCUMENTS documents in the order of a hash."""
     areas = sorted(r[0] for r in subject_areas.select("subject").where("subject is not null").collect())
     examples = [(r[0], r[1]) for r in subject_examples.where("text is not null and subject is not null").orderBy("example_id").select("text", "subject").limit(MAX_EXAMPLES).collect()]
-    sample = documents.where("text is not null").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(WEAK_DOCUMENTS)
+    # Filtered by the hash first, so that no partition sends more than its share of the bound to the driver.
+    scale, total = 1 << 30, max(1, documents.count())
+    near = documents.where("text is not null").select("text", F.xxhash64("doc_id").alias("h")).where(F.pmod("h", F.lit(scale)) < min(scale, int(1.2 * scale * WEAK_DOCUMENTS / total) + 1))
+    sample = near.orderBy("h").limit(WEAK_DOCUMENTS)
     return fit_subjects(examples, [r[0] for r in sample.select("text").collect()], areas)
 
 
