@@ -66,24 +66,44 @@ def letter_bound(a: Column, b: Column) -> Column:
     return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
+#: Letters from rare to frequent in names, so that prefixes of sorted letters are selective (any fixed order is exact).
+_RARE_FIRST = "jzqxkvbywgpfmucdlhrsnioate "
+
+
+def meeting_keys(name: Column) -> Column:
+    """Keys of which two names share one if their sequence ratio can reach 0.80 or one is the other's nickname.
+
+    A ratio of 0.80 asks for 0.4 (la + lb) common letters, and the shorter name has two thirds of the longer one's length,
+    so at least two thirds of the letters of either name are common (counted with repetition). Sorted in one order, the
+    first third (and one) of the letters of both must then meet. Nicknames share the last name and three letters.
+    """
+    letters = F.split(F.translate(name, _RARE_FIRST, "abcdefghijklmnopqrstuvwxyz{"), "")
+    counted = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    prefix = F.slice(F.array_sort(counted), F.lit(1), (F.length(name) - F.ceil(F.length(name) * 2 / 3) + 1).cast("int"))
+    nick = F.concat(F.lit("n:"), F.element_at(F.split(name, " "), -1), F.lit("|"), F.left(name, F.lit(3)))
+    return F.array_append(prefix, nick)
+
+
 def match_roster(people: DataFrame, roster: DataFrame) -> DataFrame:
     """(id, profile_id, tier, ratio): the roster entry of each person of the same company.
 
     ``people``: id, company_id, name, title. ``roster``: profile_id, company_id, name, headline, pos. An exact or nickname hit
-    wins, the first in roster order; else the best sequence ratio of 0.88, or 0.80 with a supporting title. Pairs meet by
-    company and last name or by company and first letters; length and letter bounds, which lose no pair above 0.80, come
-    before the ratio.
+    wins, the first in roster order; else the best sequence ratio of 0.88, or 0.80 with a supporting title. Names meet by
+    keys that lose no pair above 0.80 (see ``meeting_keys``); length and letter bounds come before the ratio.
     """
-    p = people.select("id", "company_id", "title", norm_name(fold("name")).alias("n"))
-    r = roster.select("profile_id", "company_id", "headline", "pos", norm_name(fold("name")).alias("m"))
-    # Equality of a letter-count class is implied by no threshold, so the join is on the company alone; AQE splits hot ones.
-    pairs = p.join(r, "company_id").where((F.col("n") != "") & (F.col("m") != ""))
+    p = people.select("id", "company_id", "title", norm_name(fold("name")).alias("n")).where("n <> ''")
+    r = roster.select("profile_id", "company_id", "headline", "pos", norm_name(fold("name")).alias("m")).where("m <> ''")
+    keyed_p = p.select("id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("n")))).alias("key"))
+    keyed_r = r.select("profile_id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("m")))).alias("key"))
+    met = keyed_p.join(keyed_r, ["company_id", "key"]).select("id", "profile_id").distinct()
+    pairs = met.join(p, "id").join(r.drop("company_id"), "profile_id")
     sure = (F.col("n") == F.col("m")) | is_nickname(F.col("n"), F.col("m"))
     shortest, both = F.least(F.length("n"), F.length("m")), F.length("n") + F.length("m")
     likely = sure | ((2.0 * shortest / both >= RATIO_WITH_TITLE) & (letter_bound(F.col("n"), F.col("m")) >= RATIO_WITH_TITLE))
     scored = pairs.where(likely).withColumn("sure", sure).withColumn("ratio", F.when(F.col("sure"), 1.0).otherwise(sequence_ratio("n", "m")))
-    order = Window.partitionBy("id").orderBy(F.desc("sure"), F.when(F.col("sure"), 0.0).otherwise(-F.col("ratio")), "pos")
-    best = scored.withColumn("r", F.row_number().over(order)).where("r = 1")
+    # One row per person is wanted, so an aggregate does (partial before the shuffle) instead of a window.
+    order = F.struct(F.col("sure").cast("int").alias("s"), F.when(F.col("sure"), 1.0).otherwise(F.col("ratio")).alias("q"), (-F.col("pos")).alias("p"), (-F.col("profile_id")).alias("f"))
+    best = scored.groupBy("id").agg(F.max_by(F.struct("profile_id", "sure", "ratio", "title", "headline"), order).alias("b")).select("id", "b.*")
     ok = F.col("sure") | (F.col("ratio") >= RATIO) | ((F.col("ratio") >= RATIO_WITH_TITLE) & title_supports(F.col("title"), F.coalesce("headline", F.lit(""))))
     return best.where(ok).select("id", "profile_id", F.when(F.col("sure"), "exact").when(F.col("ratio") >= RATIO, "ratio").otherwise("title").alias("tier"), "ratio")
 

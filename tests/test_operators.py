@@ -126,6 +126,34 @@ def test_roster_match(spark):
     assert resolve.match_roster(people.limit(0), roster).count() == 0
 
 
+def test_roster_match_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    first, last = ["rob", "robert", "ann", "anna", "hannah", "jo", "joan", "johan"], ["harding", "hardin", "smith", "smyth", "li", "lee", "oneill", "oneil"]
+    name = lambda: f"{rng.choice(first)} {rng.choice(last)}"
+    people = [(i, i % 3, name(), None) for i in range(60)]
+    roster = [(100 + i, i % 3, name(), None, i) for i in range(40)]
+
+    def nickname(a, b):
+        x, y = a.split(), b.split()
+        return x[-1] == y[-1] and min(len(x[0]), len(y[0])) >= 3 and (x[0].startswith(y[0]) or y[0].startswith(x[0]))
+
+    want = {}
+    for i, c, n, _ in people:
+        own = [r for r in roster if r[1] == c]
+        sure = next((r for r in own if r[2] == n or nickname(n, r[2])), None)
+        if sure:
+            want[i] = sure[0]
+            continue
+        scored = [(difflib.SequenceMatcher(None, n, r[2]).ratio(), -r[4], r[0]) for r in own]
+        if scored and max(scored)[0] >= resolve.RATIO:
+            want[i] = max(scored)[2]
+    p = spark.createDataFrame(people, "id long, company_id long, name string, title string")
+    r = spark.createDataFrame(roster, "profile_id long, company_id long, name string, headline string, pos long")
+    assert {x["id"]: x["profile_id"] for x in resolve.match_roster(p, r).collect()} == want
+
+
 def test_letter_bound_never_below_ratio(spark):
     words = ["anna", "hannah", "smith", "smythe", "lee", "ellee", "x", "abcabc"]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", resolve.letter_bound(F.col("a"), F.col("b")).alias("bound"), sequence_ratio("a", "b").alias("r"))
