@@ -64,10 +64,10 @@ def validate_categories(df: DataFrame, column: str, intruders: list[str], vocabu
     Exact names and aliases are looked up in literal maps; only the remaining distinct values reach the Python UDF.
     """
     low = F.lower(F.trim("value"))
-    exact = F.create_map(*[F.lit(x) for v in vocabulary for x in (v.lower(), v)])
-    other = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k, v)])
+    exact = {v.lower(): v for v in vocabulary}
+    lookup = lambda m: F.create_map(*[F.lit(x) for k, v in m.items() for x in (k, v)])[low] if m else F.lit(None).cast("string")
     items = df.select(key, F.explode(column).alias("value")).where("value is not null").where(~low.isin([i.lower() for i in intruders]) if intruders else F.lit(True))
-    known = items.withColumn("category", F.coalesce(exact[low], other[low])).withColumn("how", F.when(exact[low].isNotNull(), "exact").when(other[low].isNotNull(), "alias"))
+    known = items.withColumn("category", F.coalesce(lookup(exact), lookup(aliases))).withColumn("how", F.when(lookup(exact).isNotNull(), "exact").when(lookup(aliases).isNotNull(), "alias"))
     open_ = known.where("category is null").select("value").distinct().withColumn("near", close_match(list(vocabulary))("value"))
     joined = known.join(open_, "value", "left")
     return joined.select(key, "value", F.coalesce("category", "near").alias("category"), F.coalesce("how", F.when(F.col("near").isNotNull(), "fuzzy").otherwise("rejected")).alias("how"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.functions.udfs import fold
-from millrace.operators import classify, export, ingest, pages, quality, resolve
+from millrace.operators import analytics, classify, export, ingest, pages, quality, resolve
 from millrace.session import table
 
 # A small keyword map for the topics of the test tables; real maps are files (classify.load_keyword_map).
@@ -93,7 +93,52 @@ def _team_links(s, d):
     return c.select("page_id", "url", F.posexplode(entries).alias("pos", "e")).select("page_id", "url", "pos", "e.href", "e.text", "e.context")
 
 
+def taxonomy_hints(s, d):
+    """First letters of a person's functional terms, by a mapping made from the reference list."""
+    mapping = table(s, d, "reference_terms").where("kind = 'functional'").select(F.col("term").alias("tag"), F.left("term", F.lit(1)).alias("category"))
+    return classify.taxonomy_hints(_p(s, d), mapping, "inferred_expertise_functional", skip=("Cyber",)).select("id", F.array_join("hints", ",").alias("hints"))
+
+
+def firm_mentions(s, d):
+    """People whose text names a telling word of their firm."""
+    firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), fold("name").alias("firm"))
+    texts = _p(s, d).where("bio is not null").select("id", "company_id", fold("bio").alias("t"))
+    return texts.join(firms, "company_id").where(resolve.firm_in_text(F.col("firm"), F.col("t"))).select("id")
+
+
+def cascade_match(s, d):
+    """Profiles by address first; of the rest by name within the firm."""
+    profiles = table(s, d, "roster_profiles")
+    firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), F.lower("name").alias("firm"))
+    roster = profiles.withColumn("firm", F.lower("company_name")).join(firms, "firm").select("profile_id", "company_id", F.concat_ws(" ", "first_name", "last_name").alias("name"), "headline", F.col("profile_id").alias("pos"))
+    people = _p(s, d).select("id", "company_id", "name", "title", "linkedin_url")
+    return resolve.cascade(people, [lambda left: resolve.match_addresses(left, profiles), lambda left: resolve.match_roster(left, roster)])
+
+
+def unified_results(s, d):
+    """Results of people and of profiles in one form."""
+    a = _p(s, d).select(F.lit("people").alias("origin"), "id", F.col("primary_expertise").alias("label"), F.size(F.coalesce("matched_inferred_expertise_topics", F.array())).alias("items"))
+    b = table(s, d, "roster_profiles").select(F.lit("profile").alias("origin"), F.col("profile_id").alias("id"), F.col("current_title").alias("label"), F.size(F.coalesce(t.split_list(F.col("skills"), "•"), F.array())).alias("items"))
+    return a.unionByName(b)
+
+
+def retry_steps(s, d):
+    """Rows each repetition would touch in every company."""
+    people = _p(s, d)
+    modes = F.filter(F.array(*[F.when(F.coalesce(ingest.choose_rows(m), F.lit(False)), F.lit(m)) for m in ("reanalyze", "analyze_missing", "reresolve", "backfill")]), lambda x: x.isNotNull())
+    return people.select("company_id", F.explode(modes).alias("mode")).groupBy("company_id", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "taxonomy_hints": taxonomy_hints,
+    "firm_mentions": firm_mentions,
+    "cascade_match": cascade_match,
+    "unified_results": unified_results,
+    "retry_steps": retry_steps,
+    "job_companies": lambda s, d: analytics.jobs_with_companies(table(s, d, "jobs"), _c(s, d)).select("job_id", F.size(F.coalesce("companies", F.array())).alias("n_companies")),
+    "event_windows": lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("decimal(28,6)").alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total"),
+    "rendered_people": lambda s, d: classify.render_person(_p(s, d)).select("id", F.length("rendered").alias("length")),
+    "category_check": lambda s, d: classify.validate_categories(_p(s, d).select("id", F.array("primary_expertise").alias("c")), "c", [], tuple(r[0] for r in table(s, d, "reference_terms").where("kind = 'expertise'").orderBy("term_id").select("term").collect()), {}).groupBy("how").agg(F.count(F.lit(1)).alias("n")),
     "existing_urls": lambda s, d: ingest.existing_urls(_requested(s, d), _c(s, d)),
     "new_urls": lambda s, d: ingest.new_urls(_requested(s, d), _c(s, d)),
     "upsert_plan": lambda s, d: ingest.upsert_plan(_requested(s, d), _c(s, d), _c(s, d).where("status = 'completed'")),
@@ -139,6 +184,14 @@ _VALID = """with v as (select list(term) as vocab from reference_terms where kin
  pe is not null and len(cats) > 0 and not list_contains(cats, pe) as r5, len(cats) = 0 as r6, pe is null as r7 from q) """
 
 SQL = {
+    "taxonomy_hints": """with x as (select distinct p.id, left(r.term, 1) as c from (select id, unnest(inferred_expertise_functional) as tag from people) p join reference_terms r on r.term = p.tag and r.kind = 'functional' where p.tag <> 'Cyber')
+ select id, string_agg(c, ',' order by c) as hints from x group by 1""",
+    "unified_results": """select 'people' as origin, id, primary_expertise as label, cast(len(coalesce(matched_inferred_expertise_topics, [])) as int) as items from people union all
+ select 'profile', profile_id, current_title, cast(len(list_filter(list_transform(string_split(coalesce(skills, ''), '•'), lambda x: trim(x, ' ')), lambda x: x <> '')) as int) from roster_profiles""",
+    "retry_steps": """select company_id, mode, count(*) as n from (select company_id, 'reanalyze' as mode from people union all select company_id, 'analyze_missing' from people where primary_expertise is null
+ union all select company_id, 'reresolve' from people where linkedin_url is null union all select company_id, 'backfill' from people where primary_expertise is not null and (sector is null or sector = '')) group by 1, 2""",
+    "job_companies": "select j.id as job_id, cast(count(c.id) as int) as n_companies from jobs j left join companies c on c.job_id = j.id group by 1",
+    "event_windows": "select cast(ts as date) as day, event_type, count(*) as n, cast(sum(cast(value as decimal(18,6))) as decimal(28,6)) as total from events group by 1, 2",
     "existing_urls": f"select r.url from ({_REQ}) r where {_NORM.format('r.url')} in (select {_NORM.format('url')} from companies)",
     "new_urls": f"select distinct {_NORM.format('r.url')} as url from ({_REQ}) r where {_NORM.format('r.url')} not in (select {_NORM.format('url')} from companies)",
     "upsert_plan": f"""with l as (select id, n from (select id, {_NORM.format('url')} as n, row_number() over (partition by {_NORM.format('url')} order by created_at desc, id) as r from companies) where r = 1),
