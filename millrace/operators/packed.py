@@ -145,22 +145,26 @@ def choose_delimiters(scores: DataFrame, candidates=CANDIDATES, max_sources: int
     return {None: taken(total)} | {s: taken(v) for s, v in seen.items() if s is not None}
 
 
-def values_of(df: DataFrame, cell: str, source: str, terms: list[str], delimiters: dict[str | None, str], is_array: bool = False) -> Column:
-    """Array of values of the column; sources with the same choice share one expression."""
+def splitter(source: str, terms: list[str], delimiters: dict[str | None, str]):
+    """Function of a cell column to its values, by the delimiters of the row's source; equal choices share one branch."""
     by_choice: dict[str, list[str]] = {}
     for s, choice in delimiters.items():
         if s is not None and choice != delimiters[None]:
             by_choice.setdefault(choice, []).append(s)
 
-    def split(c: Column, separators: str) -> Column:
-        if not is_array:
-            return split_values(c, separators, terms)
-        return F.flatten(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: split_values(x, separators, terms)))
+    def split(cell: Column) -> Column:
+        out = split_values(cell, delimiters[None], terms)
+        for choice, sources in by_choice.items():
+            out = F.when(F.col(source).cast("string").isin(sources), split_values(cell, choice, terms)).otherwise(out)
+        return out
 
-    out = split(F.col(cell), delimiters[None])
-    for choice, sources in by_choice.items():
-        out = F.when(F.col(source).cast("string").isin(sources), split(F.col(cell), choice)).otherwise(out)
-    return out
+    return split
+
+
+def values_of(df: DataFrame, cell: str, source: str, terms: list[str], delimiters: dict[str | None, str], is_array: bool = False) -> Column:
+    """Array of the values of the column (of all elements of an array, null elements left out)."""
+    split = splitter(source, terms, delimiters)
+    return F.flatten(F.transform(F.filter(cell, lambda x: x.isNotNull()), split)) if is_array else split(F.col(cell))
 
 
 def infer_for(people: DataFrame, field: str, terms: list[str], source: str = "data_source") -> dict[str | None, str]:
@@ -198,9 +202,10 @@ def unpack_values(people: DataFrame, reference_terms: DataFrame, fields: dict[st
         values = values_of(people, field, "data_source", terms, choice, is_array)
         if packed_only:
             if is_array:
-                values = F.when(F.exists(F.filter(field, lambda x: x.isNotNull()), lambda x: F.size(split_values(x, choice[None], terms)) > 1), values)
+                split = splitter("data_source", terms, choice)
+                values = F.when(F.exists(F.filter(field, lambda x: x.isNotNull()), lambda x: F.size(split(x)) > 1), values)
             else:
-                values = F.when(F.col(field).rlike(choice[None]), values)
+                values = F.when(F.col(field).rlike("|".join(dict.fromkeys(choice.values()))), values)
         structs.append(F.struct(F.lit(field).alias("field_name"), values.alias("items")))
     cells = people.select("id", F.inline(F.array(*structs))).where(F.col("items").isNotNull())
     if packed_only:
@@ -208,4 +213,4 @@ def unpack_values(people: DataFrame, reference_terms: DataFrame, fields: dict[st
     return cells.select("id", "field_name", F.posexplode("items").alias("p", "item")).select("id", "field_name", (F.col("p") + 1).cast("int").alias("item_pos"), "item")
 
 
-__all__ = ["Delimiter", "CANDIDATES", "unpack_values", "split_values", "score_delimiters", "choose_delimiters", "values_of", "infer_for", "terms_by_kind"]
+__all__ = ["Delimiter", "CANDIDATES", "unpack_values", "split_values", "splitter", "score_delimiters", "choose_delimiters", "values_of", "infer_for", "terms_by_kind"]
