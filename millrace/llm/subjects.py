@@ -40,6 +40,8 @@ EXAMPLE_WEIGHT = 10.0
 #: A sentence whose remark score is above this is a passing remark.
 REMARK = 0.5
 CONFIDENT = 0.6
+#: A sentence also has its best area from this probability on if it is so many times that of the second.
+CLEAR, CLEAR_RATIO = 0.2, 3.0
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 # Stray runs pasted into texts: other scripts, symbols, private marks, repeated letters, test strings.
@@ -234,8 +236,15 @@ class SubjectModel:
             return [GENERAL]
         p, remark = self.sentence_scores(sentences)
         p = p[remark <= REMARK]
-        found = [a for a, best, t in zip(self.areas, p.max(axis=0), self.thresholds) if best >= t] if len(p) else []
-        return found or [GENERAL]
+        if not len(p):
+            return [GENERAL]
+        best = p.max(axis=0)
+        if len(self.areas) > 1:
+            # A sentence that is far nearer to one area than to any other has it below the threshold too.
+            first, second = np.sort(p, axis=1)[:, [-1, -2]].T
+            for i in np.flatnonzero((first >= CLEAR) & (first >= CLEAR_RATIO * second)):
+                best[p[i].argmax()] = 1.0
+        return [a for a, b, t in zip(self.areas, best, self.thresholds) if b >= t] or [GENERAL]
 
 
 class _Rows:
