@@ -183,7 +183,19 @@ _VALID = """with v as (select list(term) as vocab from reference_terms where kin
  r as (select id, coalesce(not list_contains(vocab, pe), false) as r1, len(list_filter(cats, lambda c: not list_contains(vocab, c))) > 0 as r2, len(cats) > 4 as r3, len(topics) > 20 as r4,
  pe is not null and len(cats) > 0 and not list_contains(cats, pe) as r5, len(cats) = 0 as r6, pe is null as r7 from q) """
 
+_LABEL = "translate(string_split(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', ''), '.')[1], '-_', '  ')"
+_DOMAIN = f"array_to_string(list_transform(string_split({_LABEL}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+def _line(label, c):
+    return f"case when nullif({c}, '') is not null then '{label}: ' || {c} end"
+
+
 SQL = {
+    "domain_name": f"select id, {_DOMAIN} as domain_name from companies",
+    "search_name": f"select id, case when regexp_matches(name, '[ \\p{{Lu}}]') then name else coalesce(nullif({_DOMAIN}, ''), name, url, '') end as search_name from companies",
+    "rendered_people": "select id, cast(length(concat_ws(chr(10), " + ", ".join([_line("Name", "name"), _line("Title", "title"), _line("Department", "department"), _line("Bio", "left(bio, 500)"), _line("Topics", "array_to_string(list_slice(matched_inferred_expertise_topics, 1, 20), ', ')")]) + ")) as int) as length from people",
+    "best_team_link": "select id as page_id, team_url as href, case when lower(team_url) like '%/our-people%' then 11 when lower(team_url) like '%/team%' or lower(team_url) like '%/people%' then 10 else 7 end as score from companies where team_url is not null",
     "taxonomy_hints": """with x as (select distinct p.id, left(r.term, 1) as c from (select id, unnest(inferred_expertise_functional) as tag from people) p join reference_terms r on r.term = p.tag and r.kind = 'functional' where p.tag <> 'Cyber')
  select id, string_agg(c, ',' order by c) as hints from x group by 1""",
     "unified_results": """select 'people' as origin, id, primary_expertise as label, cast(len(coalesce(matched_inferred_expertise_topics, [])) as int) as items from people union all
