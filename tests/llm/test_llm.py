@@ -286,6 +286,27 @@ def test_matches_by_address_are_found(spark, data):
     assert crossmatch.find_matches(people.limit(0), table(spark, d, "companies"), profiles.limit(0)).count() == 0
 
 
+def test_slips_in_the_first_word_of_a_firm(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 9))) for _ in range(60)} | {"boltama", "kulbiratonsevalfordwick"})
+    slips = sorted({f[:i] + rng.choice("abcd") * rng.randrange(3) + f[i + rng.randrange(3) :] for f in words for i in (0, 2, len(f) - 1)} | {"boltmaa", "kulbiratonsevalfordwikc", "other"})
+    firms, asked = ([w + rng.choice(("", " capital", " cap", " group")) for w in ws] for ws in (words, slips))
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "employer string")
+    pairs = frame(firms).select(F.col("employer").alias("a"), F.xxhash64("employer").alias("h")).crossJoin(frame(asked).select(F.col("employer").alias("b")))
+    want = {(r["h"], r["b"]) for r in pairs.where(crossmatch._same_firm(F.col("a"), F.col("b"))).collect()}
+    got = [(f, r["employer"]) for r in crossmatch.near_firms(frame(firms), frame(asked)).collect() for f in r["firms"]]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_profiles_of_misspelt_firms_meet_people(spark):
+    people = people_df(spark, [{"id": 1, "company_id": 1, "name": "Simon Holmugeford"}, {"id": 2, "company_id": 2, "name": "Simon Holmugeford"}])
+    companies = spark.createDataFrame([(1, "Boltama Capital", "https://boltama.example"), (2, "Gulkeki Chambers", "https://gulkeki.example")], "id long, name string, url string")
+    schema = ", ".join(f"{c} {'long' if c == 'profile_id' else 'string'}" for c in crossmatch.PROFILE_COLUMNS)
+    rows = [(7, "S.", "Holmugeford", None, None, "Boltmaa Capital", None, None, None), (8, "S.", "Holmugeford", None, None, "Kulbbae", None, None, None)]
+    got = {(r["id"], r["profile_id"]) for r in crossmatch.find_matches(people, companies, spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 7)}
+
+
 def test_no_core_module_imports_llm():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "millrace").rglob("*.py"):
