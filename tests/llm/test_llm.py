@@ -307,6 +307,24 @@ def test_profiles_of_misspelt_firms_meet_people(spark):
     assert got == {(1, 7)}
 
 
+def test_index_recall_of_slipped_surnames(spark):
+    """Pairs of one firm with a slip in the surname, no address and unequal names, all of which the rerank would accept."""
+    people = table(spark, "/root/testdata/sf0.01", "people")
+    names = sorted({tuple(r["name"].lower().split()) for r in people.collect() if r["name"] and re.fullmatch("[A-Z][a-z]+ [A-Z][a-z]{5,}", r["name"])})
+    rng, pairs = random.Random(3), []
+    for given, w in names:
+        i, x = rng.randrange(1, len(w)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        slip = rng.choice([w[:i] + w[i + 1 :], w[:i] + x + w[i + 1 :], w[:i] + x + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])
+        if slip != w:
+            pairs.append((given, w, slip))
+    record = lambda given, surname: {a: "" for a in crossmatch.ATTRIBUTES} | {"given": given, "surname": surname, "name": f"{given} {surname}", "employer": "boltama"}
+    sides = [[record(p[0], p[k]) for p in pairs] for k in (1, 2)]
+    frequencies = crossmatch.token_frequencies(spark.createDataFrame(sides[0] + sides[1]))
+    model = crossmatch.train_vectors(sides[0][: crossmatch.SAMPLE_RECORDS], frequencies)
+    left, right = (model.table_keys({a: [r[a] for r in side] for a in crossmatch.ATTRIBUTES}, [[1]] * len(side)) for side in sides)
+    assert len(pairs) > 300 and sum(bool(set(x) & set(y)) for x, y in zip(left, right)) >= 0.9 * len(pairs)
+
+
 def test_no_core_module_imports_llm():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "millrace").rglob("*.py"):
