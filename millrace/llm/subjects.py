@@ -43,9 +43,12 @@ CONFIDENT = 0.6
 #: A sentence also has its best area from this probability on if it is so many times that of the second.
 CLEAR, CLEAR_RATIO = 0.2, 3.0
 
+# Addresses and code that get pasted into prose.
+_SCRAP = r"(?:https?://|www\.)(?:\S*[^\s.,;:!?)\"”’])?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:if|for|while) ?\([^()\n]{0,80}[<>=;][^()\n]{0,80}\) ?\{[^{}\n]{0,200}\}|<\|\w{1,30}\|>"
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 # Stray runs pasted into texts: other scripts, symbols, private marks, repeated letters, test strings.
-_STRAY = re.compile(r"\s?(?:\[(?:PAD|UNK|MASK)\]|#{2,}|0123456789[\d ,.]*|(?:[^\W\d_])\1{7,}|[​-‏‪-‮⁠﻿­￼�]+|[^\x00-ɏ–—‘’“”„…•€« »·]+)+\s?".replace(r"(?:[^\W\d_])\1{7,}", "A{8,}"))
+_STRAY = re.compile(rf"\s?(?:{_SCRAP}|" + r"\[(?:PAD|UNK|MASK)\]|#{2,}|0123456789[\d ,.]*|(?:[^\W\d_])\1{7,}|[​-‏‪-‮⁠﻿­￼�]+|[^\x00-ɏ–—‘’“”„…•€« »·]+)+\s?".replace(r"(?:[^\W\d_])\1{7,}", "A{8,}"))
+_SCRAPS = re.compile(_SCRAP)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s”\"]+|[\r\n]+|\s\.\.\.\s?|\s…\s?")
 _CONTACT = re.compile(r"\S@\S+\.\S|https?://|www\.")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|für|mit|ein|eine|seit|um|zu|zum|rund|davor|ist|sind|von|im)\b")
@@ -60,9 +63,14 @@ def readings(sentence: str) -> list[str]:
 
 
 def is_metadata(line: str) -> bool:
-    """A line of the page's furniture: roster entry, job title, breadcrumb or heading."""
+    """A line of the page's furniture: roster entry, job title, breadcrumb, heading, or contact line that is no sentence.
+
+    Pasted scraps don't count, so that prose around an address or code is still prose.
+    """
+    contact = _CONTACT.search(line)
+    line = _SCRAPS.sub(" ", line)
     words = _WORD.findall(line)
-    if len(words) < 3 or _CONTACT.search(line):
+    if len(words) < 3 or contact and not (len(words) >= 5 and _ENDS.search(line.rstrip())):
         return True
     if re.search(r"\s[—|>]\s|\s-\s.*\s-\s", line) and len(words) < 16:
         return True

@@ -205,6 +205,15 @@ def test_subject_edges(spark, data):
 
 # --- 1 spellings -------------------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("scrap", ["https://www.site.example/a?b=1&c=%20x", "jane.doe@site.example", "if (x > 0) { return y; }"])
+def test_scraps_pasted_into_prose_keep_the_sentence(scrap):
+    plain = "Recent projects include reinforced cranes and the tunnel boring drive."
+    pasted = plain.replace("cranes", f"cr {scrap} anes")
+    assert subjects.sentences_of(pasted) == [pasted] and plain in subjects.readings(pasted)
+    for line in (f"Jane Doe | {scrap}", f"Write to {scrap}", "Jane Doe, Partner, jane.doe@site.example", "Home > People > Jane Doe", "Find the office at https://www.site.example/a"):
+        assert subjects.sentences_of(line) == []
+
+
 def test_name_parts():
     given = frozenset(["ann", "simon", "paula"])
     for name, want in [("Köhn, A", ("a", "kohn")), ("Dr. Simon Håkan PhD", ("simon", "hakan")), ("Tolgobainez Simon J.", ("simon", "tolgobainez")), ("Simon BrônDallasMeet Simon", ("simon", "bron")), ("Ann Roe-Tóth Jr.", ("ann", "roe")), ("", ("", "")), (None, ("", ""))]:
