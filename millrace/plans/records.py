@@ -72,13 +72,22 @@ _ROSTER_SQL = """with p as (select id, company_id, lower(trim(name)) as n from p
 
 
 def nickname_pairs(s, d):
-    """Rows of one company with equal last names whose first names begin each other."""
+    """Rows of one company with equal last names whose first names begin each other.
+
+    Only names of two plain words, which is what the SQL twin can follow; ``nickname_pairs_all`` takes all names.
+    """
     p = _p(s, d).where(F.col("name").rlike(r"^[A-Za-z]+ [A-Za-z]+$")).select("id", "company_id", F.lower("name").alias("n")).withColumn("last", F.element_at(F.split("n", " "), -1))
     a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.id") < F.col("b.id")))
     return pairs.where(resolve.is_nickname(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
+def nickname_pairs_all(s, d):
+    """The pairs of all names, whatever their form. No SQL twin: folding and cleaning names can't be told in it."""
+    p = _p(s, d).select("id", "company_id", resolve.norm_name(fold("name")).alias("n")).where("n <> ''")
+    return resolve.nickname_pairs(p)
+
+
 def roster_match(s, d):
     """People against the profiles of their own company (by the firm's name as written)."""
     firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), F.lower("name").alias("firm"))
@@ -168,6 +177,7 @@ QUERIES = {
     "qa_issue_counts": lambda s, d: quality.issue_histogram(_validated(s, d)),
     "qa_failed": lambda s, d: quality.select_issues(_validated(s, d), status="failed", kind="taxonomy_violation").select("id"),
     "nickname_pairs": nickname_pairs,
+    "nickname_pairs_all": nickname_pairs_all,
     "roster_match": roster_match,
     "slug_fits": lambda s, d: _p(s, d).where("linkedin_url like '%/in/%' and name is not null").select("id", fold(F.regexp_extract("linkedin_url", "/in/([^/?#]+)", 1)).alias("s"), fold("name").alias("n")).select("id", resolve.slug_fits(F.col("s"), F.col("n")).alias("fits")),
     "address_match": lambda s, d: resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")),

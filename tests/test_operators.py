@@ -3,6 +3,7 @@
 import difflib
 import json
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -263,3 +264,23 @@ def test_incremental_append_is_idempotent(spark, tmp_path):
 def test_export(spark):
     people = spark.createDataFrame([(1, 1, "Zoe Ó Neil", "https://x/a.PNG?1"), (2, 1, "Ann Lee", "https://x/b")], "id long, company_id long, name string, image_url string")
     assert {(r["id"], r["file_name"]) for r in export.photo_names(people).collect()} == {(1, "002_Zoe_Neil.png"), (2, "001_Ann_Lee.jpg")}
+
+
+def test_nickname_pairs_of_all_names(spark, tmp_path):
+    from millrace.plans import records
+
+    names = ["Tim O'Brien", "Timothy J. O'Brien", "Dr. Tim O'Brien", "José María Núñez", "Jose Nunez", "Joseph Nunez, PhD", "Jo Nunez", "Ann-Marie Smith", "Ann Smith Jr.", "Anna  Smith", "Smith", None, "", "Chris Lee", "Christopher Lee"]
+    rows = [(i, i % 2 if n and "Lee" in n else 1, n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "id long, company_id long, name string").write.parquet(str(tmp_path / "people.parquet"))
+
+    def tokens(n):
+        low = unicodedata.normalize("NFKD", n or "").encode("ascii", "ignore").decode().lower()
+        low = re.sub(rf"^\s*(?:{resolve.NAME_PREFIXES})\.?\s+", "", low)
+        return re.sub(r"[^a-z]+", " ", re.sub(rf"\s+(?:{resolve.NAME_SUFFIXES})\.?\s*$", "", low)).split()
+
+    def nick(x, y):
+        return len(x) > 1 and len(y) > 1 and x[-1] == y[-1] and min(len(x[0]), len(y[0])) >= 3 and (x[0].startswith(y[0]) or y[0].startswith(x[0]))
+
+    want = {(a, b) for a, c, n in rows for b, e, m in rows if a < b and c == e and nick(tokens(n), tokens(m))}
+    got = [tuple(r) for r in records.nickname_pairs_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {(0, 1), (0, 2), (3, 4), (7, 8)} <= want
