@@ -107,7 +107,7 @@ def match_roster(people: DataFrame, roster: DataFrame) -> DataFrame:
     keyed_p = p.select("id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("n")))).alias("key"))
     keyed_r = r.select("profile_id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("m")))).alias("key"))
     met = keyed_p.join(keyed_r, ["company_id", "key"]).select("id", "profile_id").distinct()
-    pairs = met.join(p, "id").join(r.drop("company_id"), "profile_id")
+    pairs = met.join(p, "id").join(r.drop("company_id").distinct(), "profile_id")
     sure = (F.col("n") == F.col("m")) | is_nickname(F.col("n"), F.col("m"))
     shortest, both = F.least(F.length("n"), F.length("m")), F.length("n") + F.length("m")
     likely = sure | ((2.0 * shortest / both >= RATIO_WITH_TITLE) & (letter_bound(F.col("n"), F.col("m")) >= RATIO_WITH_TITLE))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.functions.udfs import fold
-from millrace.operators import analytics, classify, export, ingest, pages, quality, resolve
+from millrace.operators import analytics, classify, export, firms, ingest, pages, quality, resolve
 from millrace.session import table
 
 # A small keyword map for the topics of the test tables; real maps are files (classify.load_keyword_map).
@@ -89,12 +89,16 @@ def nickname_pairs_all(s, d):
 
 
 def roster_match(s, d):
-    """People against the profiles of their own company (by the firm's name as written)."""
-    firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), F.lower("name").alias("firm"))
-    roster = table(s, d, "roster_profiles").withColumn("firm", F.lower("company_name")).join(firms, "firm").select("profile_id", "company_id", F.concat_ws(" ", "first_name", "last_name").alias("name"), "headline", F.col("profile_id").alias("pos"))
+    """People against the profiles of their own company (see ``firms.company_roster``)."""
+    roster = firms.company_roster(_c(s, d), table(s, d, "roster_profiles")).where("company_id is not null")
     return resolve.match_roster(_p(s, d).select("id", "company_id", "name", "title"), roster)
 
 
+def roster_without_company(s, d):
+    """Profiles whose firm is no company of the table."""
+    return firms.company_roster(_c(s, d), table(s, d, "roster_profiles")).where("company_id is null").select("profile_id")
+
+
 def _team_links(s, d):
     """Links of the companies' own pages, with the text the page would show."""
     c = _c(s, d).where("team_url is not null").select(F.col("id").alias("page_id"), "url", "team_url")
@@ -110,16 +114,15 @@ def taxonomy_hints(s, d):
 
 def firm_mentions(s, d):
     """People whose text names a telling word of their firm."""
-    firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), fold("name").alias("firm"))
+    named = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), fold("name").alias("firm"))
     texts = _p(s, d).where("bio is not null").select("id", "company_id", fold("bio").alias("t"))
-    return texts.join(firms, "company_id").where(resolve.firm_in_text(F.col("firm"), F.col("t"))).select("id")
+    return texts.join(named, "company_id").where(resolve.firm_in_text(F.col("firm"), F.col("t"))).select("id")
 
 
 def cascade_match(s, d):
     """Profiles by address first; of the rest by name within the firm."""
     profiles = table(s, d, "roster_profiles")
-    firms = _c(s, d).where("name is not null").select(F.col("id").alias("company_id"), F.lower("name").alias("firm"))
-    roster = profiles.withColumn("firm", F.lower("company_name")).join(firms, "firm").select("profile_id", "company_id", F.concat_ws(" ", "first_name", "last_name").alias("name"), "headline", F.col("profile_id").alias("pos"))
+    roster = firms.company_roster(_c(s, d), profiles).where("company_id is not null")
     people = _p(s, d).select("id", "company_id", "name", "title", "linkedin_url")
     return resolve.cascade(people, [lambda left: resolve.match_addresses(left, profiles), lambda left: resolve.match_roster(left, roster)])
 
@@ -179,6 +182,7 @@ QUERIES = {
     "nickname_pairs": nickname_pairs,
     "nickname_pairs_all": nickname_pairs_all,
     "roster_match": roster_match,
+    "roster_without_company": roster_without_company,
     "slug_fits": lambda s, d: _p(s, d).where("linkedin_url like '%/in/%' and name is not null").select("id", fold(F.regexp_extract("linkedin_url", "/in/([^/?#]+)", 1)).alias("s"), fold("name").alias("n")).select("id", resolve.slug_fits(F.col("s"), F.col("n")).alias("fits")),
     "address_match": lambda s, d: resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")),
     "enrichment_merge": lambda s, d: resolve.apply_profiles(_p(s, d), resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")), table(s, d, "roster_profiles")),

@@ -302,7 +302,7 @@ def test_slips_in_the_first_word_of_a_firm(spark):
     firms, asked = ([w + rng.choice(("", " capital", " cap", " group")) for w in ws] for ws in (words, slips))
     frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "employer string")
     pairs = frame(firms).select(F.col("employer").alias("a"), F.xxhash64("employer").alias("h")).crossJoin(frame(asked).select(F.col("employer").alias("b")))
-    want = {(r["h"], r["b"]) for r in pairs.where(crossmatch._same_firm(F.col("a"), F.col("b"))).collect()}
+    want = {(r["h"], r["b"]) for r in pairs.where(crossmatch.same_firm(F.col("a"), F.col("b"))).collect()}
     got = [(f, r["employer"]) for r in crossmatch.near_firms(frame(firms), frame(asked)).collect() for f in r["firms"]]
     assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.functions.udfs import close_match, fold, join_url, sequence_ratio, set_query_param
-from millrace.operators import classify, export, ingest, normalise, packed, pages, quality, resolve
+from millrace.operators import classify, export, firms, ingest, normalise, packed, pages, quality, resolve
 from millrace.sources import lists, sinks
 from millrace.streaming import incremental
 
@@ -284,3 +284,19 @@ def test_nickname_pairs_of_all_names(spark, tmp_path):
     want = {(a, b) for a, c, n in rows for b, e, m in rows if a < b and c == e and nick(tokens(n), tokens(m))}
     got = [tuple(r) for r in records.nickname_pairs_all(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and {(0, 1), (0, 2), (3, 4), (7, 8)} <= want
+
+
+def test_roster_of_firms_written_otherwise(spark, tmp_path):
+    from millrace.plans import records
+
+    companies = [(1, "Boltama Capital", "https://boltama.example"), (2, None, "https://www.gulkeki-chambers.example/"), (3, "Kulbe Group", "https://kulbe.example")]
+    people = [(i, i, f"Person{'abc'[i - 1] * 3} Holmu", "CFO", None) for i in (1, 2, 3)]
+    firm = {11: "The BoltamaCapital Ltd", 12: "Boltmaa Capital", 13: "boltama", 14: None, 21: "Gulkeki Chambers LLP", 31: "Kulbe Group", 41: "Otherwise Works", 42: None}
+    profiles = [(k, f"Person{'abcd'[k // 10 - 1] * 3}", "Holmu", f if k != 14 else None, "CFO @ Boltama Capital" if k == 14 else None, None, None) for k, f in firm.items()]
+    for name, rows, schema in (("companies", companies, "id long, name string, url string"), ("people", people, "id long, company_id long, name string, title string, linkedin_url string"), ("roster_profiles", profiles, "profile_id long, first_name string, last_name string, company_name string, headline string, about string, linkedin_url string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    roster = firms.company_roster(*(spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("companies", "roster_profiles")))
+    assert {(r["profile_id"], r["company_id"]) for r in roster.collect()} == {(11, 1), (12, 1), (13, 1), (14, 1), (21, 2), (31, 3), (41, None), (42, None)}
+    assert {(r["id"], r["profile_id"]) for r in records.roster_match(spark, str(tmp_path)).collect()} == {(1, 11), (2, 21), (3, 31)}
+    assert {(r["id"], r["profile_id"], r["step"]) for r in records.cascade_match(spark, str(tmp_path)).collect()} == {(1, 11, 1), (2, 21, 1), (3, 31, 1)}
+    assert {r[0] for r in records.roster_without_company(spark, str(tmp_path)).collect()} == {41, 42}
