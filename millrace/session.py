@@ -61,6 +61,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reread(parts: list[DataFrame]) -> DataFrame:
+    """Checkpointed tables of one schema as one scan: the plan stays small however many there are."""
+    paths = sorted({f.rpartition("/")[0] for p in parts for f in p.inputFiles()})
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths) if paths else parts[0]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
