@@ -9,7 +9,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from millrace.llm.survivor import FILLER_WORDS, SHARED_MAILBOXES
+from millrace.llm.survivor import FILLER_WORDS, SHARED_MAILBOXES, STOCK_IMAGE
 
 # What stands before and after names, and short forms of given names.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame lord lady hon rev".split())
@@ -33,6 +33,9 @@ for _full, _short in NICKNAMES.items():
 _SPECIAL = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "œ": "oe", "ı": "i"})
 _LETTERS = re.compile(r"[a-z]+")
 _CAPITALISED = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÞŠŽŁŚŻŹČĆĐ][^\W\d_]*(?:[’'-][^\W\d_]+)*")
+_LINE = re.compile(r"\s*\+?[\d\s().-]+$")
+_SWITCHBOARD = re.compile(r"\s0\s*$|[-.\s]$")
+_NO_DIGIT = re.compile(r"\D+")
 _SLUG = re.compile(r"/([^/?#]+)/?(?:[?#].*)?$")
 
 
@@ -208,17 +211,6 @@ def mailbox_name(local: str) -> tuple[str, str]:
     return "", ""
 
 
-def person_number(phone: str | None, image: str | None) -> str:
-    """The number in a personal telephone line or portrait file, which one person keeps; empty if neither has one."""
-    if image and (m := re.search(r"/p/0*(\d+)(?:[_@.-]|$)", image)):
-        return m[1]
-    if phone:
-        digits = re.sub(r"\D", "", phone)
-        if re.fullmatch(r"\+?[\d\s().-]+", phone.strip()) and not re.search(r"\s0\s*$", phone) and len(digits) >= 12 and len(set(digits)) > 1:
-            return digits[-7:].lstrip("0")
-    return ""
-
-
 def name_in_text(text: str | None, given: str, surname: str, given_names: frozenset[str] = frozenset()) -> tuple[str, str]:
     """(given, surname) as a running text spells them, found by nearness to the name as typed."""
     if not text:
@@ -245,34 +237,63 @@ def _places(location: str) -> tuple[str, ...]:
     return tuple(p for p in (fold(x).strip() for x in re.split(r"[,(]", location)) if len(p) > 2)
 
 
+_SIZE = re.compile(r"[@_-](?:\d+x(?:\d+)?|small|large|thumb|crop|square|web|\d)$")
+_STOCK = re.compile(STOCK_IMAGE)
+
+
+def own_line(phone: str | None) -> str:
+    """The digits of a personal telephone line without the marks of a foreign call; empty for masked, cut and office lines."""
+    if not phone or not _LINE.match(phone) or _SWITCHBOARD.search(phone):
+        return ""
+    digits = _NO_DIGIT.sub("", phone).lstrip("0")
+    return digits if len(digits) >= 9 and len(set(digits)) > 2 else ""
+
+
+def own_portrait(image: str | None) -> str:
+    """The file of a portrait without its ending and size; empty for stock pictures."""
+    if not image or "/" not in image or _STOCK.search(image):
+        return ""
+    stem = image.strip().split("?")[0].rstrip("/").lower().rpartition("/")[2].rpartition(".")[0]
+    return _SIZE.sub("", stem) if len(stem) > 3 else ""
+
+
+def _fits(g: str, given: str) -> bool:
+    """Whether ``g`` may be the given name as typed: equal up to slips, a short form of it or its other way round, or what an initial or a cut form begins."""
+    return not given or g[0] == given[0] and len(given) == 1 or close(g, given) or g in given_forms(given) or given in NICKNAMES.get(g, "").split() or len(given) == 3 and g.startswith(given)
+
+
 def read_person(name: str | None, email: str | None, phone: str | None, image: str | None, profile_url: str | None, twitter_url: str | None, linkedin_url: str | None, bio: str | None, location: str | None, given_names: frozenset[str] = frozenset()) -> dict[str, str]:
     """Name parts as best known from all fields, and the identifiers of the record.
 
     ``given`` and ``surname`` are taken from the own page, the other addresses, the text or the mailbox where these agree
-    with the name as typed up to slips; ``hinted`` tells that they were.
+    with the name as typed up to slips; ``hinted`` tells that they were. The text is read only where the addresses leave a
+    part open.
     """
-    places = _places(location) if location else ()
-    given, middle, surname = split_name(name, places, given_names)
-    slugs = [slug_of(u) for u in (profile_url, twitter_url, linkedin_url)]
-    mailbox = own_mailbox(email)
-    out = {"given": given, "surname": surname, "hinted": "", "number": person_number(phone, image), "page": slugs[0] or slugs[1], "network": slugs[2], "mailbox": mailbox}
-    spellings = [slug_name(s) for s in slugs if s]
-    spellings.append(name_in_text(bio, given, surname, given_names))
-    spellings.append(mailbox_name(mailbox))
+    given, middle, surname = split_name(name, _places(location) if location else (), given_names)
+    slugs = [slug_of(u) if u else "" for u in (profile_url, twitter_url, linkedin_url)]
+    mailbox = own_mailbox(email) if email else ""
+    network = slugs[2]
     best_given, best_surname = "", ""
-    for g, s in spellings:
+    typed_given, typed_surname = given, surname
+    for source in range(5):
+        if best_given and best_surname:
+            break
+        if source < 3:
+            if not slugs[source]:
+                continue
+            g, s = slug_name(slugs[source])
+        elif source == 3:
+            g, s = name_in_text(bio, typed_given, typed_surname, given_names) if bio else ("", "")
+        else:
+            g, s = mailbox_name(mailbox) if mailbox else ("", "")
         if s and not best_surname and (close(s, surname) or given and close(s, given)):
             # The name as typed may have its parts the other way round.
             best_surname = s
             if not close(s, surname):
                 given, surname = surname, given
-        agrees = g and (not given or g[0] == given[0] and len(given) == 1 or close(g, given) or g in given_forms(given) or given in NICKNAMES.get(g, "").split() or len(given) == 3 and g.startswith(given))
-        if agrees and len(g) > 1 and len(best_given) < 2 and (not s or best_surname and close(s, best_surname)):
+        if len(g) > 1 and not best_given and (not s or best_surname and close(s, best_surname)) and _fits(g, given):
             best_given = g
-    if out["network"] and slug_name(out["network"])[1] and not close(slug_name(out["network"])[1], best_surname or surname):
-        out["network"] = ""  # somebody else's address
+    if network and (other := slug_name(network)[1]) and not close(other, best_surname or surname):
+        network = ""  # somebody else's address
     forms = given_forms(given)
-    out["given"] = best_given or (forms[0] if len(forms) == 1 else given)
-    out["surname"] = best_surname or surname
-    out["hinted"] = "y" if best_given and best_surname else ""
-    return out
+    return {"given": best_given or (forms[0] if len(forms) == 1 else given), "surname": best_surname or surname, "hinted": "y" if best_given and best_surname else "", "page": slugs[0] or slugs[1], "network": network, "mailbox": mailbox, "line": own_line(phone), "portrait": own_portrait(image)}

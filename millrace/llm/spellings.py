@@ -2,12 +2,13 @@
 
 Rows of one company that spell one person differently are linked. Each row is read into name parts and identifiers (the
 person's own page, line, portrait and mailbox); rows with equal parts are one node, so copies never meet in pairs. Nodes of a
-company meet where they share a MinHash band over the padded q-grams of their name, an identifier, or surname and initial;
-a meeting is verified by Monge-Elkan similarity of the name parts and by what the identifiers say; and star clustering,
-heaviest node first, makes persons of the nodes.
+company meet where they share a MinHash band over the padded q-grams of their name, an identifier, or surname and initial; a meeting is verified by
+Monge-Elkan similarity of the name parts and by what the identifiers say; and star clustering, heaviest node first, makes
+persons of the nodes.
 
-Bands: ``ROWS`` = 3 and ``BANDS`` = 12 give a collision chance 1-(1-s^3)^12 of 0.79 at a Jaccard similarity s of 0.5, 0.95
-at 0.6 and 0.996 at 0.7; one slip in a name of usual length leaves s at 0.6 or more.
+Bands: their number is tuned from the collision curve 1-(1-s^r)^b (``choose_bands``), so that names at the Jaccard similarity
+``TARGET`` still meet with the chance ``RECALL``: 13 bands of 3 rows (0.90 at 0.55, 0.95 at 0.6, 0.996 at 0.7). One slip in a
+name of usual length leaves the similarity at 0.6 or more.
 
 Edge cases: rows without company or name words take no part; residue in the name keeps a row out; equal names in the same
 order give no pair; a hot person's rows are joined by key only (AQE splits them); an empty table gives an empty result.
@@ -15,6 +16,7 @@ order give no pair; a hot person's rows are joined by key only (AQE splits them)
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,29 +27,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from millrace.llm.persons import SUFFIXES, TITLES, fold, read_person
+from millrace.llm.persons import FULL_FORMS, NICKNAMES, SUFFIXES, TITLES, edits, fold, read_person
 from millrace.llm.residue import is_residue
-from millrace.session import broadcast_if_small, checkpoint
+from millrace.session import broadcast_if_small, checkpoint, reread
 
-BANDS, ROWS, Q = 12, 3, 3
-#: Least share of all names in which a given name comes first, so that at most 1 / share words are gathered.
+Q, ROWS = 3, 3
+#: Least similarity at which two names must still meet, and the chance of it.
+TARGET, RECALL = 0.55, 0.9
+#: Least share of all names in which a given name comes first, so that at most 1 / share words are gathered; rarer names are
+#: known if they are in the fixed list of ``persons``. A share, not a number: the same at every size of the table.
 GIVEN_SHARE = 4e-4
+#: A word that comes first is a slip of another, no name, if it is one edit from it and so many times as rare.
+SLIP_RATIO = 12
 #: Least Monge-Elkan similarity of two name parts.
 SIMILARITY = 0.84
 
 READ_COLUMNS = ["id", "company_id", "name", "title", "bio", "email", "phone", "image_url", "linkedin_url", "twitter_url", "profile_url", "location"]
-_READ_SCHEMA = "id long, company_id long, words string, given string, surname string, number string, page string, network string, mailbox string, title_key string, city string, weak string"
+_READ_SCHEMA = "id long, company_id long, words string, given string, surname string, page string, network string, mailbox string, line string, portrait string, title_key string, city string, weak string"
+
+
+def choose_bands(similarity: float = TARGET, recall: float = RECALL, rows: int = ROWS) -> int:
+    """The fewest bands of ``rows`` rows in one of which names of this similarity meet with the chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
 def given_names(people: DataFrame, share: float = GIVEN_SHARE) -> frozenset[str]:
-    """Words that come first in names far more often than last: at most 1 / ``share`` of them."""
+    """Words that come first in names far more often than last, without slips of commoner ones: at most 1 / ``share``.
+
+    Only shares and ratios decide, so a table and any number of copies of it have the same given names.
+    """
     words = F.filter(F.regexp_extract_all(F.lower("name"), F.lit(r"\p{L}{2,}"), F.lit(0)), lambda w: ~w.isin(*TITLES, *SUFFIXES))
     ends = people.where("name is not null").select(words.alias("w")).where(F.size("w") > 1)
     counted = ends.select(F.explode(F.array(F.struct(F.element_at("w", 1).alias("word"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(F.element_at("w", -1).alias("word"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("x"))
     sums = counted.groupBy("x.word").agg(F.sum("x.f").alias("f"), F.sum("x.l").alias("l"))
-    total = people.agg(F.count("name")).first()[0]
-    rows = sums.where((F.col("f") >= max(3, share * total)) & (F.col("f") > 3 * F.col("l"))).collect()
-    return frozenset(fold(r["word"]) for r in rows)
+    total = ends.agg(F.count(F.lit(1)).alias("n"))
+    rows = sums.join(F.broadcast(total), F.col("f") >= share * F.col("n")).where(F.col("f") > 3 * F.col("l")).select("word", "f").collect()
+    often: dict[str, int] = {}
+    for r in rows:
+        word = fold(r["word"])
+        often[word] = often.get(word, 0) + r["f"]
+    listed = {w for w in often if w in NICKNAMES or w in FULL_FORMS}
+    return frozenset(w for w in often if w in listed or not any(often[o] >= SLIP_RATIO * often[w] and edits(w, o, 1) == 1 for o in often))
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -76,7 +96,7 @@ def read_people(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for id_, company, name, title, bio, email, phone, image, network, twitter, page, location in b.itertuples(index=False, name=None):
+            for id_, company, name, title, bio, email, phone, image, network, twitter, page, location in zip(*(b[c].tolist() for c in READ_COLUMNS)):
                 if not name or company is None or company != company or is_residue(name, True):
                     continue
                 words = " ".join(_words(name))
@@ -87,8 +107,8 @@ def read_people(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
                 weak = ""
                 if not p["hinted"] and len(p["given"]) < 2:
                     # An initial alone isn't a name: such rows are one node only if everything else agrees too.
-                    weak = "|".join((p["number"], p["page"], p["mailbox"], tk, city))
-                out.append((id_, int(company), words, p["given"], p["surname"], p["number"], p["page"], p["network"], p["mailbox"], tk, city, weak))
+                    weak = "|".join((p["page"], p["mailbox"], p["line"], p["portrait"], tk, city))
+                out.append((id_, int(company), words, p["given"], p["surname"], p["page"], p["network"], p["mailbox"], p["line"], p["portrait"], tk, city, weak))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ_SCHEMA.split(", ")])
 
     return people.select(READ_COLUMNS).mapInPandas(read, _READ_SCHEMA)
@@ -104,7 +124,7 @@ def padded_grams(words: list[str], q: int = Q) -> set[str]:
     return {(pad + w + pad)[i : i + q] for w in words if w for i in range(len(w) + q - 1)}
 
 
-def minhash_bands(name: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+def minhash_bands(name: Column, bands: int = choose_bands(), rows: int = ROWS) -> Column:
     """Band keys (array<long>) of a name by MinHash over its padded q-grams."""
 
     @F.pandas_udf(ArrayType(LongType()))
@@ -157,7 +177,7 @@ def make_nodes(read: DataFrame) -> DataFrame:
     some = lambda c: F.max(c).alias(c)
     often = lambda c: F.coalesce(F.mode(F.when(F.col(c) != "", F.col(c))), F.lit("")).alias(c)
     # The node stands for its parts, so it is the only key: what follows by node needs no further shuffle.
-    return read.groupBy("node").agg(some("company_id"), some("given"), some("surname"), F.count(F.lit(1)).alias("weight"), some("number"), some("page"), some("network"), some("mailbox"), often("title_key"), often("city"))
+    return read.groupBy("node").agg(some("company_id"), some("given"), some("surname"), F.count(F.lit(1)).alias("weight"), some("page"), some("network"), some("mailbox"), some("line"), some("portrait"), often("title_key"), often("city"))
 
 
 def read_nodes(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
@@ -168,8 +188,9 @@ def read_nodes(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
 def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     """(light, heavy, score): verified links from lighter to heavier nodes of a company."""
     text = lambda tag, *c: F.concat_ws("|", F.lit(tag), *c)
+    # A bare initial has too few q-grams for the bands, so it meets by the surname beside it.
     short = F.when(F.col("surname") != "", F.xxhash64(text("i", F.left("given", F.lit(1)), "surname")))
-    exact = [F.when(F.col(c) != "", F.xxhash64(text(c, c))) for c in ("number", "page", "network", "mailbox")]
+    exact = [F.when(F.col(c) != "", F.xxhash64(text(c, c))) for c in ("page", "network", "mailbox", "line", "portrait")]
     keys = F.concat(minhash_bands(F.concat_ws(" ", "given", "surname")), F.filter(F.array(short, *exact), lambda k: k.isNotNull()))
     known = F.col("given").isin(*lexicon) if lexicon else F.lit(False)
     full = nodes.withColumn("known", known)
@@ -182,9 +203,9 @@ def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     surname, given = name_likeness(p("surname"), q("surname")), name_likeness(p("given"), q("given"))
     crossed = (name_likeness(p("surname"), q("given")) + name_likeness(p("given"), q("surname"))) / 2
     monge_elkan = F.greatest((surname + given) / 2, crossed)
-    same_id = _agree(p("number"), q("number")) | _agree(p("page"), q("page"))
+    same_id = _agree(p("line"), q("line")) | _agree(p("portrait"), q("portrait")) | _agree(p("page"), q("page"))
     mailbox, title, city = _agree(p("mailbox"), q("mailbox")), _agree(p("title_key"), q("title_key")), _agree(p("city"), q("city"))
-    other_id = _conflict(p("number"), q("number")) | _conflict(p("page"), q("page"))
+    other_id = _conflict(p("line"), q("line")) | _conflict(p("portrait"), q("portrait")) | _conflict(p("page"), q("page"))
     two_names = p("known") & q("known") & (p("given") != q("given"))
     one_initial = (F.length(p("given")) < 2) | (F.length(q("given")) < 2)
     support = mailbox.cast("int") * 3 + title.cast("int") * 2 + city.cast("int") + _agree(p("network"), q("network")).cast("int") * 3
@@ -202,17 +223,20 @@ def star_cluster(links: DataFrame) -> DataFrame:
     """(node, center): satellites of the stars. A node is a center unless a heavier linked node is one; a satellite goes to
     the center with the best score. Each round decides all nodes whose heavier neighbours are decided."""
     links = checkpoint(links)
-    decided = links.select(F.col("heavy").alias("node")).distinct().join(links.select(F.col("light").alias("node")).distinct(), "node", "left_anti").withColumn("center", F.lit(True))
-    decided = checkpoint(decided)
-    pending = links.select(F.col("light").alias("node")).distinct()
+    light = links.select(F.col("light").alias("node")).distinct()
+    first = links.select(F.col("heavy").alias("node")).distinct().join(light, "node", "left_anti").withColumn("center", F.lit(True))
+    # Each round appends the nodes that it decides; none is written twice.
+    rounds = [checkpoint(first)]
+    decided = rounds[0]
     while True:
-        open_ = pending.join(decided, "node", "left_anti")
+        open_ = light.join(decided, "node", "left_anti")
         state = links.join(open_, F.col("light") == F.col("node"), "left_semi").join(decided.withColumnRenamed("node", "heavy"), "heavy", "left")
         ready = state.groupBy("light").agg(F.count(F.when(F.col("center").isNull(), 1)).alias("waiting"), F.max(F.coalesce("center", F.lit(False))).alias("taken"))
         now = checkpoint(ready.where("waiting = 0 or taken").select(F.col("light").alias("node"), (~F.col("taken")).alias("center")))
         if now.isEmpty():
             break
-        decided = checkpoint(decided.unionByName(now))
+        rounds.append(now)
+        decided = reread(rounds)
     stars = links.join(decided.where("center").select(F.col("node").alias("heavy")), "heavy", "left_semi").join(decided.where("not center").select(F.col("node").alias("light")), "light", "left_semi")
     return stars.groupBy("light").agg(F.max_by("heavy", F.struct("score", "heavy")).alias("center")).withColumnRenamed("light", "node")
 

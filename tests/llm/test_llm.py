@@ -219,8 +219,10 @@ def test_name_parts():
     for name, want in [("Köhn, A", ("a", "kohn")), ("Dr. Simon Håkan PhD", ("simon", "hakan")), ("Tolgobainez Simon J.", ("simon", "tolgobainez")), ("Simon BrônDallasMeet Simon", ("simon", "bron")), ("Ann Roe-Tóth Jr.", ("ann", "roe")), ("", ("", "")), (None, ("", ""))]:
         g, _, s = persons.split_name(name, (), given)
         assert (g, s) == want, name
-    assert persons.person_number("001 (555) 00.001.9712", None) == persons.person_number(None, "https://x/p/000019712@2x.jpg") == "19712"
-    assert persons.person_number("+1 555 900 0031 0", None) == "" and persons.own_mailbox("info@x.example") == ""
+    assert persons.own_line("001 (555) 00.001.9712") == persons.own_line("+1-555-00-001-9712") == "1555000019712"
+    assert persons.own_line("+1 555 900 0031 0") == persons.own_line("+1 555 00 ____") == persons.own_line("n/a") == persons.own_line(None) == ""
+    assert persons.own_portrait("https://x/p/000019712@2x.jpg") == persons.own_portrait("https://x/p/000019712_crop.jpg") == "000019712"
+    assert persons.own_portrait("https://x/static/logo.png") == persons.own_portrait("#") == persons.own_portrait(None) == "" and persons.own_mailbox("info@x.example") == ""
 
 
 def test_edits_against_plain_recursion():
@@ -259,11 +261,62 @@ def test_spellings(spark):
     assert spellings.find_spellings(people_df(spark, rows[:1]).limit(0)).count() == 0
 
 
+def number_of(row):
+    """The number in a personal line or portrait of the test data: what tells persons apart there; the operator doesn't know it."""
+    if row["image_url"] and (m := re.search(r"/p/0*(\d+)(?:[_@.-]|$)", row["image_url"])):
+        return m[1]
+    digits = re.sub(r"\D", "", row["phone"] or "")
+    return digits[-7:].lstrip("0") if re.fullmatch(r"\+?[\d\s().-]+", (row["phone"] or "").strip()) and not re.search(r"\s0\s*$", row["phone"]) and len(digits) >= 12 else ""
+
+
+@pytest.mark.parametrize(("similarity", "recall", "rows"), [(0.55, 0.9, 3), (0.6, 0.95, 3), (0.5, 0.9, 2), (0.9, 0.99, 5)])
+def test_bands_reach_the_recall_of_the_curve(similarity, recall, rows):
+    bands = spellings.choose_bands(similarity, recall, rows)
+    chance = lambda b: 1 - (1 - similarity**rows) ** b
+    assert chance(bands) >= recall > chance(bands - 1)
+
+
+def test_recall_of_the_bands_against_brute_force(spark):
+    """All pairs of spellings of a company at the target similarity or above: the share that meets in a band, whatever else they share."""
+    people = table(spark, "/root/testdata/sf0.01", "people", spellings.READ_COLUMNS)
+    nodes = spellings.make_nodes(spellings.read_nodes(people, spellings.given_names(people))).where("company_id <> 3")
+    rows = nodes.select("company_id", F.concat_ws(" ", "given", "surname").alias("name")).distinct().withColumn("bands", spellings.minhash_bands(F.col("name"))).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["company_id"]].append((spellings.padded_grams(r["name"].split()), set(r["bands"])))
+    pairs = [(len(a & b) / len(a | b), bool(x & y)) for g in groups.values() for i, (a, x) in enumerate(g) for b, y in g[:i]]
+    near = [met for s, met in pairs if spellings.TARGET <= s < 1]
+    assert len(near) > 50 and sum(near) >= spellings.RECALL * len(near)
+
+
+def test_given_names_are_the_same_on_copies_of_a_table(spark):
+    people = table(spark, "/root/testdata/sf0.01", "people", ["id", "company_id", "name"])
+    ten = people.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    ten = ten.select((F.col("id") * 10 + F.col("copy")).alias("id"), (F.col("company_id") * 10 + F.col("copy")).alias("company_id"), "name")
+    assert spellings.given_names(people) == spellings.given_names(ten)
+
+
+def test_stars_are_the_same_as_by_brute_force(spark):
+    rng = random.Random(4)
+    links = sorted({(rng.randrange(1, 60), rng.randrange(60)) for _ in range(90)})
+    links = [(a, b, rng.randrange(9) / 3) for a, b in links if b < a]  # the smaller number is the heavier node
+    centers = {b for _, b, _ in links} - {a for a, *_ in links}
+    for n in sorted({a for a, *_ in links}):
+        if not any(b in centers for a, b, _ in links if a == n):
+            centers.add(n)
+    want = {}
+    for a, b, s in links:
+        if a not in centers and b in centers:
+            want[a] = max(want.get(a, (-1, -1)), (s, b))
+    got = {r["node"]: r["center"] for r in spellings.star_cluster(spark.createDataFrame(links, "light long, heavy long, score double")).collect()}
+    assert got == {a: b for a, (_, b) in want.items()}
+
+
 def test_spellings_find_known_persons(spark, data):
     """Pairs that share a personal number in line or portrait are the same person: recall and precision on them."""
     people = table(spark, "/root/testdata/sf0.01", "people")
     rows = [r for r in people.collect() if r["name"] and not residue.is_residue(r["name"], True)]
-    number = {r["id"]: persons.person_number(r["phone"], r["image_url"]) for r in rows}
+    number = {r["id"]: number_of(r) for r in rows}
     order = {r["id"]: words(r["name"]) for r in rows}
     same = defaultdict(list)
     for r in rows:
