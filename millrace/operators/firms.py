@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.udfs import fold_text
+from millrace.session import broadcast_if_small, checkpoint
 
 #: Letters of the first word of a firm that it is looked up by.
 PREFIX = 14
@@ -77,6 +78,33 @@ def near_firms(firms: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.groupBy("employer").agg(F.collect_list(F.xxhash64("firm")).alias("firms"))
 
 
+def nearest_firms(firms: DataFrame, records: DataFrame) -> DataFrame:
+    """(employer, firm): for each employer of ``records`` those of ``firms`` that ``same_firm`` takes it for and that are
+    written nearest to it: all with its own first word, or if there are none all at the smallest number of slips.
+
+    Only employers without a firm as written are looked up by deletions, so the many that are written right cost one join
+    of equal words, and the firms a record is taken to don't grow with the number of firms.
+    """
+
+    @F.pandas_udf("array<string>")
+    def keys(words: pd.Series) -> pd.Series:
+        return words.map(deletions)
+
+    known = firms.where("employer <> ''").select(F.col("employer").alias("firm"), first_word(F.col("employer")).alias("known")).distinct()
+    asked = records.where("employer <> ''").select("employer").distinct()
+    asked = checkpoint(asked.withColumn("word", first_word(F.col("employer"))))
+    known = checkpoint(known)
+    exact = checkpoint(asked.join(broadcast_if_small(known), F.col("known") == F.col("word")).where(same_firm(F.col("firm"), F.col("employer"))).select("employer", "firm"))
+    rest = asked.join(broadcast_if_small(exact.select("employer").distinct()), "employer", "left_anti")
+    left = known.select("known").distinct().withColumn("key", F.explode(keys("known")))
+    right = rest.select("word").distinct().withColumn("key", F.explode(keys("word")))
+    words = left.join(right, "key").where(same_word(F.col("known"), F.col("word"))).select("known", "word").distinct()
+    near = words.join(known, "known").join(rest, "word").where(same_firm(F.col("firm"), F.col("employer")))
+    near = near.select("employer", "firm", F.levenshtein("known", "word").alias("slips"))
+    least = near.groupBy("employer").agg(F.min("slips").alias("slips"))
+    return exact.unionByName(near.join(least, ["employer", "slips"]).select("employer", "firm"))
+
+
 def same_firm(a: Column, b: Column) -> Column:
     """Whether two employer keys name one firm: first words equal up to slips, second words equal or cut."""
     rest_a, rest_b = F.split_part(a, F.lit(" "), F.lit(2)), F.split_part(b, F.lit(" "), F.lit(2))
