@@ -7,8 +7,9 @@ Monge-Elkan similarity of the name parts and by what the identifiers say; and st
 persons of the nodes.
 
 Bands: their number is tuned from the collision curve 1-(1-s^r)^b (``choose_bands``), so that names at the Jaccard similarity
-``TARGET`` still meet with the chance ``RECALL``: 13 bands of 3 rows (0.90 at 0.55, 0.95 at 0.6, 0.996 at 0.7). One slip in a
-name of usual length leaves the similarity at 0.6 or more.
+``TARGET`` still meet with the chance ``RECALL``: 10 bands of 3 rows (0.91 at 0.6, 0.98 at 0.7). The grams of the surname count
+twice, so that a slip in a name of usual length leaves the similarity at 0.6 or more while namesakes by the given name alone
+stay near 0.2, where few of them meet.
 
 Edge cases: rows without company or name words take no part; residue in the name keeps a row out; equal names in the same
 order give no pair; a hot person's rows are joined by key only (AQE splits them); an empty table gives an empty result.
@@ -33,7 +34,7 @@ from millrace.session import broadcast_if_small, checkpoint, reread
 
 Q, ROWS = 3, 3
 #: Least similarity at which two names must still meet, and the chance of it.
-TARGET, RECALL = 0.55, 0.9
+TARGET, RECALL = 0.6, 0.9
 #: Least share of all names in which a given name comes first, so that at most 1 / share words are gathered; rarer names are
 #: known if they are in the fixed list of ``persons``. A share, not a number: the same at every size of the table.
 GIVEN_SHARE = 4e-4
@@ -124,32 +125,45 @@ def padded_grams(words: list[str], q: int = Q) -> set[str]:
     return {(pad + w + pad)[i : i + q] for w in words if w for i in range(len(w) + q - 1)}
 
 
-def minhash_bands(name: Column, bands: int = choose_bands(), rows: int = ROWS) -> Column:
-    """Band keys (array<long>) of a name by MinHash over its padded q-grams."""
+def weighted_grams(given: str, surname: str) -> set[str]:
+    """The padded q-grams of both names, those of the surname twice (under two marks)."""
+    twice = padded_grams([surname])
+    return padded_grams([given]) | {f"1{g}" for g in twice} | {f"2{g}" for g in twice}
+
+
+def minhash_bands(given: Column, surname: Column, bands: int = choose_bands(), rows: int = ROWS) -> Column:
+    """Band keys (array<long>) of a name by MinHash over its weighted padded q-grams."""
 
     @F.pandas_udf(ArrayType(LongType()))
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import zlib
 
         seeds = np.random.default_rng(11).integers(1, 1 << 61, size=(2, bands * rows), dtype=np.uint64)
         a, b = seeds[0] | np.uint64(1), seeds[1]
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for names in batches:
+
+        @lru_cache(maxsize=100_000)
+        def codes(word: str) -> list[int]:
+            return [zlib.crc32(g.encode()) for g in padded_grams([word])]
+
+        for givens, surnames in batches:
             out: list[list[int]] = []
+            names = list(zip(givens.tolist(), surnames.tolist()))
             for at in range(0, len(names), 2000):
-                grams = [padded_grams(n.split()) or {""} for n in names.iloc[at : at + 2000]]
+                # The two marks of a surname's gram are two other numbers made of its code.
+                grams = [codes(g) + [c ^ m for m in (0x5BD1E995, 0x27D4EB2F) for c in codes(s)] or [0] for g, s in names[at : at + 2000]]
                 sizes = np.array([len(g) for g in grams])
-                x = np.array([zlib.crc32(g.encode()) for gs in grams for g in gs], dtype=np.uint64)
+                x = np.array([c for gs in grams for c in gs], dtype=np.uint64)
                 h = (x[:, None] * a[None, :] + b[None, :]) >> np.uint64(20)
                 low = np.minimum.reduceat(h, np.cumsum(sizes) - sizes, axis=0).reshape(len(grams), bands, rows)
                 mixed = np.tile(salt, (len(grams), 1))
                 for r in range(rows):
                     mixed = (mixed ^ low[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
                     mixed ^= mixed >> np.uint64(29)
-                out += [m if "" not in g else [] for m, g in zip(mixed.view(np.int64).tolist(), grams)]
+                out += [m if g or s else [] for m, (g, s) in zip(mixed.view(np.int64).tolist(), names[at : at + 2000])]
             yield pd.Series(out, dtype=object)
 
-    return keys(name)
+    return keys(given, surname)
 
 
 def name_likeness(a: Column, b: Column) -> Column:
@@ -165,58 +179,66 @@ def name_likeness(a: Column, b: Column) -> Column:
 
 
 def _conflict(a: Column, b: Column) -> Column:
-    return (a != "") & (b != "") & (a != b)
+    return F.coalesce(a != b, F.lit(False))
 
 
 def _agree(a: Column, b: Column) -> Column:
-    return (a != "") & (a == b)
+    return F.coalesce(a == b, F.lit(False))
+
+
+#: What tells persons apart or alike; kept as hashes, since only equality counts.
+IDENTIFIERS = ("page", "network", "mailbox", "line", "portrait", "title", "city")
 
 
 def make_nodes(read: DataFrame) -> DataFrame:
-    """One node per company, name parts and (for initials) everything else, with its weight and identifiers."""
-    some = lambda c: F.max(c).alias(c)
-    often = lambda c: F.coalesce(F.mode(F.when(F.col(c) != "", F.col(c))), F.lit("")).alias(c)
-    # The node stands for its parts, so it is the only key: what follows by node needs no further shuffle.
-    return read.groupBy("node").agg(some("company_id"), some("given"), some("surname"), F.count(F.lit(1)).alias("weight"), some("page"), some("network"), some("mailbox"), some("line"), some("portrait"), often("title_key"), often("city"))
+    """One node per company, name parts and (for initials) everything else, with its weight and identifiers (null if it has none)."""
+    return read.groupBy("node", "company_id", "given", "surname").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"), *[F.max(c).alias(c) for c in IDENTIFIERS])
 
 
 def read_nodes(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
-    """The rows of ``read_people`` with the node they belong to; ``words`` is a hash of the words of the name in order."""
-    return read_people(people, lexicon).withColumn("node", F.xxhash64("company_id", "given", "surname", "weak")).drop("weak").withColumn("words", F.xxhash64("words"))
+    """The rows of ``read_people`` with the node they belong to; ``words`` is a hash of the words of the name in order, and
+    so are the identifiers hashes."""
+    hashed = {c: F.when(F.col("title_key" if c == "title" else c) != "", F.xxhash64("title_key" if c == "title" else c)) for c in IDENTIFIERS}
+    read = read_people(people, lexicon)
+    return read.select("id", "company_id", F.xxhash64("company_id", "given", "surname", "weak").alias("node"), F.xxhash64("words").alias("words"), "given", "surname", "title_key", F.col("city").alias("place"), *[v.alias(c) for c, v in hashed.items()])
 
 
 def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     """(light, heavy, score): verified links from lighter to heavier nodes of a company."""
-    text = lambda tag, *c: F.concat_ws("|", F.lit(tag), *c)
     # A bare initial has too few q-grams for the bands, so it meets by the surname beside it.
-    short = F.when(F.col("surname") != "", F.xxhash64(text("i", F.left("given", F.lit(1)), "surname")))
-    exact = [F.when(F.col(c) != "", F.xxhash64(text(c, c))) for c in ("page", "network", "mailbox", "line", "portrait")]
-    keys = F.concat(minhash_bands(F.concat_ws(" ", "given", "surname")), F.filter(F.array(short, *exact), lambda k: k.isNotNull()))
-    known = F.col("given").isin(*lexicon) if lexicon else F.lit(False)
-    full = nodes.withColumn("known", known)
+    short = F.when(F.col("surname") != "", F.xxhash64(F.concat_ws("|", F.lit("i"), F.left("given", F.lit(1)), "surname")))
+    exact = [F.xxhash64(F.lit(c), c) for c in ("page", "network", "mailbox", "line", "portrait")]
+    exact = [F.when(F.col(c).isNotNull(), k) for c, k in zip(("page", "network", "mailbox", "line", "portrait"), exact)]
+    keys = F.concat(minhash_bands(F.col("given"), F.col("surname")), F.filter(F.array(short, *exact), lambda k: k.isNotNull()))
     # The company is part of the key, so that a bucket is one number.
-    buckets = full.select("node", F.explode(F.transform(F.array_distinct(keys), lambda k: F.xxhash64("company_id", k))).alias("key"))
+    buckets = nodes.select("node", F.explode(F.transform(F.array_distinct(keys), lambda k: F.xxhash64("company_id", k))).alias("key"))
     meetings = buckets.alias("x").join(buckets.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
     pairs = meetings.select(F.col("x.node").alias("n1"), F.col("y.node").alias("n2")).distinct()
-    both = pairs.join(full.alias("p"), F.col("n1") == F.col("p.node")).join(full.alias("q"), F.col("n2") == F.col("q.node"))
+    both = pairs.join(nodes.alias("p"), F.col("n1") == F.col("p.node")).join(nodes.alias("q"), F.col("n2") == F.col("q.node"))
+    linked, score = alike(lexicon)
+    # Full names before initials, then by weight.
+    p_rank, q_rank = (F.struct(F.length(f"{x}.given") > 1, f"{x}.weight", f"{x}.node") for x in "pq")
+    light, heavy = F.when(p_rank < q_rank, F.col("p.node")).otherwise(F.col("q.node")), F.when(p_rank < q_rank, F.col("q.node")).otherwise(F.col("p.node"))
+    return both.where(linked).select(light.alias("light"), heavy.alias("heavy"), score.alias("score"))
+
+
+def alike(lexicon: frozenset[str]) -> tuple[Column, Column]:
+    """Whether the nodes ``p`` and ``q`` (aliases) of one company stand for one person, and how much speaks for it."""
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    known = (lambda c: c.isin(*lexicon)) if lexicon else (lambda c: F.lit(False))
     surname, given = name_likeness(p("surname"), q("surname")), name_likeness(p("given"), q("given"))
     crossed = (name_likeness(p("surname"), q("given")) + name_likeness(p("given"), q("surname"))) / 2
     monge_elkan = F.greatest((surname + given) / 2, crossed)
     same_id = _agree(p("line"), q("line")) | _agree(p("portrait"), q("portrait")) | _agree(p("page"), q("page"))
-    mailbox, title, city = _agree(p("mailbox"), q("mailbox")), _agree(p("title_key"), q("title_key")), _agree(p("city"), q("city"))
+    mailbox, title, city = (_agree(p(c), q(c)) for c in ("mailbox", "title", "city"))
     other_id = _conflict(p("line"), q("line")) | _conflict(p("portrait"), q("portrait")) | _conflict(p("page"), q("page"))
-    two_names = p("known") & q("known") & (p("given") != q("given"))
+    two_names = known(p("given")) & known(q("given")) & (p("given") != q("given"))
     one_initial = (F.length(p("given")) < 2) | (F.length(q("given")) < 2)
     support = mailbox.cast("int") * 3 + title.cast("int") * 2 + city.cast("int") + _agree(p("network"), q("network")).cast("int") * 3
     by_name = (surname >= 0.6) & (given >= 0.5) & (monge_elkan >= SIMILARITY) | (crossed >= 0.9)
-    apart = _conflict(p("title_key"), q("title_key")) & _conflict(p("city"), q("city")) & ~mailbox
+    apart = _conflict(p("title"), q("title")) & _conflict(p("city"), q("city")) & ~mailbox
     linked = F.when(other_id, False).when(same_id, monge_elkan >= 0.6).when(two_names, False).otherwise(by_name & F.when(one_initial, ~apart).otherwise(True))
-    score = monge_elkan + F.when(same_id, 4).otherwise(0) + support / 4
-    # Full names before initials, then by weight.
-    p_rank, q_rank = (F.struct(F.length(x("given")) > 1, x("weight"), x("node")) for x in (p, q))
-    light, heavy = F.when(p_rank < q_rank, p("node")).otherwise(q("node")), F.when(p_rank < q_rank, q("node")).otherwise(p("node"))
-    return both.where(linked).select(light.alias("light"), heavy.alias("heavy"), score.alias("score"))
+    return linked, monge_elkan + F.when(same_id, 4).otherwise(0) + support / 4
 
 
 def star_cluster(links: DataFrame) -> DataFrame:
@@ -246,7 +268,8 @@ def resolve_people(people: DataFrame) -> DataFrame:
     words of the name in order."""
     lexicon = given_names(people)
     read = checkpoint(read_nodes(people, lexicon))
-    centers = broadcast_if_small(checkpoint(star_cluster(link_nodes(make_nodes(read), lexicon))))
+    nodes = checkpoint(make_nodes(read))
+    centers = broadcast_if_small(checkpoint(star_cluster(link_nodes(nodes, lexicon))))
     rows = read.select("id", "company_id", "node", "words").join(centers, "node", "left")
     return rows.select("id", "company_id", "words", F.coalesce("center", "node").alias("person"))
 
@@ -254,9 +277,12 @@ def resolve_people(people: DataFrame) -> DataFrame:
 def find_spellings(people: DataFrame) -> DataFrame:
     """(id_a, id_b): all pairs of rows of one company that stand for one person under different names.
 
-    The spellings of a person are paired first, so that rows of one spelling never meet and every comparison is a result.
+    Persons of one spelling are set aside by a map-side aggregate; of the others the spellings are paired first, so that
+    rows of one spelling never meet and every comparison is a result.
     """
-    rows = checkpoint(resolve_people(people).select("person", "id", F.col("words").alias("w")))
+    resolved = resolve_people(people).select("person", "id", F.col("words").alias("w"))
+    several = resolved.groupBy("person").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low < high").select("person")
+    rows = checkpoint(resolved.join(several, "person", "left_semi"))
     spellings = rows.select("person", "w").distinct()
     two = spellings.alias("x").join(spellings.alias("y"), (F.col("x.person") == F.col("y.person")) & (F.col("x.w") < F.col("y.w"))).select("x.person", F.col("x.w").alias("w"), F.col("y.w").alias("v"))
     first = two.join(rows, ["person", "w"]).select("person", "v", F.col("id").alias("i"))

@@ -6,11 +6,12 @@ import unicodedata
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import canonical, copies, crossmatch, mixing, persons, residue, spellings, subjects, survivor, tokens
-from millrace.session import table
+from millrace.session import checkpoint, table
 
 PEOPLE = "id long, company_id long, name string, title string, bio string, email string, phone string, image_url string, linkedin_url string, twitter_url string, profile_url string, location string, extra_id long"
 
@@ -280,10 +281,10 @@ def test_recall_of_the_bands_against_brute_force(spark):
     """All pairs of spellings of a company at the target similarity or above: the share that meets in a band, whatever else they share."""
     people = table(spark, "/root/testdata/sf0.01", "people", spellings.READ_COLUMNS)
     nodes = spellings.make_nodes(spellings.read_nodes(people, spellings.given_names(people))).where("company_id <> 3")
-    rows = nodes.select("company_id", F.concat_ws(" ", "given", "surname").alias("name")).distinct().withColumn("bands", spellings.minhash_bands(F.col("name"))).collect()
+    rows = nodes.select("company_id", "given", "surname").distinct().withColumn("bands", spellings.minhash_bands(F.col("given"), F.col("surname"))).collect()
     groups = defaultdict(list)
     for r in rows:
-        groups[r["company_id"]].append((spellings.padded_grams(r["name"].split()), set(r["bands"])))
+        groups[r["company_id"]].append((spellings.weighted_grams(r["given"], r["surname"]), set(r["bands"])))
     pairs = [(len(a & b) / len(a | b), bool(x & y)) for g in groups.values() for i, (a, x) in enumerate(g) for b, y in g[:i]]
     near = [met for s, met in pairs if spellings.TARGET <= s < 1]
     assert len(near) > 50 and sum(near) >= spellings.RECALL * len(near)
@@ -355,9 +356,16 @@ def test_slips_in_the_first_word_of_a_firm(spark):
     firms, asked = ([w + rng.choice(("", " capital", " cap", " group")) for w in ws] for ws in (words, slips))
     frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "employer string")
     pairs = frame(firms).select(F.col("employer").alias("a"), F.xxhash64("employer").alias("h")).crossJoin(frame(asked).select(F.col("employer").alias("b")))
-    want = {(r["h"], r["b"]) for r in pairs.where(crossmatch.same_firm(F.col("a"), F.col("b"))).collect()}
-    got = [(f, r["employer"]) for r in crossmatch.near_firms(frame(firms), frame(asked)).collect() for f in r["firms"]]
+    near = pairs.where(crossmatch.same_firm(F.col("a"), F.col("b"))).withColumn("slips", F.levenshtein(F.split_part("a", F.lit(" "), F.lit(1)), F.split_part("b", F.lit(" "), F.lit(1)))).collect()
+    want = {(r["h"], r["b"]) for r in near}
+    got = [(f, r["employer"]) for r in crossmatch.firms.near_firms(frame(firms), frame(asked)).collect() for f in r["firms"]]
     assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+    least = {}
+    for r in near:
+        least[r["b"]] = min(least.get(r["b"], 9), r["slips"])
+    want = {(r["a"], r["b"]) for r in near if r["slips"] == least[r["b"]]}
+    got = [(r["firm"], r["employer"]) for r in crossmatch.nearest_firms(frame(firms), frame(asked)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_profiles_of_misspelt_firms_meet_people(spark):
@@ -369,7 +377,8 @@ def test_profiles_of_misspelt_firms_meet_people(spark):
     assert got == {(1, 7)}
 
 
-def test_index_recall_of_slipped_surnames(spark):
+@pytest.mark.parametrize("planes", [0, 3, 6, 10])
+def test_index_recall_of_slipped_surnames(spark, planes):
     """Pairs of one firm with a slip in the surname, no address and unequal names, all of which the rerank would accept."""
     people = table(spark, "/root/testdata/sf0.01", "people")
     names = sorted({tuple(r["name"].lower().split()) for r in people.collect() if r["name"] and re.fullmatch("[A-Z][a-z]+ [A-Z][a-z]{5,}", r["name"])})
@@ -379,12 +388,81 @@ def test_index_recall_of_slipped_surnames(spark):
         slip = rng.choice([w[:i] + w[i + 1 :], w[:i] + x + w[i + 1 :], w[:i] + x + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])
         if slip != w:
             pairs.append((given, w, slip))
-    record = lambda given, surname: {a: "" for a in crossmatch.ATTRIBUTES} | {"given": given, "surname": surname, "name": f"{given} {surname}", "employer": "boltama"}
+    record = lambda given, surname: {a: "" for a in crossmatch.ATTRIBUTES} | {"given": given, "surname": surname, "employer": "boltama"}
     sides = [[record(p[0], p[k]) for p in pairs] for k in (1, 2)]
     frequencies = crossmatch.token_frequencies(spark.createDataFrame(sides[0] + sides[1]))
     model = crossmatch.train_vectors(sides[0][: crossmatch.SAMPLE_RECORDS], frequencies)
-    left, right = (model.table_keys({a: [r[a] for r in side] for a in crossmatch.ATTRIBUTES}, [[1]] * len(side)) for side in sides)
-    assert len(pairs) > 300 and sum(bool(set(x) & set(y)) for x, y in zip(left, right)) >= 0.9 * len(pairs)
+    buckets = []
+    for side in sides:
+        n = len(side)
+        rows, keys = model.bucket_keys([r["surname"] for r in side], [r["given"] for r in side], np.full(n, 7), np.full(n, planes), np.zeros(n, dtype=bool))
+        own = [set() for _ in side]
+        for i, k in zip(rows.tolist(), keys.tolist()):
+            own[i].add(k)
+        buckets.append(own)
+    met = sum(bool(x & y) for x, y in zip(*buckets))
+    others = sum(bool(x & y) for i, x in enumerate(buckets[0][:300]) for j, y in enumerate(buckets[1][:300]) if i != j and pairs[i][0] != pairs[j][0])
+    assert len(pairs) > 300 and met >= 0.95 * len(pairs) and others <= 300
+
+
+def test_tables_follow_the_planes():
+    alike = lambda b: (1 - np.arccos(crossmatch.SLIP_COSINE) / np.pi) ** b
+    for planes in range(1, 12):
+        t = crossmatch.choose_tables(planes)
+        assert 1 - (1 - alike(planes)) ** t >= crossmatch.RECALL > 1 - (1 - alike(planes)) ** (t - 1)
+    assert crossmatch.choose_tables(0) == 1
+
+
+def test_walks_stay_on_the_graph():
+    """A walk may go from a token only to one that a record holding the first token holds as well."""
+    records = [{"surname": f"name{'abc'[i % 3]}", "given": f"g{i % 5}", "employer": f"firm{i % 4}", "title": "", "city": ""} for i in range(30)]
+    own = [{t for a in crossmatch.ATTRIBUTES for t in crossmatch.tokens_of(a, r[a])} for r in records]
+    seen = crossmatch.walk_tokens(records, np.random.default_rng(1))
+    assert seen.shape == (30 * crossmatch.WALKS, crossmatch.WALK_LENGTH)
+    assert all(any(x in o and y in o for o in own) for walk in seen.tolist() for x, y in zip(walk, walk[1:]))
+    assert crossmatch.walk_tokens([{"surname": ""}], np.random.default_rng(1)).shape == (0, crossmatch.WALK_LENGTH)
+
+
+def test_stated_confidence_holds_on_held_out_pairs(spark):
+    """Calibrated on every other settled pair of sf0.1, the confidence agrees with the share of equal addresses in the rest,
+    set against their share among the pairs that nothing speaks against."""
+    d = "/root/testdata/sf0.1"
+    people, profiles = (table(spark, d, t) for t in ("people", "roster_profiles"))
+    _, judged = crossmatch.judge_pairs(people, table(spark, d, "companies"), profiles)
+    settled = checkpoint(judged.where("known"))
+    half = F.pmod(F.xxhash64("profile_id"), F.lit(2))
+    rest = settled.where(half == 1)
+    top = rest.where("rest >= 0.95").agg(F.avg(F.col("sure").cast("int"))).first()[0]
+    bins = defaultdict(list)
+    for r in rest.withColumn("confidence", crossmatch.calibrated(F.col("rest"), settled.where(half == 0))).collect():
+        bins[r["confidence"]].append(r["sure"])
+    assert len(bins) >= 3 and max(bins) > 0.98
+    for c, sure in bins.items():
+        assert abs(c - sum(sure) / len(sure) / top) <= 0.05 + 1.5 / len(sure) ** 0.5, (c, len(sure))
+
+
+def test_confidence_of_made_up_pairs(spark):
+    """Wrong pairs at low cosines, four of five right pairs marked: the stated share is that of the right ones."""
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(20000):
+        rest = rng.choice([0.55, 0.65, 0.75, 0.85, 0.97])
+        right = rng.random() < {0.55: 0.2, 0.65: 0.4, 0.75: 0.6, 0.85: 0.8, 0.97: 1.0}[rest]
+        pairs.append((rest, right and rng.random() < 0.8, right))
+    df = spark.createDataFrame(pairs, "rest double, sure boolean, right boolean")
+    for r in df.withColumn("confidence", crossmatch.calibrated(F.col("rest"), df)).groupBy("rest").agg(F.avg("confidence").alias("c"), F.avg(F.col("right").cast("int")).alias("share")).collect():
+        assert abs(r["c"] - r["share"]) < 0.05
+    empty = df.limit(0)
+    assert empty.withColumn("confidence", crossmatch.calibrated(F.col("rest"), empty)).count() == 0
+
+
+def test_equally_good_persons_give_no_match_but_are_listed(spark):
+    people = people_df(spark, [{"id": 1, "company_id": 1, "name": "Simon Holmugeford", "profile_url": "https://a.example/people/simon-holmugeford-1"}, {"id": 2, "company_id": 2, "name": "Simon Holmugeford", "profile_url": "https://b.example/people/simon-holmugeford-2"}])
+    companies = spark.createDataFrame([(1, "Boltama Capital", "https://boltama.example"), (2, "Boltama Capital", "https://boltama.example/")], "id long, name string, url string")
+    schema = ", ".join(f"{c} {'long' if c == 'profile_id' else 'string'}" for c in crossmatch.PROFILE_COLUMNS)
+    profiles = spark.createDataFrame([(7, "Simon", "Holmugeford", None, None, "Boltama Capital", None, None, None)], schema)
+    assert crossmatch.find_matches(people, companies, profiles).count() == 0
+    assert [tuple(r) for r in crossmatch.match_ties(people, companies, profiles).collect()] == [(7, 2)]
 
 
 def test_no_core_module_imports_llm():
