@@ -110,6 +110,16 @@ def experience_summary(experience: Column, first: int = 5) -> Column:
     return F.coalesce(blank_to_null(F.array_join(lines, "\n")), F.lit("—"))
 
 
+def url_decode(c: Column) -> Column:
+    """A text with its percent escapes read; a plus sign stays one. Null for broken escapes."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def address_key(url: Column) -> Column:
+    """The key that a fetched address is kept under."""
+    return F.md5(url)
+
+
 def strip_nul(c: Column) -> Column:
     return F.regexp_replace(c, r"\x00", "")
 

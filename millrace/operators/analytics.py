@@ -6,6 +6,8 @@ are stable.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,37 +30,55 @@ def finished(companies: DataFrame) -> DataFrame:
     return companies.where("status = 'completed'")
 
 
-def company_overview(people: DataFrame, companies: DataFrame) -> DataFrame:
-    """One row per completed company, also without people: people, analysed, with profile, enriched."""
-    slim = people.select("company_id", "primary_expertise", "linkedin_url", "linkedin_enriched", F.col("id").alias("person_id"))
-    joined = finished(companies).select("id", "name", "url").join(slim, F.col("id") == F.col("company_id"), "left")
-    return joined.groupBy("id", "name", "url").agg(
-        F.count("person_id").alias("people"),
+def people_stats(people: DataFrame) -> DataFrame:
+    """Counts per company, aggregated on the map side before anything is joined: people, analysed, enriched, with a photo."""
+    return people.groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("people"),
         count_if(F.col("primary_expertise").isNotNull()).alias("analyzed"),
-        count_if(F.col("linkedin_url").isNotNull()).alias("with_profile"),
         count_if(F.col("linkedin_enriched")).alias("enriched"),
+        count_if(F.col("image_url").isNotNull()).alias("with_photo"),
     )
 
 
+STATS = ("people", "analyzed", "enriched", "with_photo")
+
+
+def _with_stats(companies: DataFrame, people: DataFrame) -> DataFrame:
+    stats = people_stats(people).withColumnRenamed("company_id", "_company")
+    return companies.join(stats, F.col("id") == F.col("_company"), "left").select(*companies.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in STATS])
+
+
+def company_overview(people: DataFrame, companies: DataFrame) -> DataFrame:
+    """One row per completed company, also without people: people, analysed, enriched, with a photo."""
+    return _with_stats(finished(companies).select("id", "name", "url"), people)
+
+
 def overview_totals(people: DataFrame, companies: DataFrame) -> DataFrame:
     o = company_overview(people, companies)
-    return o.agg(F.count(F.lit(1)).alias("companies"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("people", "analyzed", "with_profile", "enriched")])
+    return o.agg(F.count(F.lit(1)).alias("companies"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS])
 
 
 def company_completeness(people: DataFrame, companies: DataFrame) -> DataFrame:
-    """The counts of the overview as whole percentages, half to even."""
-    o = company_overview(people, companies)
-    share = lambda c: F.when(F.col("people") > 0, F.bround(F.col(c) * 100.0 / F.col("people")).cast("int")).otherwise(0).alias(f"{c}_pct")
-    return o.select("id", "people", share("analyzed"), share("with_profile"), share("enriched"))
+    """Every company's counts as whole percentages, half to even."""
+    share = lambda c, name: F.when(F.col("people") > 0, F.bround(F.col(c) * 100.0 / F.col("people")).cast("int")).otherwise(0).alias(f"{name}_pct")
+    return _with_stats(companies.select("id"), people).select("id", "people", share("analyzed", "analyzed"), share("enriched", "enriched"), share("with_photo", "photo"))
 
 
 def worst_completeness(people: DataFrame, companies: DataFrame, first: int = 20) -> DataFrame:
-    """Companies by the mean of their three shares, lowest first."""
+    """Completed companies by the mean of their three shares, lowest first."""
     o = company_overview(people, companies)
-    score = F.when(F.col("people") > 0, (F.col("analyzed") + F.col("with_profile") + F.col("enriched")) * 100.0 / (3 * F.col("people"))).otherwise(0.0)
+    score = F.when(F.col("people") > 0, (F.col("analyzed") + F.col("enriched") + F.col("with_photo")) * 100.0 / (3 * F.col("people"))).otherwise(0.0)
     return o.select("id", "people", F.round(score, 6).alias("score")).orderBy("score", "id").limit(first)
 
 
+def completeness_bands(people: DataFrame, companies: DataFrame, good: int = 80, fair: int = 50) -> DataFrame:
+    """Each completed company's shares rounded half up, with the band of each (good, fair or poor)."""
+    o = company_overview(people, companies)
+    band = lambda c: F.when(F.col(c) >= good, "good").when(F.col(c) >= fair, "fair").otherwise("poor")
+    shares = o.select("id", *[percent(F.col(c), F.col("people"), 0).cast("int").alias(f"{c}_pct") for c in STATS[1:]])
+    return shares.select("id", *[f"{c}_pct" for c in STATS[1:]], *[band(f"{c}_pct").alias(f"{c}_band") for c in STATS[1:]])
+
+
 def of_finished(people: DataFrame, companies: DataFrame) -> DataFrame:
     return people.join(finished(companies).select(F.col("id").alias("company_id")), "company_id")
 
@@ -92,7 +112,7 @@ def heatmap(people: DataFrame, companies: DataFrame) -> DataFrame:
 
 def heatmap_maps(people: DataFrame, companies: DataFrame) -> DataFrame:
     """The heatmap with one map per company, its intensity scaled to the largest cell."""
-    cells = heatmap(people, companies)
+    cells = heatmap(people, companies).where("category is not null")
     peak = cells.agg(F.max("n").alias("peak"))
     scaled = cells.crossJoin(F.broadcast(peak)).withColumn("intensity", F.least(F.col("n") / F.col("peak"), F.lit(1.0)))
     return scaled.groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct("n", "intensity"))))).alias("cells"))
@@ -104,23 +124,23 @@ def top_categories(people: DataFrame, first: int = 3) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= first)
 
 
-def skills_matrix(people: DataFrame, company_id: int) -> DataFrame:
-    """Category, expertise, sector and geography counts of one company in one long table."""
-    own = people.where(F.col("company_id") == company_id)
+def skills_matrix(people: DataFrame, company_id: int | None = None) -> DataFrame:
+    """Category, expertise, sector and geography counts of each company (or of one) in one long table."""
+    own = people if company_id is None else people.where(F.col("company_id") == company_id)
     entries = F.flatten(F.array(
         F.transform(F.coalesce(CATEGORIES, F.array()), lambda x: F.struct(F.lit("category").alias("kind"), x.alias("value"))),
         F.array(F.struct(F.lit("expertise").alias("kind"), F.col("primary_expertise").alias("value"))),
         F.transform(F.coalesce(split_list(F.col("sector"), ";", True), F.array()), lambda x: F.struct(F.lit("sector").alias("kind"), x.alias("value"))),
         F.transform(F.coalesce(split_list(F.col("geography"), ";", True), F.array()), lambda x: F.struct(F.lit("geography").alias("kind"), x.alias("value"))),
     ))
-    return own.select(F.inline(entries)).where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("company_id", F.inline(entries)).where("value is not null").groupBy("company_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_filter(q: str | None = None, category: str | None = None, sector: str | None = None, geography: str | None = None, enriched: bool | None = None) -> Column:
     """Conjunction of the filters that are given; '%' and '_' of the text are wildcards."""
     parts: list[Column] = []
     if q:
-        parts.append(F.coalesce(F.col("name").ilike(f"%{q}%"), F.lit(False)) | F.coalesce(F.col("title").ilike(f"%{q}%"), F.lit(False)) | F.coalesce(F.col("bio").ilike(f"%{q}%"), F.lit(False)))
+        parts.append(any_like(q, "name", "title", "primary_expertise"))
     if category:
         parts.append(F.array_contains(CATEGORIES, category))
     if sector:
@@ -132,29 +152,40 @@ def search_filter(q: str | None = None, category: str | None = None, sector: str
     return all_of(parts)
 
 
+def any_like(q: str, *columns: str) -> Column:
+    """Whether one of the columns contains the text, in any case; null columns don't."""
+    hits = [F.coalesce(F.col(c).ilike(f"%{q}%"), F.lit(False)) for c in columns]
+    return reduce(Column.__or__, hits)
+
+
 def check_page(page: int, size: int, most: int = 100) -> None:
     if page < 1 or not 1 <= size <= most:
         raise ValueError(f"page must be 1 or more and size 1 to {most}")
 
 
+SEARCH_COLUMNS = ("id", "name", "title", "location", "image_url", "linkedin_url", "primary_expertise", CATEGORIES, "sector", "geography", "company_id")
+
+
 def search_people(people: DataFrame, companies: DataFrame, page: int = 1, size: int = 20, **filters) -> DataFrame:
-    """A page of the people that match, by name; the filters run before the join."""
+    """A page of the people of completed companies that match, by name; the filters run before the join."""
     check_page(page, size)
-    hits = people.where(search_filter(**filters)).select("id", "company_id", "name", "title", "location")
-    named = hits.join(companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id")
-    return named.orderBy(F.asc_nulls_last("name"), "id").offset((page - 1) * size).limit(size)
+    hits = people.where(search_filter(**filters)).select(*SEARCH_COLUMNS)
+    named = hits.join(finished(companies).select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id")
+    return named.orderBy(F.asc_nulls_last("name"), "id").offset((page - 1) * size).limit(size).select(*SEARCH_COLUMNS, "company_name")
 
 
-def search_total(people: DataFrame, companies: DataFrame, **filters) -> DataFrame:
+def search_total(people: DataFrame, companies: DataFrame, size: int = 20, **filters) -> DataFrame:
+    """How many people match, and how many pages they fill."""
     hits = people.where(search_filter(**filters)).select("company_id")
-    return hits.join(companies.select(F.col("id").alias("company_id")), "company_id").agg(F.count(F.lit(1)).alias("total"))
+    found = hits.join(finished(companies).select(F.col("id").alias("company_id")), "company_id").agg(F.count(F.lit(1)).alias("total"))
+    return found.select("total", F.ceil(F.col("total") / size).alias("pages"))
 
 
 def people_page(people: DataFrame, company_id: int, page: int = 1, size: int = 50, search: str | None = None) -> DataFrame:
     check_page(page, size, 200)
     own = people.where(F.col("company_id") == company_id)
     if search:
-        own = own.where(F.coalesce(F.col("name").ilike(f"%{search}%"), F.lit(False)) | F.coalesce(F.col("title").ilike(f"%{search}%"), F.lit(False)))
+        own = own.where(any_like(search, "name", "title"))
     return own.select("id", "name", "title", "department", "email", "location").orderBy(F.asc_nulls_last("name"), "id").offset((page - 1) * size).limit(size)
 
 
@@ -190,16 +221,28 @@ def cost_daily(usage: DataFrame) -> DataFrame:
     return usage.groupBy(F.to_date("created_at").alias("day")).agg(money("cost_usd").cast("decimal(28,6)").alias("cost"), F.count(F.lit(1)).alias("calls"))
 
 
-def cost_summary(usage: DataFrame, days: int, as_of: str, company_id: int | None = None) -> DataFrame:
-    """Totals of the last days before a given moment."""
-    if not 1 <= days <= 365:
-        raise ValueError("days must be 1 to 365")
-    end = F.lit(as_of).cast("timestamp")
-    recent = usage.where((F.col("created_at") >= end - F.make_dt_interval(F.lit(days))) & (F.col("created_at") <= end))
+def usage_events(usage: DataFrame) -> DataFrame:
+    """Each event once: a log may hold whole-row repeats, and an id stands for one call. All costs count these rows."""
+    return usage.dropDuplicates(["id"])
+
+
+def usage_window(usage: DataFrame, days: int | None = None, as_of: str | None = None, company_id: int | None = None) -> DataFrame:
+    """Events of the last days before a given moment, and of one company; both filters reach the scan."""
+    recent = usage
+    if days is not None:
+        if not 1 <= days <= 365:
+            raise ValueError("days must be 1 to 365")
+        end = F.lit(as_of).cast("timestamp")
+        recent = recent.where((F.col("created_at") >= end - F.make_dt_interval(F.lit(days))) & (F.col("created_at") <= end))
     if company_id is not None:
         recent = recent.where(F.col("company_id") == company_id)
+    return usage_events(recent)
+
+
+def cost_summary(usage: DataFrame, days: int, as_of: str, company_id: int | None = None) -> DataFrame:
+    """Totals of the last days before a given moment."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return recent.agg(zero(money("cost_usd")).cast("decimal(28,6)").alias("cost"), zero(F.sum("input_tokens")).alias("input_tokens"), zero(F.sum("output_tokens")).alias("output_tokens"), F.count(F.lit(1)).alias("calls"))
+    return usage_window(usage, days, as_of, company_id).agg(zero(money("cost_usd")).cast("decimal(28,6)").alias("cost"), zero(F.sum("input_tokens")).alias("input_tokens"), zero(F.sum("output_tokens")).alias("output_tokens"), F.count(F.lit(1)).alias("calls"))
 
 
 def job_progress(jobs: DataFrame, companies: DataFrame) -> DataFrame:

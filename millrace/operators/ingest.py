@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank_to_null, first_set, norm_url
+from millrace.session import broadcast_if_small, checkpoint, input_partitions
 
 
 def existing_urls(requested: DataFrame, companies: DataFrame) -> DataFrame:
@@ -61,13 +64,17 @@ def unstored_people(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def null_shared_values(people: DataFrame, columns: tuple[str, ...] = ("phone", "image_url")) -> DataFrame:
     """Values that several rows of a company share become null.
 
-    Shared values are found by an aggregate with map-side combine and joined back (AQE splits a hot value), so a value that
-    a third of all rows share needs no window over one huge partition.
+    One aggregate with map-side combine counts the values of all columns at once (nulls, which can't be shared, are set aside
+    before), and only what is shared is joined back, as one list of hits per row's company and value.
     """
+    values = people.select("company_id", F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]))).where("_value is not null")
+    shared = checkpoint(values.groupBy("company_id", "_column", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     out = people
     for c in columns:
-        shared = people.where(F.col(c).isNotNull()).groupBy("company_id", c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("company_id", c, F.lit(True).alias(f"_shared_{c}"))
-        out = out.join(shared, ["company_id", c], "left").withColumn(c, F.when(F.col(f"_shared_{c}").isNull(), F.col(c))).drop(f"_shared_{c}")
+        hits = broadcast_if_small(shared.where(F.col("_column") == c).select("company_id", F.col("_value").alias(c), F.lit(True).alias("_shared")))
+        bare, filled = out.where(F.col(c).isNull()), out.where(F.col(c).isNotNull())
+        marked = filled.join(hits, ["company_id", c], "left")
+        out = marked.withColumn(c, F.when(F.col("_shared").isNull(), F.col(c))).select(*people.columns).unionByName(bare)
     return out
 
 
@@ -77,10 +84,25 @@ def keep_substantive(people: DataFrame) -> DataFrame:
     return people.where(blank_to_null(F.trim("name")).isNotNull() & some.isNotNull())
 
 
+def running_number(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds ``place``, the number from 1 of each row within its group in the given order.
+
+    The rows are range-partitioned by group and order, so that a hot group spreads over many tasks; each task numbers its own
+    part, and the counts of the parts before it (one row per group and part) are added.
+    """
+    ranged = df.repartitionByRange(input_partitions(df), F.col(group).asc_nulls_first(), F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranged = checkpoint(ranged)
+    counts = ranged.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"))
+    # Most groups lie within one part; of a group's parts there are at most as many as partitions.
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", F.col(group).alias("_group"), "_before")
+    place = F.row_number().over(Window.partitionBy("_part", group).orderBy(order))
+    numbered = ranged.withColumn("_local", place).alias("a").join(broadcast_if_small(checkpoint(before)).alias("b"), (F.col("a._part") == F.col("b._part")) & F.col(f"a.{group}").eqNullSafe(F.col("b._group")))
+    return numbered.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_local") + F.col("_before")).alias("place"))
+
+
 def number_batches(people: DataFrame, size: int) -> DataFrame:
     """(id, company_id, batch): batches of ``size`` rows per company, by id."""
-    place = F.row_number().over(Window.partitionBy("company_id").orderBy("id"))
-    return people.select("id", "company_id", (F.floor((place - 1) / size) + 1).cast("int").alias("batch"))
+    return running_number(people.select("id", "company_id"), "company_id", "id").select("id", "company_id", (F.floor((F.col("place") - 1) / size) + 1).cast("int").alias("batch"))
 
 
 def next_versions(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -88,22 +110,31 @@ def next_versions(runs: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return runs.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-#: Columns that a repetition of a step empties.
+# Columns that a repetition of a step empties.
+ANALYSIS_COLUMNS = ("primary_expertise", "justification", "matched_13_categories", "sector", "matched_sector", "geography", "inferred_expertise_functional", "inference_reasoning", "matched_inferred_expertise_topics", "expertise_raw")
+PROFILE_COLUMNS = ("linkedin_enriched_at", "linkedin_headline", "linkedin_summary", "linkedin_experience", "linkedin_education", "linkedin_skills", "linkedin_experience_summary")
 RESET_COLUMNS = {
-    "reanalyze": ("primary_expertise", "sector", "geography", "inferred_expertise_functional", "matched_inferred_expertise_topics"),
-    "reenrich": ("primary_expertise", "sector", "geography", "inferred_expertise_functional", "matched_inferred_expertise_topics", "linkedin_url"),
-    "backfill": ("primary_expertise", "sector", "geography", "matched_inferred_expertise_topics"),
+    "reanalyze": ANALYSIS_COLUMNS,
+    "reenrich": PROFILE_COLUMNS + ANALYSIS_COLUMNS,
+    "backfill": ("primary_expertise", "justification", "matched_13_categories", "sector", "geography", "inferred_expertise_functional", "matched_inferred_expertise_topics", "expertise_raw"),
+    "requalify": ("primary_expertise",),
 }
+#: Flags that a repetition sets back to false.
+RESET_FLAGS = {"reenrich": ("linkedin_enriched",)}
+# States in which a company is at work already and may not be started again.
+IN_PROGRESS = ("pending", "discovering", "scraping", "searching", "analyzing", "resolving", "enriching")
 
 
-def mask_columns(people: DataFrame, chosen: Column, columns: tuple[str, ...]) -> DataFrame:
-    """Null in ``columns`` of the chosen rows."""
-    return people.withColumns({c: F.when(~F.coalesce(chosen, F.lit(False)), F.col(c)) for c in columns})
+def mask_columns(people: DataFrame, chosen: Column, columns: tuple[str, ...], flags: tuple[str, ...] = ()) -> DataFrame:
+    """Null in ``columns`` and false in ``flags`` of the chosen rows; columns that the table lacks are passed over."""
+    hit = F.coalesce(chosen, F.lit(False))
+    empty = {c: F.when(~hit, F.col(c)) for c in columns if c in people.columns}
+    return people.withColumns(empty | {c: F.when(hit, F.lit(False)).otherwise(F.col(c)) for c in flags if c in people.columns})
 
 
 def choose_rows(mode: str) -> Column:
     """Rows a repetition applies to."""
-    if mode in ("reanalyze", "reenrich", "rescrape"):
+    if mode in ("resume", "reanalyze", "reenrich", "rescrape", "requalify"):
         return F.lit(True)
     if mode == "analyze_missing":
         return F.col("primary_expertise").isNull()
@@ -114,17 +145,62 @@ def choose_rows(mode: str) -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def plan_retry(people: DataFrame, company_id: int, mode: str) -> DataFrame:
-    """People of a company as a repetition would leave them, with the step each row goes to next."""
-    own = people.where(F.col("company_id") == company_id)
+def plan_retry(people: DataFrame, mode: str, company_id: int | None = None) -> DataFrame:
+    """People (of one company, or of all) as a repetition would leave them, with the step each row goes to next.
+
+    ``resume`` keeps all rows and goes on collecting; ``rescrape`` leaves none. ``reenrich`` keeps the profile addresses: rows
+    that have one are enriched again, the others are analysed again, and where nobody in a company has one all of them are
+    resolved first.
+    """
+    own = people if company_id is None else people.where(F.col("company_id") == company_id)
     chosen = choose_rows(mode)
     if mode == "rescrape":
         return own.where(~chosen).withColumn("next_step", F.lit("scrape"))
-    step = {"reanalyze": F.lit("analyze"), "analyze_missing": F.lit("analyze"), "backfill": F.lit("analyze"), "reresolve": F.lit("resolve"), "reenrich": F.when(blank_to_null(F.col("linkedin_url")).isNotNull(), "enrich").otherwise("analyze")}[mode]
-    routed = own.withColumn("next_step", F.when(chosen, step))
-    return mask_columns(routed, chosen, RESET_COLUMNS.get(mode, ()))
+    if mode == "reenrich":
+        has = blank_to_null(F.col("linkedin_url")).isNotNull()
+        some = own.where(has).select("company_id").distinct().withColumn("_some", F.lit(True))
+        step = F.when(has, "enrich").when(F.col("_some"), "analyze").otherwise("resolve")
+        routed = own.join(some, "company_id", "left").withColumn("next_step", step).select(*own.columns, "next_step")
+    else:
+        step = {"resume": "scrape", "reanalyze": "analyze", "analyze_missing": "analyze", "backfill": "analyze", "requalify": "analyze", "reresolve": "resolve"}[mode]
+        routed = own.withColumn("next_step", F.when(chosen, F.lit(step)))
+    return mask_columns(routed, chosen, RESET_COLUMNS.get(mode, ()), RESET_FLAGS.get(mode, ()))
+
+
+def requalify(people: DataFrame, ids: DataFrame) -> DataFrame:
+    """People as a repetition for chosen ids (of a quality filter, or one person) leaves them: a semi join, no list of literals."""
+    wanted = ids.select("id").distinct().withColumn("_wanted", F.lit(True))
+    routed = people.join(wanted, "id", "left").withColumn("next_step", F.when(F.col("_wanted"), F.lit("analyze")))
+    return mask_columns(routed, F.col("_wanted"), RESET_COLUMNS["requalify"]).select(*people.columns, "next_step")
+
+
+def startable(companies: DataFrame) -> DataFrame:
+    """Companies that may be started again: those not at work."""
+    return companies.where(~F.col("status").isin(*IN_PROGRESS))
+
+
+def failed_jobs(companies: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The job of each failed company."""
+    failed = companies.where("status = 'error'").select(F.col("id").alias("company_id"), "job_id", "error_message")
+    return failed.join(jobs.select(F.col("id").alias("job_id"), "filename", F.col("status").alias("job_status")), "job_id")
+
+
+def pick(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``: a semi join, so that long lists don't become literals."""
+    return df.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def text_to_list(value: Column, delimiter: str = ";") -> Column:
+    """A delimited text as a list: pieces trimmed, empty ones dropped; null for null, for a lone dash and for no pieces."""
+    pieces = F.filter(F.transform(F.split(value, re.escape(delimiter)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(value.isNotNull() & (value != "—") & (F.size(pieces) > 0), pieces)
+
+
+def list_to_text(value: Column, delimiter: str = "; ") -> Column:
+    """The way back of ``text_to_list``."""
+    return F.array_join(value, delimiter)
 
 
 def missing_sectors(people: DataFrame) -> DataFrame:
-    """Per company, the analysed people without a sector."""
-    return people.where(choose_rows("backfill")).groupBy("company_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """(company_id, id): the analysed people without a sector, one row each, so that no company becomes one huge array."""
+    return people.where(choose_rows("backfill")).select("company_id", "id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank_to_null
+from millrace.operators.analytics import check_page
 from millrace.operators.classify import CATEGORIES
 
 
@@ -95,3 +96,56 @@ def select_issues(validated: DataFrame, status: str | None = None, kind: str | N
         raise ValueError("give a status or a kind of issue")
     out = validated if status is None else validated.where(F.col("status") == status)
     return out if kind is None else out.where(F.exists(F.concat("hard", "soft"), lambda m: issue_kind(m) == kind))
+
+
+def issue_page(people: DataFrame, companies: DataFrame, validated: DataFrame, status: str | None = None, kind: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
+    """A page of validated people with the name of their company, by name; filters are optional here."""
+    check_page(page, size, 200)
+    chosen = validated if status is None and kind is None else select_issues(validated, status, kind)
+    labels = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    named = people.select("id", F.col("name").alias("person_name"), "company_id").join(labels, "company_id")
+    rows = chosen.join(named, "id").select("id", "person_name", "company_id", "company_name", "status", "hard", "soft")
+    return rows.orderBy(F.asc_nulls_last("person_name"), "id").offset((page - 1) * size).limit(size)
+
+
+def layer_rules(people: DataFrame) -> DataFrame:
+    """(id, issue): what the layers of a result break beyond ``rules``: a layer that is not in alphabetical order, an entry in
+    two layers, a topic twice. Columns: categories, declared, inferred, topics."""
+    layers = {c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), _none()) for c in ("categories", "declared", "inferred", "topics") if c in people.columns}
+    found = [F.when(layers[c] != F.array_sort(layers[c]), f"{c} not sorted") for c in layers if c != "inferred"]
+    names = [c for c in ("categories", "declared", "inferred") if c in layers]
+    found += [F.when(F.arrays_overlap(layers[a], layers[b]), f"{a} and {b} overlap") for i, a in enumerate(names) for b in names[i + 1 :]]
+    if "topics" in layers:
+        found.append(F.when(F.size(F.array_distinct(layers["topics"])) < F.size(layers["topics"]), "topics repeated"))
+    return people.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("issue"))
+
+
+# Where evidence may come from, and how many words of it are kept.
+EVIDENCE_SOURCES = ("title", "department", "bio", "headline", "summary", "experience", "education", "skills", "industries", "capabilities", "location")
+EVIDENCE_WORDS = 25
+
+
+def evidence_rules(people: DataFrame, items: str = "items", evidence: str = "evidence") -> DataFrame:
+    """(id, issue): entries of ``items`` without evidence, keys without entries, unknown sources and long quotations.
+    ``evidence`` is map<string, array<struct<source, text>>>."""
+    quotes = F.flatten(F.map_values(evidence))
+    found = F.array(
+        F.when(F.exists(items, lambda i: ~F.map_contains_key(F.col(evidence), i)), "entry without evidence"),
+        F.when(F.exists(F.map_values(evidence), lambda v: F.size(v) == 0), "empty evidence"),
+        F.when(F.exists(quotes, lambda q: ~q["source"].isin(*EVIDENCE_SOURCES)), "unknown source"),
+        F.when(F.exists(quotes, lambda q: F.size(F.split(F.trim(q["text"]), r"\s+")) > EVIDENCE_WORDS), "long quotation"),
+    )
+    return people.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue"))
+
+
+# Regions, and the short forms that stand for one or two of them.
+REGIONS = ("North America", "Latin America", "Europe", "Middle East & Africa", "Asia Pacific")
+REGION_SHORT = {"emea": ("Europe", "Middle East & Africa"), "apac": ("Asia Pacific",), "latam": ("Latin America",), "americas": ("North America", "Latin America"), "asia-pacific": ("Asia Pacific",), "global": ()}
+
+
+def to_regions(values: Column) -> Column:
+    """Sorted distinct regions of a list of names: regions as they are, short forms by the table, others dropped."""
+    short = F.create_map(*[x for k, v in REGION_SHORT.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in v]).cast("array<string>"))])
+    known = F.create_map(*[x for r in REGIONS for x in (F.lit(r.lower()), F.array(F.lit(r)))])
+    low = lambda v: F.lower(F.trim(v))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(values, lambda v: F.coalesce(known[low(v)], short[low(v)], _none())))))

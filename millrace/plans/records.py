@@ -107,9 +107,10 @@ def _team_links(s, d):
 
 
 def taxonomy_hints(s, d):
-    """First letters of a person's functional terms, by a mapping made from the reference list."""
-    mapping = table(s, d, "reference_terms").where("kind = 'functional'").select(F.col("term").alias("tag"), F.left("term", F.lit(1)).alias("category"))
-    return classify.taxonomy_hints(_p(s, d), mapping, "inferred_expertise_functional", skip=("Cyber",)).select("id", F.array_join("hints", ",").alias("hints"))
+    """What a person's listed sectors cover, by the notes of the reference list."""
+    mapping = table(s, d, "reference_terms").where("kind = 'sector' and note is not null").select(F.col("term").alias("tag"), F.col("note").alias("category"))
+    tagged = _p(s, d).select("id", t.split_list(F.col("sector"), ";").alias("tags"))
+    return classify.taxonomy_hints(tagged, mapping, "tags").select("id", F.array_join("hints", "|").alias("hints"))
 
 
 def firm_mentions(s, d):
@@ -127,17 +128,10 @@ def cascade_match(s, d):
     return resolve.cascade(people, [lambda left: resolve.match_addresses(left, profiles), lambda left: resolve.match_roster(left, roster)])
 
 
-def unified_results(s, d):
-    """Results of people and of profiles in one form."""
-    a = _p(s, d).select(F.lit("people").alias("origin"), "id", F.col("primary_expertise").alias("label"), F.size(F.coalesce("matched_inferred_expertise_topics", F.array())).alias("items"))
-    b = table(s, d, "roster_profiles").select(F.lit("profile").alias("origin"), F.col("profile_id").alias("id"), F.col("current_title").alias("label"), F.size(F.coalesce(t.split_list(F.col("skills"), "•"), F.array())).alias("items"))
-    return a.unionByName(b)
-
-
 def retry_steps(s, d):
     """Rows each repetition would touch in every company."""
     people = _p(s, d)
-    modes = F.filter(F.array(*[F.when(F.coalesce(ingest.choose_rows(m), F.lit(False)), F.lit(m)) for m in ("reanalyze", "analyze_missing", "reresolve", "backfill")]), lambda x: x.isNotNull())
+    modes = F.filter(F.array(*[F.when(F.coalesce(ingest.choose_rows(m), F.lit(False)), F.lit(m)) for m in ("resume", "reanalyze", "analyze_missing", "reenrich", "reresolve", "backfill")]), lambda x: x.isNotNull())
     return people.select("company_id", F.explode(modes).alias("mode")).groupBy("company_id", "mode").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,11 +139,10 @@ QUERIES = {
     "taxonomy_hints": taxonomy_hints,
     "firm_mentions": firm_mentions,
     "cascade_match": cascade_match,
-    "unified_results": unified_results,
     "retry_steps": retry_steps,
-    "job_companies": lambda s, d: analytics.jobs_with_companies(table(s, d, "jobs"), _c(s, d)).select("job_id", F.size(F.coalesce("companies", F.array())).alias("n_companies")),
+    "job_companies": lambda s, d: analytics.jobs_with_companies(table(s, d, "jobs"), _c(s, d)).select("job_id", "filename", "status", F.array_join(F.transform("companies", lambda c: F.concat_ws("|", c["id"].cast("string"), c["url"], c["status"])), ";").alias("companies")),
     "event_windows": lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("decimal(28,6)").alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total"),
-    "rendered_people": lambda s, d: classify.render_person(_p(s, d)).select("id", F.length("rendered").alias("length")),
+    "rendered_people": lambda s, d: classify.render_person(_p(s, d)),
     "category_check": lambda s, d: classify.validate_categories(_p(s, d).select("id", F.array("primary_expertise").alias("c")), "c", [], tuple(r[0] for r in table(s, d, "reference_terms").where("kind = 'expertise'").orderBy("term_id").select("term").collect()), {}).groupBy("how").agg(F.count(F.lit(1)).alias("n")),
     "existing_urls": lambda s, d: ingest.existing_urls(_requested(s, d), _c(s, d)),
     "new_urls": lambda s, d: ingest.new_urls(_requested(s, d), _c(s, d)),
@@ -160,9 +153,8 @@ QUERIES = {
     "substantive_people": lambda s, d: ingest.keep_substantive(_p(s, d)).select("id"),
     "batch_numbers": lambda s, d: ingest.number_batches(_p(s, d), 50),
     "run_versions": lambda s, d: ingest.next_versions(table(s, d, "usage_logs").dropDuplicates(["id"]).select("id", "company_id", "provider", "model", "created_at"), ["company_id", "provider", "model"], ["created_at", "id"]).select("id", "version"),
-    "reset_mask": lambda s, d: ingest.plan_retry(_p(s, d), 3, "reenrich").select("id", "primary_expertise", "linkedin_url", "next_step"),
-    "missing_sectors": lambda s, d: ingest.missing_sectors(_p(s, d)).select("company_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")),
-    "export_rows": lambda s, d: export.export_rows(_p(s, d), _c(s, d), 3),
+    "missing_sectors": lambda s, d: ingest.missing_sectors(_p(s, d)),
+    "export_rows": lambda s, d: export.export_rows(_p(s, d), _c(s, d)),
     "photo_names": lambda s, d: export.photo_names(_p(s, d)),
     "norm_url": lambda s, d: _c(s, d).select("id", t.norm_url(F.col("url")).alias("norm_url")),
     "domain_name": lambda s, d: _c(s, d).select("id", t.domain_name(F.col("url")).alias("domain_name")),
@@ -170,7 +162,7 @@ QUERIES = {
     "firm_slug": lambda s, d: _c(s, d).where("name is not null").select("id", t.firm_slug(F.col("name")).alias("slug")),
     "profile_slug": lambda s, d: _p(s, d).select("id", t.profile_slug(F.col("linkedin_url")).alias("slug")),
     "headline_title": lambda s, d: table(s, d, "roster_profiles").select("profile_id", t.headline_title(F.col("headline"), F.col("current_title")).alias("title")),
-    "list_skills": lambda s, d: table(s, d, "roster_profiles").select("profile_id", F.size(t.distinct_ignoring_case(F.coalesce(t.split_list(F.col("skills"), "•"), F.array().cast("array<string>")))).alias("n_skills")),
+    "list_skills": lambda s, d: table(s, d, "roster_profiles").select("profile_id", F.array_join(t.distinct_ignoring_case(F.coalesce(t.split_list(F.col("skills"), "•"), F.array().cast("array<string>"))), "•").alias("skills")),
     "join_topics": lambda s, d: _p(s, d).select("id", t.join_list(F.col("matched_inferred_expertise_topics")).alias("topics")),
     "keyword_categories": keyword_categories,
     "primary_by_priority": primary_by_priority,
@@ -201,6 +193,9 @@ _LABEL = "translate(string_split(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-
 _DOMAIN = f"array_to_string(list_transform(string_split({_LABEL}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 
+_PATH_POINTS = "case " + " ".join(f"when starts_with(path, '{w}') or contains(path, '{w}/') then {n}" for w, n in pages.LINK_PATHS) + " else 0 end"
+
+
 def _line(label, c):
     return f"case when nullif({c}, '') is not null then '{label}: ' || {c} end"
 
@@ -208,15 +203,13 @@ def _line(label, c):
 SQL = {
     "domain_name": f"select id, {_DOMAIN} as domain_name from companies",
     "search_name": f"select id, case when regexp_matches(name, '[ \\p{{Lu}}]') then name else coalesce(nullif({_DOMAIN}, ''), name, url, '') end as search_name from companies",
-    "rendered_people": "select id, cast(length(concat_ws(chr(10), " + ", ".join([_line("Name", "name"), _line("Title", "title"), _line("Department", "department"), _line("Bio", "left(bio, 500)"), _line("Topics", "array_to_string(list_slice(matched_inferred_expertise_topics, 1, 20), ', ')")]) + ")) as int) as length from people",
-    "best_team_link": "select id as page_id, team_url as href, case when lower(team_url) like '%/our-people%' then 11 when lower(team_url) like '%/team%' or lower(team_url) like '%/people%' then 10 else 7 end as score from companies where team_url is not null",
-    "taxonomy_hints": """with x as (select distinct p.id, left(r.term, 1) as c from (select id, unnest(inferred_expertise_functional) as tag from people) p join reference_terms r on r.term = p.tag and r.kind = 'functional' where p.tag <> 'Cyber')
- select id, string_agg(c, ',' order by c) as hints from x group by 1""",
-    "unified_results": """select 'people' as origin, id, primary_expertise as label, cast(len(coalesce(matched_inferred_expertise_topics, [])) as int) as items from people union all
- select 'profile', profile_id, current_title, cast(len(list_filter(list_transform(string_split(coalesce(skills, ''), '•'), lambda x: trim(x, ' ')), lambda x: x <> '')) as int) from roster_profiles""",
-    "retry_steps": """select company_id, mode, count(*) as n from (select company_id, 'reanalyze' as mode from people union all select company_id, 'analyze_missing' from people where primary_expertise is null
+    "rendered_people": "select id, concat_ws(chr(10), " + ", ".join([_line("Name", "name"), _line("Title", "title"), _line("Department", "department"), _line("Bio", "left(bio, 500)"), _line("Topics", "array_to_string(list_slice(matched_inferred_expertise_topics, 1, 20), ', ')")]) + ") as rendered from people",
+    "best_team_link": "select id as page_id, team_url as href, 5 + 2 + " + _PATH_POINTS + " as score from (select *, regexp_extract(lower(team_url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from companies where team_url is not null)",
+    "taxonomy_hints": """with x as (select distinct p.id, r.note as c from (select id, trim(unnest(string_split(sector, ';')), ' ') as tag from people) p join reference_terms r on r.term = p.tag and r.kind = 'sector' where r.note is not null)
+ select id, string_agg(c, '|' order by c) as hints from x group by 1""",
+    "retry_steps": """select company_id, mode, count(*) as n from (select company_id, unnest(['resume', 'reanalyze', 'reenrich']) as mode from people union all select company_id, 'analyze_missing' from people where primary_expertise is null
  union all select company_id, 'reresolve' from people where linkedin_url is null union all select company_id, 'backfill' from people where primary_expertise is not null and (sector is null or sector = '')) group by 1, 2""",
-    "job_companies": "select j.id as job_id, cast(count(c.id) as int) as n_companies from jobs j left join companies c on c.job_id = j.id group by 1",
+    "job_companies": "select j.id as job_id, j.filename, j.status, string_agg(concat_ws('|', cast(c.id as varchar), c.url, c.status), ';' order by c.id) as companies from jobs j left join companies c on c.job_id = j.id group by 1, 2, 3",
     "event_windows": "select cast(ts as date) as day, event_type, count(*) as n, cast(sum(cast(value as decimal(18,6))) as decimal(28,6)) as total from events group by 1, 2",
     "existing_urls": f"select r.url from ({_REQ}) r where {_NORM.format('r.url')} in (select {_NORM.format('url')} from companies)",
     "new_urls": f"select distinct {_NORM.format('r.url')} as url from ({_REQ}) r where {_NORM.format('r.url')} not in (select {_NORM.format('url')} from companies)",
@@ -230,16 +223,15 @@ SQL = {
     "substantive_people": "select id from people where nullif(trim(name, ' '), '') is not null and coalesce(" + ", ".join(f"nullif(trim({c}, ' '), '')" for c in ("title", "bio", "email", "phone", "linkedin_url", "image_url", "location", "profile_url")) + ") is not null",
     "batch_numbers": "select id, company_id, cast((row_number() over (partition by company_id order by id) - 1) // 50 + 1 as int) as batch from people",
     "run_versions": "select id, cast(row_number() over (partition by company_id, provider, model order by created_at, id) as int) as version from (select distinct id, company_id, provider, model, created_at from usage_logs)",
-    "reset_mask": "select id, cast(null as varchar) as primary_expertise, cast(null as varchar) as linkedin_url, case when nullif(linkedin_url, '') is not null then 'enrich' else 'analyze' end as next_step from people where company_id = 3",
-    "missing_sectors": "select company_id, string_agg(cast(id as varchar), ',' order by id) as ids from people where primary_expertise is not null and (sector is null or sector = '') group by 1",
+    "missing_sectors": "select company_id, id from people where primary_expertise is not null and (sector is null or sector = '')",
     "export_rows": "select p.id, coalesce(nullif(c.name, ''), c.url) as company, coalesce(nullif(p.department, ''), nullif(c.name, ''), c.url, '—') as department, "
     + ", ".join(_EMPTYS.format(c).replace("nullif(", "nullif(p.") for c in export.EXPORT_COLUMNS if c not in ("department", "inferred_expertise_functional", "matched_inferred_expertise_topics"))
     + ", "
     + ", ".join(f"coalesce(nullif(array_to_string(list_filter(p.{c}, lambda x: x is not null and x <> ''), '; '), ''), '—') as {c}" for c in ("inferred_expertise_functional", "matched_inferred_expertise_topics"))
-    + " from people p join companies c on c.id = p.company_id where p.company_id = 3",
+    + " from people p join companies c on c.id = p.company_id",
     "norm_url": f"select id, {_NORM.format('url')} as norm_url from companies",
     "headline_title": "select profile_id, coalesce(nullif(string_split(headline, ' at ')[1], ''), nullif(current_title, '')) as title from roster_profiles",
-    "list_skills": "select profile_id, cast(len(list_distinct(list_transform(list_filter(list_transform(string_split(coalesce(skills, ''), '•'), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: lower(x)))) as int) as n_skills from roster_profiles",
+    "list_skills": "with x as (select profile_id, list_filter(list_transform(string_split(coalesce(skills, ''), '•'), lambda x: trim(x, ' ')), lambda x: x <> '') as l from roster_profiles) select profile_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '•') as skills from x",
     "join_topics": "select id, nullif(array_to_string(matched_inferred_expertise_topics, '; '), '') as topics from people",
     "profile_slug": "select id, nullif(regexp_extract(lower(linkedin_url), '/(?:company|in)/([^/?#]+)', 1), '') as slug from people",
     "firm_slug": "select id, regexp_replace(case "

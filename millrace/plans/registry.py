@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics, records, training
+from millrace.plans import analytics, records, results, training
 
 
 def _modules() -> list:
-    return [analytics, records, training]
+    return [analytics, records, results, training]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

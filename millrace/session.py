@@ -36,14 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's setting if there is one, else one under the local warehouse (tests)."""
+    """The folder for checkpoints: the cluster's setting; only a session that runs on one machine may do without one (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined() and (not configured or current.get().startswith(configured.rstrip("/"))):
         return current.get()
     if not configured:
-        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_checkpoints")
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
     sc.setCheckpointDir(configured)
     return configured
 

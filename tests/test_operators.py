@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.functions.udfs import close_match, fold, join_url, sequence_ratio, set_query_param
-from millrace.operators import classify, export, firms, ingest, normalise, packed, pages, quality, resolve
+from millrace.operators import classify, export, firms, ingest, normalise, packed, pages, quality, resolve, results
 from millrace.sources import lists, sinks
 from millrace.streaming import incremental
 
@@ -300,3 +300,92 @@ def test_roster_of_firms_written_otherwise(spark, tmp_path):
     assert {(r["id"], r["profile_id"]) for r in records.roster_match(spark, str(tmp_path)).collect()} == {(1, 11), (2, 21), (3, 31)}
     assert {(r["id"], r["profile_id"], r["step"]) for r in records.cascade_match(spark, str(tmp_path)).collect()} == {(1, 11, 1), (2, 21, 1), (3, 31, 1)}
     assert {r[0] for r in records.roster_without_company(spark, str(tmp_path)).collect()} == {41, 42}
+
+
+# --- numbering, chains, page trees, answers ------------------------------------------------------------------------------
+
+def test_running_number_over_hot_groups(spark):
+    rows = [(i, 3 if i % 2 else i % 5) for i in range(1, 400)] + [(1000, None), (1001, None)]
+    got = {r["id"]: r["place"] for r in ingest.running_number(spark.createDataFrame(rows, "id long, company_id long"), "company_id", "id").collect()}
+    want, seen = {}, {}
+    for i, c in sorted(rows):
+        seen[c] = seen.get(c, 0) + 1
+        want[i] = seen[c]
+    assert got == want
+    assert ingest.running_number(spark.createDataFrame([], "id long, company_id long"), "company_id", "id").count() == 0
+
+
+def test_long_chains_and_cycles_are_followed_to_their_end(spark):
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(300)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("a5", None), ("b", "a298")]
+    pages_ = spark.createDataFrame(chain, "url string, next_url string")
+    got = {r["url"]: r["hop"] for r in pages.follow_next(pages_, spark.createDataFrame([("a0",), ("c0",), ("b",)], "url string")).collect()}
+    want = {f"a{i}": i for i in range(301)} | {"c0": 0, "c1": 1, "c2": 2, "b": 0, "a298": 1, "a299": 2, "a300": 3}
+    assert got == want
+    assert pages.follow_next(pages_, spark.createDataFrame([], "url string")).count() == 0
+
+
+TREE_HTML = """<html><head><link rel="next" href="/p3"></head><body><nav><a href="/team">Our team</a></nav>
+<ul><li class="card">A</li><li class="card">B</li><li class="card">C</li><li class="card">D</li><li class="other">E</li></ul>
+<div class="modal" id="m1"><div class="modal-body"><p>Ann Lee {0}</p></div></div><div class="modal fade" id="m2"><div class="bio">Zoe {0}</div></div><div class="modal" id="m3"><p>short</p></div>
+<a class="next" href="#">x</a><a href="/p2">Next &gt;</a></body></html>""".format("has led audits of banks and insurers in many countries for more than twenty years.")
+
+
+def test_page_trees(spark):
+    df = spark.createDataFrame([(1, "https://a.example/p1", TREE_HTML), (2, "https://a.example/p1", None), (3, "https://a.example/x", "<a href='/p9' rel='next prev'>go</a>"), (4, "https://a.example/x", "<br><p>no")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["next_url"] for r in pages.next_links(df).collect()} == {1: "https://a.example/p2", 2: None, 3: "https://a.example/p9", 4: None}
+    assert {r["page_id"]: r["n"] for r in df.select("page_id", pages.rel_next(F.col("html")).alias("n")).collect()} == {1: ["/p3"], 2: None, 3: ["/p9"], 4: []}
+    collapsed = {r["page_id"]: r for r in pages.collapse_repeats(df).collect()}
+    assert collapsed[1]["removed"] == 1 and ">D<" not in collapsed[1]["html"] and ">E<" in collapsed[1]["html"] and collapsed[2]["removed"] == 0
+    bios = pages.modal_bios(df)
+    assert [(r["modal_id"], r["bio"][:7]) for r in bios.orderBy("pos").collect()] == [("m1", "Ann Lee"), ("m2", "Zoe has")]
+    people = spark.createDataFrame([(7, 1, 0, "Zoe Lee", None), (8, 1, 1, "Ann Lee", None), (9, 1, 2, "Bob Roe", None), (10, 1, 3, "Ann Lee", "x" * 90), (11, 5, 0, "Ann", None)], "id long, page_id long, pos int, name string, bio string")
+    # The first person takes the first dialog that holds the last name, so the second is left with the other one's.
+    assert {(r["id"], r["modal_id"]) for r in pages.match_modals(people, bios).collect()} == {(7, "m1")}
+
+
+def test_page_texts(spark):
+    df = spark.createDataFrame([(1, '[{"a": 1, "b": 2}, "x", [3], {"c": 1}]', '```python\nprint(1)\n```\n```json\n{"n": 2}\n```', '"name": 1, "name": 2, "title"'), (2, "no json", None, "")], "id long, j string, a string, t string")
+    rows = {r["id"]: r for r in df.select("id", pages.dereference_json("j").alias("d"), pages.code_and_meta(F.col("a")).alias("c"), pages.keyword_score(F.col("t"), ("name", "title")).alias("s")).collect()}
+    assert rows[1]["d"] == '{"a": "x", "b": [{"c": "x"}]}' and rows[2]["d"] is None
+    assert rows[1]["c"]["code"] == "print(1)" and rows[1]["c"]["meta"] == '{"n": 2}' and rows[1]["s"] == 3 and rows[2]["s"] == 0
+
+
+def test_discovery_refines_once(spark):
+    links = spark.createDataFrame([(1, "https://a.example/", 0, "https://a.example/about/team", "Team", "nav"), (2, "https://a.example/about/team", 0, "https://a.example/our-people", "Our people", ""), (3, "https://b.example/", 0, "https://b.example/careers", "Careers", "nav")], "page_id long, url string, pos int, href string, text string, context string")
+    got = {(r["page_id"], r["href"], r["how"]) for r in pages.discover_pages(links, fallback=F.concat("url", F.lit("people"))).collect()}
+    assert (1, "https://a.example/our-people", "refined") in got and (3, "https://b.example/people", "fallback") in got
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([(1, "Law", ["Tax"]), (2, "law", ["Tax"]), (3, "Laww", ["Tax"]), (4, "Banking", ["Tax"]), (5, "Retail", []), (6, "zzz", ["Tax"]), (7, "zzz", None), (8, None, ["Tax"])], "id long, primary string, categories array<string>")
+    got = {r["id"]: r["primary"] for r in results.guard_primary(df, ("Law", "Tax", "Finance"), ("Banking", "Retail"), {"Banking": "Finance"}).collect()}
+    assert got == {1: "Law", 2: "law", 3: "Law", 4: "Finance", 5: None, 6: "Tax", 7: None, 8: None}
+    people = spark.createDataFrame([("x", 0, 1, "Ann  Lee"), ("x", 1, 2, "Bob"), ("y", 0, 3, "C"), ("y", 1, 4, "D"), ("z", 0, 5, "E")], "batch string, pos int, id long, name string")
+    answers = spark.createDataFrame([("x", 0, "ann lee", "a1"), ("x", 1, "ANN LEE", "a2"), ("y", 0, None, "c"), ("y", 1, "", "d"), ("z", 0, None, "e"), ("z", 1, None, "f")], "batch string, pos int, name string, answer string")
+    assert {tuple(r) for r in results.match_answers(people, answers).collect()} == {(1, "a2", "name"), (3, "c", "position"), (4, "d", "position")}
+    ties = spark.createDataFrame([(1, "tax and law", None, {"Tax": 1, "Law": 3}), (2, "Tax lead", "law", {"Law": 9}), (3, None, "law", {"Tax": 2}), (4, None, None, {"Tax": 2, "Law": 2}), (5, None, None, None)], "id long, title string, practice string, counts map<string,bigint>")
+    assert {(r["id"], r["primary"], r["rule"]) for r in results.primary_tiebreak(ties, {"Tax": ["tax"], "Law": ["law"]}).collect()} == {(1, "Law", "title evidence"), (2, "Tax", "title"), (3, "Law", "practice"), (4, "Law", "evidence"), (5, None, None)}
+    entry = results.person_entry(spark.createDataFrame([(1, "Ann", None, None, None, None, [], "h")], "id long, name string, title string, department string, bio string, location string, skills array<string>, headline string"), ("skills", "headline", "absent")).first()["entry"]
+    assert entry == '{"name":"Ann","title":"","department":"","bio":"","location":"","headline":"h"}'
+
+
+def test_evidence_rules(spark):
+    df = spark.createDataFrame([(1, ["a"], {"a": [("bio", "led a")]}), (2, ["a", "b"], {"a": [("rumour", "x " * 30)]}), (3, ["a"], {"a": []})], "id long, items array<string>, evidence map<string, array<struct<source: string, text: string>>>")
+    assert {tuple(r) for r in quality.evidence_rules(df).collect()} == {(2, "entry without evidence"), (2, "unknown source"), (2, "long quotation"), (3, "empty evidence")}
+
+
+def test_education_and_export_columns(spark):
+    df = spark.createDataFrame([(1, [("", "BSc", "Ulm", "1999"), ("MBA 2003", None, None, None)]), (2, []), (3, None)], "id long, e array<struct<raw: string, degree: string, institution: string, year: string>>")
+    assert {r["id"]: r["t"] for r in df.select("id", export.render_education(F.col("e")).alias("t")).collect()} == {1: "BSc, Ulm, 1999 | MBA 2003", 2: None, 3: None}
+    assert len(export.TABLE_COLUMNS) == 24
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))), conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_checkpoint_dir(fake)
