@@ -106,6 +106,58 @@ def test_survivors_without_timestamps(spark):
     assert survivors_of(spark, [(1, 3, None, "aroe@x.example", None, None), (2, 3, None, "ann.roe@x.example", None, None)]) == {(1, "email"): 1}
 
 
+def test_precedence_is_a_partial_order(spark):
+    """Transitions a -> b -> c and, rarer, c -> a: the cycle is cut at its weakest edge, and the order is closed."""
+    group = lambda i, *kinds: [(i * 10 + k, "email", kind, k, i) for k, kind in enumerate(kinds)]
+    rows = [r for i in range(40) for r in group(i, "a", "b")] + [r for i in range(40, 80) for r in group(i, "b", "c")] + [r for i in range(80, 92) for r in group(i, "c", "a")] + [r for i in range(92, 94) for r in group(i, "a", "c")] + [r for i in range(94, 96) for r in group(i, "d", "a")]
+    df = spark.createDataFrame(rows, "from_id long, field_name string, kind string, n int, first_id long").withColumn("ts", F.timestamp_seconds("n"))
+    assert survivor.learn_precedence(survivor.kinds_of_groups(df)) == {("email", "a"): frozenset("bc"), ("email", "b"): frozenset("c")}
+
+
+def test_latest_value_of_partial_orders_against_brute_force(spark):
+    """Random groups, partly dated: the values that no path of timestamps and kinds leads on from, a dated one first, then the smallest id."""
+    later = {("email", "a"): frozenset("bc"), ("email", "b"): frozenset("c"), ("email", "d"): frozenset("c")}
+    rng, rows, groups = random.Random(8), [], {}
+    for g in range(300):
+        values = [(g * 10 + k, rng.choice("abcd"), rng.choice([None, None, *range(5)])) for k in range(rng.randrange(1, 6))]
+        rows += [(g, "email", kind, None if t is None else t, i) for i, kind, t in values]
+        groups[g] = values
+    df = spark.createDataFrame(rows, "first_id long, field_name string, kind string, n int, from_id long").withColumn("ts", F.timestamp_seconds("n"))
+    found = survivor.kinds_of_groups(df).select("first_id", survivor.latest_of(F.col("kinds"), F.col("field_name"), later).alias("v"))
+    got = {r["first_id"]: r["v"] for r in found.collect()}
+    after = lambda k: later.get(("email", k), frozenset())
+    for g, values in groups.items():
+        dated = [v for v in values if v[2] is not None]
+        edges = {v[0]: [w for w in values if w is not v and (v[2] < w[2] or v[2] == w[2] and v[0] > w[0] if v[2] is not None and w[2] is not None else w[1] in after(v[1]))] for v in values}
+        # Timestamps win: an edge of kinds that leads back against them is no edge.
+        newest = max(dated, key=lambda v: (v[2], -v[0]), default=None)
+        open_ = [v for v in values if v[2] is None and not edges[v[0]] and not any(w[1] in after(v[1]) for w in values)]
+        if newest is None:
+            want = min(v[0] for v in open_)
+        else:
+            beats = [v[0] for v in open_ if v[1] in after(newest[1])]
+            want = min(beats) if beats else newest[0]
+        assert got[g] == want, values
+
+
+def test_survivors_with_blanked_timestamps(spark):
+    """With 30 % of the timestamps blank most answers stay; with none left every field still has its survivor."""
+    people = table(spark, "/root/testdata/sf0.01", "people", ["id", "company_id", "name", "title", "updated_at", *survivor.FIELDS])
+    key = lambda df: {(r["first_id"], r["field_name"]): r["from_id"] for r in df.collect()}
+    full = key(survivor.find_survivors(people))
+    for share, least in ((30, 0.9), (100, 0.75)):
+        blank = people.withColumn("updated_at", F.when(F.pmod(F.xxhash64("id"), F.lit(100)) >= share, F.col("updated_at")))
+        got = key(survivor.find_survivors(blank))
+        assert set(got) == set(full) and sum(got[k] == v for k, v in full.items()) >= least * len(full)
+
+
+def test_lines_that_an_office_shares_are_nobodys(spark):
+    rows = [{"id": i, "company_id": 1, "name": n, "phone": "+1 555 00 000 0777", "email": f"{n[:2].lower()}@x.example"} for i, n in enumerate(["Ann Roebuck", "Bob Landseer", "Cy Montague", "Roebuck Ann"])]
+    rows += [{"id": 10, "company_id": 2, "name": "Ann Roebuck", "phone": "+1 555 00 000 0777"}]
+    shared = survivor.shared_values(people_df(spark, rows)).collect()
+    assert [(r["company_id"], r["field_name"]) for r in shared] == [(1, "phone")]
+
+
 # --- 5 canonical values ------------------------------------------------------------------------------------------------
 
 def test_canonical_values():
