@@ -4,11 +4,12 @@ One-versus-rest linear classifiers over hashed word n-grams score each *sentence
 sentences has it, so that a single sentence is enough. Three things keep out what isn't the work described: lines that are
 page metadata (rosters, job titles, breadcrumbs, headings) are set aside by their form; a second linear classifier over
 sentence frames (the words that belong to no area) learns which frames are passing remarks, from how seldom their area is
-one of the rest of the document; and thresholds are calibrated per area on the examples.
+one of the rest of the document; and thresholds are calibrated per area on the examples, through the rule that decides.
 
 Training: the labelled examples (each with its one area) start a mixture model over sentences, in which each document has
-its own blend of areas; a bounded sample of documents then spreads the labels to phrases that the examples lack. Its
-posteriors are the weak labels of the linear classifiers.
+its own blend of areas; a bounded sample of documents then spreads the labels to phrases that the examples lack. Only
+sentences with a confident label teach the next round, and words that no area has shown yet speak for none of them, so that
+the few texts of other languages are reached too. Its posteriors are the weak labels of the linear classifiers.
 
 Edge cases: null, empty and blank texts have no row; a text without any area has ``general``; texts of any length are read
 whole, sentence by sentence; repeated documents get the same areas; without examples every text is ``general``.
@@ -33,15 +34,17 @@ GENERAL = "general"
 WEAK_DOCUMENTS, MAX_EXAMPLES = 20_000, 20_000
 DIMENSIONS = 1 << 16
 EPOCHS, RATE, DECAY = 10, 0.5, 1e-5
-#: Rounds of the mixture model on the examples alone and with the documents; its smoothing.
-SEED_ROUNDS, ROUNDS, SMOOTHING = 4, 10, 0.02
+#: Rounds of the mixture model on the examples alone and with the documents; the corpus's part in the words of each area.
+SEED_ROUNDS, ROUNDS, SMOOTHING = 4, 10, 0.2
+#: Part of a page's sentences that are of no area.
+NONE = 0.02
 #: How many sentences of unlabelled documents a sentence of an example outweighs.
 EXAMPLE_WEIGHT = 10.0
 #: A sentence whose remark score is above this is a passing remark.
 REMARK = 0.5
 CONFIDENT = 0.6
-#: A sentence also has its best area from this probability on if it is so many times that of the second.
-CLEAR, CLEAR_RATIO = 0.2, 3.0
+#: Thresholds that the calibration tries.
+GRID = np.linspace(0.1, 0.7, 61)
 
 # Addresses and code that get pasted into prose.
 _SCRAP = r"(?:https?://|www\.)(?:\S*[^\s.,;:!?)\"”’])?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:if|for|while) ?\([^()\n]{0,80}[<>=;][^()\n]{0,80}\) ?\{[^{}\n]{0,200}\}|<\|\w{1,30}\|>"
@@ -220,39 +223,39 @@ class SubjectModel:
     def frame(self, words: list[str]) -> np.ndarray:
         return frame_of(words, self.frame_words)
 
+    def scores_of(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Area probabilities and remark score of each list of words; equal ones are scored once, all of a batch together."""
+        distinct = {k: i for i, k in enumerate(dict.fromkeys(map(tuple, sentences)))}
+        known = list(distinct)
+        p = self.area_model.probabilities([topic_of(k, self.frame_words) for k in known])
+        q = self.remark_model.probabilities([self.frame(k) for k in known])[:, 0] if self.remark_model else np.zeros(len(known))
+        at = [distinct[tuple(w)] for w in sentences]
+        return p[at], q[at]
+
     def sentence_scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per sentence: area probabilities (best of its readings) and remark score."""
-        rows, frames, owner = [], [], []
-        for i, s in enumerate(sentences):
-            for r in readings(s):
-                words = words_of(r)
-                rows.append(topic_of(words, self.frame_words))
-                frames.append(self.frame(words))
-                owner.append(i)
-        p = self.area_model.probabilities(rows)
-        q = self.remark_model.probabilities(frames)[:, 0] if self.remark_model else np.zeros(len(rows))
-        best = np.zeros((len(sentences), len(self.areas)))
-        remark = np.ones(len(sentences))
-        for i, pi, qi in zip(owner, p, q):
-            best[i] = np.maximum(best[i], pi)
-            remark[i] = min(remark[i], qi)
+        """Per sentence: area probabilities (best of its readings) and remark score (lowest of them)."""
+        read = [readings(s) for s in sentences]
+        owner = np.repeat(np.arange(len(read)), [len(r) for r in read]).astype(np.int64)
+        p, q = self.scores_of([words_of(r) for rs in read for r in rs])
+        best, remark = np.zeros((len(sentences), len(self.areas))), np.ones(len(sentences))
+        np.maximum.at(best, owner, p)
+        np.minimum.at(remark, owner, q)
         return best, remark
 
+    def areas_of_all(self, texts: list[str]) -> list[list[str]]:
+        """The areas of each text: those that reach their threshold in a sentence that is no remark, else ``general``."""
+        if not self.areas:
+            return [[GENERAL] for _ in texts]
+        cut = [sentences_of(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut]).astype(np.int64)
+        best = np.zeros((len(texts), len(self.areas)))
+        if len(owner):
+            p, remark = self.sentence_scores([s for c in cut for s in c])
+            np.maximum.at(best, owner[remark <= REMARK], p[remark <= REMARK])
+        return [[a for a, hit in zip(self.areas, row) if hit] or [GENERAL] for row in best >= self.thresholds]
+
     def areas_of(self, text: str) -> list[str]:
-        sentences = sentences_of(text)
-        if not sentences or not self.areas:
-            return [GENERAL]
-        p, remark = self.sentence_scores(sentences)
-        p = p[remark <= REMARK]
-        if not len(p):
-            return [GENERAL]
-        best = p.max(axis=0)
-        if len(self.areas) > 1:
-            # A sentence that is far nearer to one area than to any other has it below the threshold too.
-            first, second = np.sort(p, axis=1)[:, [-1, -2]].T
-            for i in np.flatnonzero((first >= CLEAR) & (first >= CLEAR_RATIO * second)):
-                best[p[i].argmax()] = 1.0
-        return [a for a, b, t in zip(self.areas, best, self.thresholds) if b >= t] or [GENERAL]
+        return self.areas_of_all([text])[0]
 
 
 class _Rows:
@@ -299,19 +302,25 @@ def spread_labels(examples: list[tuple[list[list[str]], int]], documents: list[l
     q = blend[seen.document]
     new = _Rows(documents, frame_words)
     prior = np.full(k, 0.15)
-    prior[-1] = 0.3
+    prior[-1] = 0.15 * n_areas * NONE / (1 - NONE)
+    background = (np.bincount(np.concatenate([seen.flat, new.flat]), minlength=DIMENSIONS) + 1e-3)[:, None]
+    background = background / background.sum()
     new_blend, new_q = np.tile(prior / prior.sum(), (max(1, new.n_documents), 1)), None
     for step in range(SEED_ROUNDS + (ROUNDS if documents else 0)):
         counts = seen.counts(q)
         if new_q is not None:
-            counts = EXAMPLE_WEIGHT * counts + new.counts(new_q)
-        p = counts + SMOOTHING
-        log_p = np.log(p / p.sum(axis=0, keepdims=True))
+            # Only sentences with a confident label teach: what the labels haven't reached yet mustn't harden into none.
+            counts = EXAMPLE_WEIGHT * counts + new.counts(new_q * (new_q.max(axis=1, keepdims=True) >= CONFIDENT))
+        # Mixed with the corpus, so that a word which no area has shown yet speaks for none of them, however small it is.
+        log_p = np.log((1 - SMOOTHING) * counts / np.maximum(counts.sum(axis=0, keepdims=True), 1e-9) + SMOOTHING * background)
         q = _posteriors(seen, log_p, blend)
         if documents and step >= SEED_ROUNDS - 1:
             new_q = _posteriors(new, log_p, new_blend)
             mass = np.stack([np.bincount(new.document, weights=new_q[:, j], minlength=new.n_documents) for j in range(k)], axis=1)
-            new_blend = (mass + prior) / (mass + prior).sum(axis=1, keepdims=True)
+            # Every page has sentences of no area, so their part stays what it is; the rest follows the page's own areas.
+            new_blend = mass + prior
+            new_blend[:, :-1] *= (1 - NONE) / new_blend[:, :-1].sum(axis=1, keepdims=True)
+            new_blend[:, -1] = NONE
     return seen, q, new, new_q if new_q is not None else np.zeros((0, k))
 
 
@@ -326,13 +335,17 @@ def _example_frame(examples: list[tuple[list[list[str]], int]], n_areas: int) ->
 
 
 def _spread_words(rows: _Rows, q: np.ndarray, n_areas: int) -> frozenset[str]:
-    """Words of the documents that turn out to be bound to no area: frequent, and under 0.6 of their area mass in one area."""
+    """Words of the documents that turn out to be bound to no area: frequent, and under 0.6 of their area mass in one area.
+
+    Only sentences with a confident area count: a word that the labels haven't reached yet may belong to any area.
+    """
     mass: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n_areas + 1))
     often: Counter = Counter()
     for w, y in zip(rows.words, q):
-        for x in set(w):
-            often[x] += 1
-            mass[x] += y
+        if y[:-1].max() >= CONFIDENT:
+            for x in set(w):
+                often[x] += 1
+                mass[x] += y
     least = max(5, len(rows.words) // 3000)
     return frozenset(x for x, n in often.items() if n >= least and mass[x][:-1].max() < 0.6 * mass[x][:-1].sum())
 
@@ -403,16 +416,17 @@ def _calibrate(model: SubjectModel, examples: list[tuple[str, str]]) -> np.ndarr
         scores.append(p.max(axis=0) if len(p) else np.zeros(len(model.areas)))
         truth.append(label)
     scores_ = np.array(scores)
-    grid = np.linspace(0.44, 0.6, 17)
     out = []
     for k, area in enumerate(model.areas):
         y = np.array([t == area for t in truth])
         f1 = []
-        for t in grid:
+        for t in GRID:
             hit = scores_[:, k] >= t
             f1.append(2 * (hit & y).sum() / max(1, hit.sum() + y.sum()))
         best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-        out.append(float(grid[best].mean()))
+        # The middle of the longest stretch of best thresholds.
+        runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+        out.append(float(GRID[max(runs, key=len)].mean()))
     return np.array(out)
 
 
@@ -433,12 +447,19 @@ def subjects_of(text: Column, model: SubjectModel) -> Column:
     @F.pandas_udf(ArrayType(StringType()))
     def areas(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([model.areas_of(t) if t is not None and t.strip() else None for t in texts], dtype=object)
+            out: list[list[str] | None] = [None] * len(texts)
+            at = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            # So many texts at a time that their sentences stay a small table, however large a batch is.
+            for k in range(0, len(at), 500):
+                part = at[k : k + 500]
+                for i, found in zip(part, model.areas_of_all([texts.iloc[j] for j in part])):
+                    out[i] = found
+            yield pd.Series(out, dtype=object)
 
     return areas(text)
 
 
-def find_subjects(documents: DataFrame, subject_areas: DataFrame, subject_examples: DataFrame) -> DataFrame:
-    """(doc_id, subject): one row per document and area."""
-    model = train(documents.select("doc_id", "text"), subject_areas, subject_examples)
+def find_subjects(documents: DataFrame, subject_areas: DataFrame, subject_examples: DataFrame, model: SubjectModel | None = None) -> DataFrame:
+    """(doc_id, subject): one row per document and area. A model fitted before (``train``) can be used again."""
+    model = model or train(documents.select("doc_id", "text"), subject_areas, subject_examples)
     return documents.select("doc_id", F.explode(subjects_of(F.col("text"), model)).alias("subject"))

@@ -240,12 +240,15 @@ def examples(spark, data):
 
 
 def test_subjects_on_held_out_examples(spark, examples):
-    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").select("text").collect()]
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.1", "documents").where("text is not null").select("text").collect()]
     areas = sorted({a for _, a in examples})
-    train, test = [e for i, e in enumerate(examples) if i % 4], [e for i, e in enumerate(examples) if i % 4 == 0]
+    train, test = [e for i, e in enumerate(examples) if i % 3], [e for i, e in enumerate(examples) if i % 3 == 0]
     model = subjects.fit_subjects(train, texts, areas)
-    right = sum(model.areas_of(t) == [a] for t, a in test)
-    assert right >= 0.8 * len(test), right
+    found = model.areas_of_all([t for t, _ in test])
+    right = sum(f == [a] for f, (_, a) in zip(found, test))
+    assert right >= 0.9 * len(test), right
+    # Texts scored together have the areas that each has alone.
+    assert found[:20] == [model.areas_of(t) for t, _ in test[:20]] and model.areas_of_all([]) == []
 
 
 def test_subject_edges(spark, data):
