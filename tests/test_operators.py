@@ -85,8 +85,18 @@ def test_unpack_edges(spark):
 def test_delimiters_are_inferred(spark):
     good = [("s", "alpha; beta"), ("s", "gamma;delta"), ("s", "alpha & others"), ("s", "gamma & other")] * 20
     df = spark.createDataFrame(good, "source string, cell string")
-    chosen = packed.choose_delimiters(packed.score_delimiters(df, "cell", "source", ["alpha", "beta", "gamma", "delta"]))
-    assert ";" in chosen["s"].split("|") and "&" not in chosen["s"]
+    chosen = packed.infer_all(df, {"cell": ["alpha", "beta", "gamma", "delta"]}, "source")["cell"]
+    assert ";" in chosen.default.split("|") and "&" not in chosen.default and chosen.others == ()
+
+
+def test_every_source_has_its_own_delimiters_however_many_there_are(spark):
+    """A thousand sources that pack with a full stop beside one that writes it inside values: each is split its own way."""
+    rows = [(f"s{i}", "alpha. beta") for i in range(1000) for _ in range(40)] + [("plain", "alpha; beta")] * 300 + [("plain", "alpha no. 3; beta")] * 10
+    df = spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(rows)], "id long, data_source string, sector string")
+    terms = spark.createDataFrame([("sector", "alpha"), ("sector", "beta")], "kind string, term string")
+    got = packed.unpack_values(df, terms, {"sector": "sector"})
+    by = {(r["data_source"] == "plain", r["item_pos"], r["item"]) for r in got.join(df, "id").select("data_source", "item_pos", "item").distinct().collect()}
+    assert by == {(False, 1, "alpha"), (False, 2, "beta"), (True, 1, "alpha"), (True, 2, "beta"), (True, 1, "alpha no. 3")}
 
 
 def test_text_helpers(spark):
