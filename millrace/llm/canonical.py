@@ -2,7 +2,8 @@
 
 A multi-pattern automaton over the canonical names and their aliases finds mentions inside a value; the longest
 non-overlapping match wins, and the value maps if nothing but qualifiers is left beside it. What remains goes to token-set
-similarity with tolerance for typing slips, abbreviations and missing blanks.
+similarity: with the words of a name, tolerant of typing slips, abbreviations and missing blanks, and then with all words that
+an entry is known by, those of its name and of its note; a value maps to the only entry that knows all of its words.
 
 Edge cases: a value that is character for character a term gives no row; null and blank values are no values; a value with
 nothing near it maps to 0; a value as near to two terms as to one maps to the smaller term_id only if they tie exactly;
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from millrace.operators.packed import infer_for, strip_blank, values_of
+from millrace.operators.packed import infer_all, strip_blank, values_of, with_choices
 
 #: Least token-set similarity of a match.
 SIMILARITY = 0.8
@@ -31,47 +32,23 @@ CACHE_VALUES = 100_000
 
 # Words around a term that don't change what it means.
 QUALIFIERS = frozenset("work works advice projects project lead leads practice sector sectors related general other misc group team services and of the for in".split())
-# Other words people use for entries of the canonical list (term -> aliases).
+# Words of trade that say nothing about which.
+TRADE_WORDS = frozenset("firm firms company companies group groups house houses chain chains maker makers operator operators provider providers vendor vendors contractor contractors body bodies any use age that a an to with on by own us".split())
+# What people call entries of the canonical list in words that neither its names nor its notes have (term ->
+# aliases); a table of one's own may be given instead.
 ALIASES = {
-    "Banking & Payments": ("retail banks", "wholesale banks", "bank and payment firms", "banks", "card issuers", "money transfer", "payment firms"),
-    "Insurers, Brokers & Reinsurers": ("insurance brokers", "reinsurance", "insurance", "underwriting agencies", "life cover", "insurers", "reinsurers"),
-    "Buyout & Venture Funds": ("venture fund", "venture funds", "private funds", "buyout houses", "private equity", "venture capital"),
-    "Hospitals & Care Homes": ("hospital groups", "care home operators", "long-term care providers", "hospitals", "care homes"),
-    "Medicines & Devices": ("medical devices", "drug makers", "diagnostics makers", "device makers", "diagnostics", "pharma"),
-    "Power, Heat & Grid": ("power generators", "grid owners", "district heating", "network owners", "generators"),
-    "Oil/Gas Upstream": ("oil & gas exploration", "upstream oil and gas", "hydrocarbon exploration", "hydrocarbon production"),
-    "Shops & Consumer Brands": ("consumer brands", "household goods", "retailers", "fashion", "shops"),
-    "Farms, Food & Drink": ("food processors", "growers", "brewers", "farms", "food and drink"),
-    "Vehicles & Parts": ("car makers", "car dealers", "vehicle parts", "parts suppliers"),
-    "Factories & Machinery": ("industrial equipment", "machinery makers", "industrial plants"),
-    "Software & Cloud": ("software vendors", "cloud hosting", "application vendors", "data platforms"),
-    "Telecoms & Towers": ("mobile networks", "telecom towers", "mast owners", "fixed networks"),
-    "Property & Housing": ("property developers", "housing associations", "landlords"),
-    "Rail, Road & Ports": ("road haulage", "rail carriers", "port terminals", "carriers", "warehouses"),
-    "Air & Space": ("airlines", "airports", "satellite launchers", "satellites"),
-    "Schools & Universities": ("school groups", "universities", "schools", "teaching"),
-    "State & Local Government": ("town halls", "ministries", "government agencies", "local councils", "local government"),
-    "Charities & Foundations": ("non-profit bodies", "grant makers", "charities", "foundations", "nonprofits", "charity foundations"),
-    "Media/Publishing": ("book publishers", "broadcasters", "press and broadcast", "streaming", "publishers", "press and streaming"),
-    "Hotels, Travel & Leisure": ("hotel chains", "tour operators", "gyms", "hotels"),
-    "Mining & Metals": ("ore miners", "smelters", "metal recycling", "metals recycling"),
-    "Chemicals & Plastics": ("fine chemicals", "base chemicals", "polymers", "plastics makers"),
-    "Defence & Policing": ("police suppliers", "armed forces suppliers", "defence contractors", "policing"),
-    "Growing Sales": ("sales growth", "sales force work", "pricing and new markets", "sales force", "new markets"),
-    "Running Operations": ("operations running", "supply and plants", "service centres", "plants and supply"),
-    "Money & Ledgers": ("finance function", "cash and reporting", "reporting and cash"),
-    "Brand & Campaigns": ("brand campaigns", "advertising", "media buying", "marketing"),
-    "Hiring & Pay": ("talent and reward", "reward and talent", "pay and culture"),
-    "Systems & Data": ("data systems", "it and analytics", "software delivery"),
-    "Deals & Divestments": ("mergers", "sale of units", "sales of units", "mergers and purchases"),
-    "Sites & Buildings": ("real estate",),
-    "Inventions & Labs": ("patents and research", "product development", "research and patents"),
-    "Climate & Nature": ("emissions", "biodiversity"),
-    "Boards & Oversight": ("board oversight", "governance", "committees"),
-    "Community & Workforce Rights": ("workforce rights", "social duties", "social duties of firms"),
-    "Courts & Contracts": ("legal work", "contract law"),
-    "Crisis & Turnaround": ("rescue plans", "distress and creditors", "creditors and distress"),
-}
+    "Buyout & Venture Funds": ("private equity", "venture capital"),
+    "Medicines & Devices": ("medical devices", "pharma"),
+    "Power, Heat & Grid": ("network owners",),
+    "Shops & Consumer Brands": ("retailers",),
+    "Vehicles & Parts": ("car makers",),
+    "Rail, Road & Ports": ("road haulage",),
+    "State & Local Government": ("local councils",),
+    "Charities & Foundations": ("nonprofits",),
+    "Growing Sales": ("sales growth",),
+    "Brand & Campaigns": ("marketing",),
+    "Courts & Contracts": ("contract law",),
+}
 
 _TOKEN = re.compile(r"[^\W_]+\.?")
 
@@ -125,12 +102,25 @@ def same_word(a: str, b: str) -> float:
     return 0.9 if distance <= 1 else 0.85 if distance == 2 and len(b) >= 9 else 0.0
 
 
+_ENDINGS = ("isations", "isation", "ations", "ation", "ances", "ance", "ments", "ment", "ings", "ing", "ers", "er", "ies", "es", "s", "y", "e")
+
+
+def stem(word: str) -> str:
+    """A word without its ending, at least three letters of it: banks, banking and bank are one."""
+    for e in _ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= 3:
+            return word[: -len(e)]
+    return word
+
+
 @dataclass
 class Matcher:
     """Maps values of one kind to term ids."""
 
     terms: list[tuple[int, str]]
     aliases: dict[str, tuple[str, ...]] = field(default_factory=lambda: ALIASES)
+    #: What an entry covers in other words (term -> note).
+    notes: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.exact = {t: i for i, t in self.terms}
@@ -145,6 +135,13 @@ class Matcher:
                 # A hyphenated word may be abbreviated as one word.
                 if "-" in form and (closed := [w.rstrip(".") for w in tokens_of(form.replace("-", ""))]):
                     self.forms.append((i, closed, "".join(closed)))
+        #: Stem -> the entries with a note that know it.
+        self.known_by: dict[str, set[int]] = {}
+        for i, term in self.terms:
+            if self.notes.get(term):
+                for w in tokens_of(f"{term} {self.notes[term]}"):
+                    if (bare := w.rstrip(".")) not in TRADE_WORDS and bare not in QUALIFIERS:
+                        self.known_by.setdefault(stem(bare), set()).add(i)
         self.whole = {whole: i for i, _, whole in reversed(self.forms)}
         self.automaton = ahocorasick.Automaton()
         for name, i in names.items():
@@ -171,7 +168,15 @@ class Matcher:
         if (hit := self._mention(words)) is not None:
             return hit
         core = [w for w in typed if w.rstrip(".") not in QUALIFIERS] or typed
-        return self._similar(typed) or (self._similar(core) if core != typed else 0)
+        return self._similar(typed) or (self._similar(core) if core != typed else 0) or self._described(words)
+
+    def _described(self, words: list[str]) -> int:
+        """The only entry whose name and note know all telling words of the value."""
+        telling = [stem(w) for w in words if w not in TRADE_WORDS and w not in QUALIFIERS]
+        if not telling or not self.known_by:
+            return 0
+        able = set.intersection(*(self.known_by.get(w, set()) for w in telling))
+        return able.pop() if len(able) == 1 else 0
 
     def _mention(self, words: list[str]) -> int | None:
         """Longest non-overlapping mentions; the value maps if they agree on one term and only qualifiers are left."""
@@ -219,22 +224,22 @@ class Matcher:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(terms: tuple[tuple[int, str], ...], aliases: dict[str, tuple[str, ...]]) -> Matcher:
+def _matcher(terms: tuple[tuple[int, str], ...], aliases: dict[str, tuple[str, ...]], notes: dict[str, str]) -> Matcher:
     """One matcher per worker and list, so that its memory of values outlives a task."""
-    key = (terms, tuple(sorted(aliases.items())))
+    key = (terms, tuple(sorted(aliases.items())), tuple(sorted(notes.items())))
     if key not in _MATCHERS:
         if len(_MATCHERS) > 32:
             _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(list(terms), aliases)
+        _MATCHERS[key] = Matcher(list(terms), aliases, notes)
     return _MATCHERS[key]
 
 
-def map_values(value: Column, kind: Column, terms: dict[str, list[tuple[int, str]]], aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
+def map_values(value: Column, kind: Column, terms: dict[str, list[tuple[int, str]]], aliases: dict[str, tuple[str, ...]] | None = None, notes: dict[str, dict[str, str]] | None = None) -> Column:
     """Term id of each value within its kind: null for a term written exactly, 0 for no entry. No shuffle."""
 
     @F.pandas_udf(IntegerType())
     def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matchers = {k: _matcher(tuple(v), ALIASES if aliases is None else aliases) for k, v in terms.items()}
+        matchers = {k: _matcher(tuple(v), ALIASES if aliases is None else aliases, (notes or {}).get(k, {})) for k, v in terms.items()}
         for values, kinds in batches:
             yield pd.Series([None if v is None or v in (m := matchers[k]).exact else m.term_of(v) for v, k in zip(values, kinds)], dtype="Int32")
 
@@ -244,15 +249,22 @@ def map_values(value: Column, kind: Column, terms: dict[str, list[tuple[int, str
 FIELD_KINDS = {"sector": "sector", "primary_expertise": "expertise", "matched_inferred_expertise_topics": "topic"}
 
 
-def find_terms(people: DataFrame, reference_terms: DataFrame) -> DataFrame:
+def find_terms(people: DataFrame, reference_terms: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, field_name, item_pos, term_id): one row per value that isn't exactly a term of its field's kind."""
     terms: dict[str, list[tuple[int, str]]] = {k: [] for k in FIELD_KINDS.values()}
+    notes: dict[str, dict[str, str]] = {k: {} for k in FIELD_KINDS.values()}
+    if "note" not in reference_terms.columns:
+        reference_terms = reference_terms.withColumn("note", F.lit(None).cast("string"))
     for r in reference_terms.where(F.col("kind").isin(list(terms)) & F.col("term").isNotNull()).orderBy("term_id").collect():
         terms[r["kind"]].append((r["term_id"], r["term"]))
+        if r["note"]:
+            notes[r["kind"]][r["term"]] = r["note"]
     vocabulary = [t for _, t in terms["sector"]]
     if "data_source" not in people.columns:
         people = people.withColumn("data_source", F.lit(None).cast("string"))
-    sectors = values_of(people, "sector", "data_source", vocabulary, infer_for(people, "sector", vocabulary))
+    choices = infer_all(people, {"sector": vocabulary}, "data_source")
+    people = with_choices(people, choices, "data_source")
+    sectors = values_of(people, "sector", vocabulary, choices["sector"])
     item = lambda pos, value: F.struct(pos.cast("int").alias("item_pos"), value.alias("value"))
     lists = {
         "sector": F.transform(sectors, lambda x, i: item(i + 1, x)),
@@ -261,4 +273,4 @@ def find_terms(people: DataFrame, reference_terms: DataFrame) -> DataFrame:
     }
     cells = people.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(FIELD_KINDS[f]).alias("kind"), items.alias("items")) for f, items in lists.items()])))
     values = cells.where("items is not null").select("id", "field_name", "kind", F.inline("items")).where(F.col("value").isNotNull() & (strip_blank(F.col("value")) != ""))
-    return values.withColumn("term_id", map_values(F.col("value"), F.col("kind"), terms)).where("term_id is not null").select("id", "field_name", "item_pos", "term_id")
+    return values.withColumn("term_id", map_values(F.col("value"), F.col("kind"), terms, aliases, notes)).where("term_id is not null").select("id", "field_name", "item_pos", "term_id")
