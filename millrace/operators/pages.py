@@ -496,3 +496,69 @@ def salvage_objects(answers: DataFrame, column: str = "answer") -> DataFrame:
 
 def same_site(a: str, b: str) -> bool:
     return urlsplit(a).netloc.removeprefix("www.") == urlsplit(b).netloc.removeprefix("www.")
+
+
+# Names of parameters and path segments that number pages; those that count entries step by more than one.
+PAGE_PARAMS = ("page", "p", "start", "offset")
+
+
+def detect_pagination(links: DataFrame) -> DataFrame:
+    """(page_id, strategy, param, start, step): how the pages of a list are numbered, from its links (page_id, url, href).
+
+    A numbered parameter wins over a numbered path segment, that over a cursor, that over a next link. The step is the
+    smallest gap between the numbers; a parameter starts at its smallest number, or one step before it if that is above 1; a
+    segment starts with the second page.
+    """
+    names = "|".join(PAGE_PARAMS)
+    found = links.where(host_of(F.col("href")) == host_of(F.col("url"))).select(
+        "page_id",
+        F.regexp_extract("href", rf"[?&]({names})=(\d+)", 1).alias("q"), F.regexp_extract("href", rf"[?&](?:{names})=(\d+)", 1).try_cast("int").alias("qn"),
+        F.regexp_extract("href", rf"/({names})/(\d+)", 1).alias("s"), F.regexp_extract("href", rf"/(?:{names})/(\d+)", 1).try_cast("int").alias("sn"),
+        F.col("href").rlike(r"[?&]cursor=").alias("cursor"), F.lower(F.trim("text")).isin(*NEXT_TEXTS, "load more").alias("next"),
+    )
+    numbered = found.select("page_id", F.inline(F.array(F.struct(F.lit("query_param").alias("strategy"), F.col("q").alias("param"), F.col("qn").alias("n")), F.struct(F.lit("path_segment").alias("strategy"), F.col("s").alias("param"), F.col("sn").alias("n"))))).where("n is not null").distinct()
+    gap = F.col("n") - F.lag("n").over(Window.partitionBy("page_id", "strategy", "param").orderBy("n"))
+    by_param = numbered.withColumn("gap", gap).groupBy("page_id", "strategy", "param").agg(F.min("n").alias("low"), F.min("gap").alias("gap"), F.count(F.lit(1)).alias("k"))
+    step = F.coalesce("gap", F.when(F.col("param").isin("start", "offset"), F.col("low")).otherwise(F.lit(1)))
+    rank = F.struct((F.col("strategy") == "query_param").cast("int").alias("a"), F.col("k").alias("b"), F.col("param").alias("c"))
+    best = by_param.groupBy("page_id").agg(F.max_by(F.struct("strategy", "param", "low", step.alias("step")), rank).alias("x"))
+    rest = found.groupBy("page_id").agg(F.max("cursor").alias("cursor"), F.max("next").alias("next"))
+    start = F.when((F.col("x.strategy") == "query_param") & (F.col("x.low") >= 2), F.greatest(F.col("x.low") - F.col("x.step"), F.lit(0))).otherwise(F.col("x.low"))
+    other = F.when(F.col("cursor"), "cursor").when(F.col("next"), "next_link").otherwise("none")
+    return rest.join(best, "page_id", "left").select("page_id", F.coalesce("x.strategy", other).alias("strategy"), "x.param", start.alias("start"), F.col("x.step").alias("step"))
+
+
+def profile_fields(pages: DataFrame) -> DataFrame:
+    """(page_id, name, email, phone, image_url, industries, capabilities, education): fields of single profile pages.
+
+    The name is the first ``h1``; a picture is the last entry of its ``srcset``; tags go by their address; mail and telephone
+    come from their links; entries of an education list stand as written.
+    """
+
+    def fields(url, html) -> tuple:
+        name = email = phone = image = None
+        industries, capabilities, education = [], [], []
+        for node, around in _walk(parse_tree(html)):
+            tag, attrs = node[0], node[1]
+            href = attrs.get("href") or ""
+            if tag == "h1" and name is None:
+                name = text_of(node) or None
+            elif tag == "a" and href.startswith("mailto:") and email is None:
+                email = href[7:].split("?")[0]
+            elif tag == "a" and href.startswith("tel:") and phone is None:
+                phone = href[4:]
+            elif tag == "a" and "/industries/" in href:
+                industries.append(text_of(node))
+            elif tag == "a" and "/capabilities/" in href:
+                capabilities.append(text_of(node))
+            elif tag == "img" and image is None and (attrs.get("srcset") or attrs.get("src")):
+                image = urljoin(url or "", (attrs.get("srcset") or attrs["src"]).split(",")[-1].split()[0])
+            elif tag == "li" and any("education" in (a[1].get("class") or "") for a in around):
+                education.append(text_of(node))
+        return name, email, phone, image, industries, capabilities, education
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *fields(u, h)) for p, u, h in f.itertuples(index=False, name=None)], columns=["page_id", "name", "email", "phone", "image_url", "industries", "capabilities", "education"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, name string, email string, phone string, image_url string, industries array<string>, capabilities array<string>, education array<string>")

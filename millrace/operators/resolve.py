@@ -143,6 +143,21 @@ def apply_profiles(people: DataFrame, matches: DataFrame, profiles: DataFrame) -
     )
 
 
+def enrich_profiles(people: DataFrame, matches: DataFrame, profiles: DataFrame) -> DataFrame:
+    """People with what the profile read last says: headline, summary and skills are overwritten even with nothing, place and
+    picture only fill gaps, and the row counts as enriched."""
+    new = profiles.select("profile_id", *[F.col(a).alias(f"new_{b}") for a, b in (("headline", "headline"), ("about", "summary"), ("skills", "skills"), ("location", "location"))])
+    joined = people.join(matches.select("id", "profile_id").join(new, "profile_id"), "id", "left")
+    hit = F.col("profile_id").isNotNull()
+    own = lambda c: F.col(c) if c in people.columns else F.lit(None).cast("string")
+    return joined.select(
+        "id",
+        *[F.when(hit, F.col(f"new_{c}")).otherwise(own(f"linkedin_{c}")).alias(f"linkedin_{c}") for c in ("headline", "summary", "skills")],
+        F.when(hit, fill_merge(F.col("new_location"), F.col("location"))).otherwise(F.col("location")).alias("location"),
+        (hit | F.coalesce("linkedin_enriched", F.lit(False))).alias("linkedin_enriched"),
+    )
+
+
 def cascade(people: DataFrame, steps: list) -> DataFrame:
     """(id, profile_id, step): each step sees only what the steps before it left unmatched."""
     left, out = people, None

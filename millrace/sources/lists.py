@@ -37,7 +37,8 @@ def _from_json(spark: SparkSession, path: str) -> DataFrame:
 
 def _from_csv(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.text(path).limit(1).collect()
-    titled = bool(head) and any(k in head[0][0] for k in URL_KEYS)
+    # A heading is a whole cell; an address that merely contains one of the words is no heading.
+    titled = bool(head) and any(c.strip().strip('"') in URL_KEYS for c in head[0][0].split(","))
     df = spark.read.option("header", titled).csv(path)
     here = [F.col(f"`{c}`") for k in URL_KEYS for c in df.columns if c == k]
     return df.select(F.trim(F.coalesce(*here) if here else F.col(df.columns[0])).alias("url"))
@@ -62,6 +63,30 @@ def read_employees(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("location", place)
 
 
+def get_by_id(df: DataFrame, id_: int, key: str = "id") -> DataFrame:
+    """The one row with an id; LookupError if there is none."""
+    row = df.where(F.col(key) == id_).limit(1)
+    if row.isEmpty():
+        raise LookupError(f"no row with {key} {id_}")
+    return row
+
+
+TAXONOMY = "capabilities array<struct<name: string, children: array<string>>>, industries array<struct<name: string, children: array<string>>>"
+
+
+def read_taxonomy(spark: SparkSession, folder: str, slug: str) -> DataFrame | None:
+    """(kind, parent, name) of both levels of a firm's own taxonomy, ``<folder>/<slug>.json``; None if it has none."""
+    path = f"{folder.rstrip('/')}/{slug}.json"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    tree = spark.read.schema(TAXONOMY).option("multiLine", True).json(path)
+    trees = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.array().cast("array<struct<name: string, children: array<string>>>")).alias("nodes")) for k in ("capabilities", "industries")])
+    nodes = tree.select(F.inline(trees)).select("kind", F.explode("nodes").alias("n"))
+    both = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("parent"), F.col("n.name").alias("name"))), F.transform(F.coalesce("n.children", F.array().cast("array<string>")), lambda c: F.struct(F.col("n.name").alias("parent"), c.alias("name"))))
+    return nodes.select("kind", F.inline(both))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Already-fetched pages (page_id, url, html)."""
     return spark.read.parquet(path).select("page_id", "url", "html")

@@ -399,3 +399,36 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     fake = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))), conf=SimpleNamespace(get=lambda k, d=None: d))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_checkpoint_dir(fake)
+
+
+def test_pagination_is_detected(spark):
+    rows = [(1, "https://a.example/team?page=1", h, "") for h in ("https://a.example/team?page=2", "https://a.example/team?page=3", "https://b.example/x?p=9")]
+    rows += [(2, "https://a.example/team", h, "") for h in ("https://a.example/team/start/24", "https://a.example/team/start/48")] + [(3, "https://a.example/team", "https://a.example/more", "Next")]
+    rows += [(4, "https://a.example/team", "https://a.example/team?cursor=x", "more"), (5, "https://a.example/team", "https://a.example/x", "x"), (6, "https://a.example/t", "https://a.example/t?start=20", ""), (7, "https://a.example/t", "https://a.example/t?page=0", ""), (7, "https://a.example/t", "https://a.example/t?page=1", "")]
+    got = {tuple(r) for r in pages.detect_pagination(spark.createDataFrame(rows, "page_id long, url string, href string, text string")).collect()}
+    assert got == {(1, "query_param", "page", 1, 1), (2, "path_segment", "start", 24, 24), (3, "next_link", None, None, None), (4, "cursor", None, None, None), (5, "none", None, None, None), (6, "query_param", "start", 0, 20), (7, "query_param", "page", 0, 1)}
+
+
+def test_profile_pages(spark):
+    html = '<h1>Ann <b>Lee</b></h1><img srcset="/s.jpg 1x, /l.jpg 2x"><a href="mailto:a@x.example?subject=x">m</a><a href="tel:+1 5">t</a><a href="/industries/banks">Banks</a><a href="/capabilities/tax">Tax</a><ul class="education"><li>BSc, Ulm</li></ul>'
+    df = spark.createDataFrame([(1, "https://x.example/p/ann", html), (2, None, None)], "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:] for r in pages.profile_fields(df).collect()}
+    assert got == {1: ("Ann Lee", "a@x.example", "+1 5", "https://x.example/l.jpg", ["Banks"], ["Tax"], ["BSc, Ulm"]), 2: (None, None, None, None, [], [], [])}
+
+
+def test_sources_and_sinks_of_runs(spark, tmp_path):
+    (tmp_path / "firm.json").write_text(json.dumps({"capabilities": [{"name": "Tax", "children": ["VAT"]}], "industries": [{"name": "Banks"}]}))
+    assert {tuple(r) for r in lists.read_taxonomy(spark, str(tmp_path), "firm").collect()} == {("capabilities", None, "Tax"), ("capabilities", "Tax", "VAT"), ("industries", None, "Banks")}
+    assert lists.read_taxonomy(spark, str(tmp_path), "none") is None
+    (tmp_path / "u.csv").write_text("https://a.example/link\nhttps://b.example/\n")
+    assert [r["url"] for r in lists.read_url_list(spark, str(tmp_path / "u.csv")).collect()] == ["https://a.example/link", "https://b.example/"]
+    df = spark.createDataFrame([(0, {"name": "Ann", "title": "CFO"}), (1, {"email": "b@x", "name": "Bob"})], "pos long, record map<string,string>")
+    flat = sinks.flatten_records(df)
+    assert set(flat.columns[1:3]) == {"name", "title"} and flat.columns[3] == "email" and [r["email"] for r in flat.orderBy("pos").collect()] == [None, "b@x"]
+    lines = [json.loads(r["line"]) for r in sinks.run_document(df, "https://x.example", {"a": "b"}).orderBy("pos").collect()]
+    assert lines[0]["count"] == 2 and lines[1]["name"] == "Ann" and len(lines) == 3
+    assert lists.get_by_id(flat.withColumnRenamed("pos", "id"), 1).first()["name"] == "Bob"
+    with pytest.raises(LookupError):
+        lists.get_by_id(flat, 9, "pos")
+    meta = sinks.with_metadata(spark.createDataFrame([(1, "m", None)], "id long, model string, note string"), ["model", "note"]).first()
+    assert meta["metadata"] == '{"model":"m"}'
