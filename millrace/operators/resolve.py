@@ -31,15 +31,23 @@ def is_nickname(a: Column, b: Column) -> Column:
     return two & (la == lb) & (short >= 3) & (fa.startswith(fb) | fb.startswith(fa))
 
 
+def name_classes(names: DataFrame) -> DataFrame:
+    """(company_id, n, first_id, rows): the classes of rows of one company with one normalised name; counted before any join."""
+    return names.where("n <> ''").groupBy("company_id", "n").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+
+
 def nickname_pairs(names: DataFrame) -> DataFrame:
-    """(id_a, id_b): rows of one company whose names are nicknames of each other. ``names``: id, company_id, n (normalised).
+    """(id_a, id_b, rows_a, rows_b): classes of rows of one company (by their smallest ids, with their sizes) whose names differ
+    and are nicknames of each other. ``names``: id, company_id, n (normalised).
 
-    The last word and three letters of the first are equal in all such pairs, so they are part of the key.
+    Rows of one name are one class, so copies never pair. The last word and three letters of the first are equal in all such
+    pairs, so they are part of the key.
     """
-    keyed = names.where(F.col("n").contains(" ")).withColumn("last", F.element_at(F.split("n", " "), -1)).withColumn("start", F.left(F.col("n"), F.lit(3)))
+    classes = name_classes(names).withColumnRenamed("first_id", "id")
+    keyed = classes.where(F.col("n").contains(" ")).withColumn("last", F.element_at(F.split("n", " "), -1)).withColumn("start", F.left(F.col("n"), F.lit(3)))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, met).where(is_nickname(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    return a.join(b, met).where(is_nickname(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.rows").alias("rows_a"), F.col("b.rows").alias("rows_b"))
 
 
 def _segment_hit(token: Column, segments: Column) -> Column:

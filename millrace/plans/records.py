@@ -66,26 +66,20 @@ def _validated(s, d):
     return quality.validate(_quality_table(s, d), vocabulary=tuple(terms))
 
 
-_ROSTER_SQL = """with p as (select id, company_id, lower(trim(name)) as n from people where name is not null and regexp_full_match(name, '[A-Za-z]+ [A-Za-z]+')),
- b as (select a.id as id_a, c.id as id_b, string_split(a.n, ' ') as x, string_split(c.n, ' ') as y from p a join p c on a.company_id = c.company_id and a.id < c.id and string_split(a.n, ' ')[2] = string_split(c.n, ' ')[2])
- select id_a, id_b from b where least(length(x[1]), length(y[1])) >= 3 and (starts_with(x[1], y[1]) or starts_with(y[1], x[1]))"""
+def _plain_names(s, d):
+    return _p(s, d).select("id", "company_id", resolve.norm_name(fold("name")).alias("n"))
 
 
 def nickname_pairs(s, d):
-    """Rows of one company with equal last names whose first names begin each other.
+    """Classes of rows of one company whose names are nicknames of each other; ``name_classes`` has the members."""
+    return resolve.nickname_pairs(_plain_names(s, d))
 
-    Only names of two plain words; ``nickname_pairs_all`` takes all names.
-    """
-    p = _p(s, d).where(F.col("name").rlike(r"^[A-Za-z]+ [A-Za-z]+$")).select("id", "company_id", F.lower("name").alias("n")).withColumn("last", F.element_at(F.split("n", " "), -1))
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.where(resolve.is_nickname(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
-
-def nickname_pairs_all(s, d):
-    """The pairs of all names, whatever their form."""
-    p = _p(s, d).select("id", "company_id", resolve.norm_name(fold("name")).alias("n")).where("n <> ''")
-    return resolve.nickname_pairs(p)
+def name_classes(s, d):
+    """Every row with the class of its name in its company: the smallest id with that name."""
+    names = _plain_names(s, d).where("n <> ''")
+    classes = resolve.name_classes(names)
+    return names.join(classes, (names["n"] == classes["n"]) & names["company_id"].eqNullSafe(classes["company_id"])).select(names["id"], F.col("first_id").alias("class_id"), "rows")
 
 
 def roster_match(s, d):
@@ -172,7 +166,7 @@ QUERIES = {
     "qa_issue_counts": lambda s, d: quality.issue_histogram(_validated(s, d)),
     "qa_failed": lambda s, d: quality.select_issues(_validated(s, d), status="failed", kind="taxonomy_violation").select("id"),
     "nickname_pairs": nickname_pairs,
-    "nickname_pairs_all": nickname_pairs_all,
+    "name_classes": name_classes,
     "roster_match": roster_match,
     "roster_without_company": roster_without_company,
     "slug_fits": lambda s, d: _p(s, d).where("linkedin_url like '%/in/%' and name is not null").select("id", fold(F.regexp_extract("linkedin_url", "/in/([^/?#]+)", 1)).alias("s"), fold("name").alias("n")).select("id", resolve.slug_fits(F.col("s"), F.col("n")).alias("fits")),
@@ -256,7 +250,6 @@ SQL = {
     "qa_issue_counts": _VALID + """select issue, n from (select 'taxonomy_violation' as issue, cast(sum(r1::int + r2::int) as bigint) as n from r union all select 'count_violation', cast(sum(r3::int + r4::int) as bigint) from r
  union all select 'consistency', cast(sum(r5::int) as bigint) from r union all select 'missing_fields', cast(sum(r6::int + r7::int) as bigint) from r) where n > 0""",
     "qa_failed": _VALID + "select id from r where (r1 or r2 or r5) and (r1 or r2)",
-    "nickname_pairs": _ROSTER_SQL,
     "photo_names": """with x as (select *, regexp_split_to_array(trim(name, ' '), '\\s+') as w, row_number() over (partition by company_id order by name, id) as n from people where image_url is not null and name is not null)
  select id, lpad(cast(n as varchar), greatest(3, 3), '0') || '_' || regexp_replace(w[1], '[^\\pL\\pN]+', '', 'g') || '_' || regexp_replace(w[-1], '[^\\pL\\pN]+', '', 'g') || coalesce(nullif(regexp_extract(lower(image_url), '(\\.(?:jpe?g|png|webp|gif))(?:[?#]|$)', 1), ''), '.jpg') as file_name from x""",
     "slug_fits": f"""with x as (select id, string_split_regex({_FOLD.format("regexp_extract(linkedin_url, '/in/([^/?#]+)', 1)")}, '[^a-z0-9]+') as segs, {_TOKENS.format(_FOLD.format('name'))} as toks from people where linkedin_url like '%/in/%' and name is not null)
@@ -264,8 +257,10 @@ SQL = {
     "firm_mentions": f"""with x as (select p.id, {_FOLD.format('p.bio')} as txt, {_TOKENS.format(_FOLD.format('c.name'))} as toks from people p join companies c on c.id = p.company_id where p.bio is not null and c.name is not null),
  y as (select *, list_filter(toks, lambda w: w not in ({_GENERIC})) as telling from x), z as (select *, case when len(telling) > 0 then telling else toks end as used from y)
  select id from z where case when trim(txt, ' ') = '' then false when len(used) = 0 then true else len(list_filter(used, lambda w: contains(txt, w))) > 0 end""",
-    "nickname_pairs_all": f"""with n as (select id, company_id, {_PLAIN.format(_FOLD.format('name'))} as n from people), k as (select *, string_split(n, ' ') as w from n where n <> '' and contains(n, ' '))
- select a.id as id_a, b.id as id_b from k a join k b on a.company_id = b.company_id and a.id < b.id and a.w[-1] = b.w[-1] where least(length(a.w[1]), length(b.w[1])) >= 3 and (starts_with(a.w[1], b.w[1]) or starts_with(b.w[1], a.w[1]))""",
+    "nickname_pairs": f"""with n as (select id, company_id, {_PLAIN.format(_FOLD.format('name'))} as n from people), g as (select company_id, n, min(id) as id, count(*) as c from n where n <> '' and contains(n, ' ') group by 1, 2), k as (select *, string_split(n, ' ') as w from g)
+ select a.id as id_a, b.id as id_b, a.c as rows_a, b.c as rows_b from k a join k b on a.company_id = b.company_id and a.id < b.id and a.w[-1] = b.w[-1] where least(length(a.w[1]), length(b.w[1])) >= 3 and (starts_with(a.w[1], b.w[1]) or starts_with(b.w[1], a.w[1]))""",
+    "name_classes": f"""with n as (select id, company_id, {_PLAIN.format(_FOLD.format('name'))} as n from people)
+ select id, min(id) over (partition by company_id, n) as class_id, count(*) over (partition by company_id, n) as rows from n where n <> ''""",
     "name_texts": f"select id, {_FOLD.format('name')} as folded, {_PLAIN.format(_FOLD.format('name'))} as plain, array_to_string({_TOKENS.format(_FOLD.format('name'))}, ' ') as tokens from people where name is not null",
     "masked_places": "select id, case when not regexp_matches(location, '(?i)\\b(?:" + "|".join(t.TITLE_WORDS) + ")\\b') then location end as location, case when contains(lower(linkedin_url), '/in/') then linkedin_url end as linkedin_url from people",
     "site_names": "select id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host, left(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '[^A-Za-z0-9_]', '_', 'g'), 40) as slug from companies where url is not null",

@@ -4,6 +4,7 @@ import difflib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -292,8 +293,15 @@ def test_nickname_pairs_of_all_names(spark, tmp_path):
         return len(x) > 1 and len(y) > 1 and x[-1] == y[-1] and min(len(x[0]), len(y[0])) >= 3 and (x[0].startswith(y[0]) or y[0].startswith(x[0]))
 
     want = {(a, b) for a, c, n in rows for b, e, m in rows if a < b and c == e and nick(tokens(n), tokens(m))}
-    got = [tuple(r) for r in records.nickname_pairs_all(spark, str(tmp_path)).collect()]
-    assert len(got) == len(want) and set(got) == want and {(0, 1), (0, 2), (3, 4), (7, 8)} <= want
+    found = records.nickname_pairs(spark, str(tmp_path)).collect()
+    members = defaultdict(list)
+    for r in records.name_classes(spark, str(tmp_path)).collect():
+        members[r["class_id"]].append(r["id"])
+    assert all(r["rows_a"] == len(members[r["id_a"]]) and r["rows_b"] == len(members[r["id_b"]]) for r in found)
+    # Classes and members together hold every pair: those of different names, and those within a class.
+    pairs = [(min(a, b), max(a, b)) for r in found for a in members[r["id_a"]] for b in members[r["id_b"]]]
+    pairs += [(a, b) for m in members.values() for a in m for b in m if a < b and len(tokens(names[a])) > 1]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and {(0, 1), (0, 2), (3, 4), (7, 8)} <= want
 
 
 def test_roster_of_firms_written_otherwise(spark, tmp_path):
