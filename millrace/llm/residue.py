@@ -10,9 +10,11 @@ linear); repeated rows give the same result each; extra columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import pandas as pd
@@ -23,45 +25,27 @@ from pyspark.sql.types import BooleanType
 #: Share of a sentence's letters that the phrases must cover.
 COVERAGE = 0.55
 
-# Phrases of error pages, script notices and filler, in the languages of the pages; lower case.
-SCRIPT_PHRASES = (
-    "javascript is required to display this profile", "javascript is required", "javascript required", "requires javascript", "javascript is disabled",
-    "javascript is not enabled", "please enable javascript to view this page", "please enable javascript", "enable javascript to view", "you need to enable javascript to run this app",
-    "you need to enable javascript", "you need to allow javascript", "enable javascript", "allow javascript", "turn on javascript", "javascript",
-    "this site requires scripts", "turn them on and reload", "enable scripts to continue", "enable scripts", "requires scripts",
-    "we're sorry but this site doesn't work properly without js enabled", "we’re sorry but this site doesn’t work properly without js enabled", "doesn't work properly without js enabled", "without js enabled", "without javascript enabled",
-    "your browser has scripting turned off", "scripting turned off", "some content cannot be shown", "loading profile", "if nothing happens, allow scripts and cookies", "allow scripts and cookies", "loading", "please wait",
-    "bitte aktivieren sie javascript in ihrem browser", "bitte aktivieren sie javascript", "javascript aktivieren", "aktivieren sie javascript", "in ihrem browser", "javascript ist deaktiviert",
-    "veuillez activer javascript pour continuer", "veuillez activer javascript", "activez javascript", "activer javascript", "pour continuer", "pour afficher cette page",
-    "active javascript para ver este contenido", "active javascript", "activar javascript", "habilite javascript", "habilitar javascript", "para ver este contenido", "para continuar", "to continue", "to view this page", "to run this app",
-)
-ERROR_PHRASES = (
-    "page not found", "not found", "bad gateway", "gateway timeout", "gateway time-out", "forbidden", "access denied", "access forbidden", "you don't have permission to view this profile", "you don’t have permission to view this profile",
-    "you don't have permission to", "permission denied", "unauthorized", "internal server error", "server error", "service temporarily unavailable", "service unavailable", "too many requests", "request timeout", "gone",
-    "http error", "error", "an unexpected error occurred", "unexpected error", "reference", "support id", "ray", "nginx", "apache", "cloudflare",
-    "something went wrong", "please try again later", "please try again", "try again later", "the page you requested could not be loaded", "could not be loaded", "the requested url was rejected", "requested url was rejected", "sorry, this page isn't available", "sorry, this page isn’t available", "this page isn't available",
-    "oops", "we can't find that page", "we can’t find that page", "your session has expired", "session has expired", "log in to continue", "sign in to continue", "checking your connection before proceeding", "checking your browser before accessing", "verify you are human",
-    "seite nicht gefunden", "zugriff verweigert", "fehler", "interner serverfehler", "etwas ist schiefgelaufen", "page introuvable", "erreur", "accès refusé", "accès interdit", "erreur interne du serveur", "une erreur est survenue",
-    "página no encontrada", "acceso denegado", "error interno del servidor", "se ha producido un error", "ha ocurrido un error", "no encontrada", "[object object]", "undefined",
-)
-FILLER_PHRASES = (
-    "bio pending", "biography pending", "bio coming soon", "biography coming soon", "coming soon", "biography to follow", "bio to follow", "biografie folgt in kürze", "biografie folgt", "text folgt", "folgt in kürze", "texte à venir", "biographie à venir", "à venir", "texto pendiente", "biografía pendiente", "próximamente",
-    "content under construction", "under construction", "description goes here", "profile text goes here", "your text here", "text goes here", "goes here", "insert text here", "placeholder bio", "placeholder text", "placeholder",
-    "sample text", "dummy text", "beispieltext", "platzhalter", "texte d'exemple", "texto de ejemplo", "this is a test profile, please ignore", "this is a test profile", "please ignore", "test profile", "to be completed by marketing", "to be completed", "to be confirmed", "to be announced", "to be added", "text tbc", "text tbd", "tbc", "tbd", "tba",
-    "add a short biography of", "add a short biography", "add bio here", "words", "asdf", "qwerty", "xxx", "click to edit", "edit this text", "todo",
-)
+# The words of the usual filler text.
 LOREM_WORDS = (
     "lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "adipiscing", "elit", "sed", "do", "eiusmod", "tempor", "incididunt", "ut", "labore", "et", "dolore", "magna", "aliqua", "enim", "ad", "minim", "veniam", "quis",
     "nostrud", "exercitation", "ullamco", "laboris", "nisi", "aliquip", "ex", "ea", "commodo", "consequat", "duis", "aute", "irure", "in", "reprehenderit", "voluptate", "velit", "esse", "cillum", "eu", "fugiat", "nulla",
     "pariatur", "excepteur", "sint", "occaecat", "cupidatat", "non", "proident", "sunt", "culpa", "qui", "officia", "deserunt", "mollit", "anim", "id", "est", "laborum",
 )
-NAME_PHRASES = (
-    "full name", "fullname", "first name", "last name", "first last", "firstname lastname", "firstname", "lastname", "first_name", "last_name", "employee name", "your name here", "your name", "name here", "name surname", "surname name", "name to be announced", "name to be confirmed", "insert name",
-    "sample person", "test test", "test user", "test person", "sample name", "john doe", "jane doe", "max mustermann", "erika mustermann", "vorname nachname", "prénom nom", "nom prénom", "nombre apellido", "nombre apellidos", "team member", "staff member", "name", "n.n", "unknown", "nan", "null", "none", "request blocked", "just a second", "just a moment", "checking your browser", "session expired",
-)
 
-# Phrases that are also names of people.
-ALSO_NAMES = frozenset(("ray", "gone", "reference", "apache", "words"))
+
+@lru_cache(maxsize=8)
+def load_phrases(path: str | None = None) -> dict[str, tuple[str, ...]]:
+    """Section -> phrases of a phrase file (``phrases.txt`` of this package if none is given)."""
+    text = Path(path).read_text(encoding="utf-8") if path else pkgutil.get_data(__package__, "phrases.txt").decode()
+    out: dict[str, list[str]] = {}
+    section = ""
+    for line in map(str.strip, text.splitlines()):
+        if line.startswith("[") and line.endswith("]") and line != "[object object]":
+            section = line[1:-1]
+        elif line and not line.startswith("#"):
+            out.setdefault(section, []).append(line)
+    return {k: tuple(v) for k, v in out.items()}
+
 
 _IDENT = r"[A-Za-z_][A-Za-z0-9_.]*"
 _TAGS = "p|br|b|i|u|a|em|strong|span|div|li|ul|ol|noscript|script|style|h[1-6]|td|tr|table|img|hr|sup|sub|small|html|body|head|title|section|article|header|footer|nav|main|font|center"
@@ -80,13 +64,15 @@ _DIGIT_WORD = re.compile(r"\b\w*\d\w*\b")
 _WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=4)
-def automaton(names: bool) -> ahocorasick.Automaton:
+@lru_cache(maxsize=8)
+def automaton(names: bool, path: str | None = None) -> ahocorasick.Automaton:
     """Automaton over all phrases; ``names`` adds those that are residue only where a name is expected."""
-    out = ahocorasick.Automaton()
-    for phrase in SCRIPT_PHRASES + ERROR_PHRASES + FILLER_PHRASES + (NAME_PHRASES if names else ()):
-        if not (names and phrase in ALSO_NAMES):
-            out.add_word(phrase, len(phrase))
+    phrases, out = load_phrases(path), ahocorasick.Automaton()
+    also = phrases.get("also names", ())
+    for section in ("scripts", "errors", "filler", *(["names"] if names else [])):
+        for phrase in phrases.get(section, ()):
+            if not (names and phrase in also):
+                out.add_word(phrase, len(phrase))
     out.make_automaton()
     return out
 
@@ -106,13 +92,13 @@ def has_placeholder(text: str) -> bool:
     return False
 
 
-def covered_share(sentence: str, names: bool) -> float:
+def covered_share(sentence: str, names: bool, path: str | None = None) -> float:
     """Share of the letters of a lower-case sentence inside matched phrases; words with digits don't count."""
     total = len(_LETTER.findall(_DIGIT_WORD.sub(" ", sentence)))
     if not total:
         return 0.0
     spans: list[tuple[int, int]] = []
-    for end, length in automaton(names).iter(sentence):
+    for end, length in automaton(names, path).iter(sentence):
         a, b = end - length + 1, end + 1
         before = sentence[a - 1] if a else " "
         after = sentence[b] if b < len(sentence) else " "
@@ -131,36 +117,36 @@ def covered_share(sentence: str, names: bool) -> float:
     return covered / total
 
 
-def is_residue(text: str | None, names: bool = False) -> bool:
+def is_residue(text: str | None, names: bool = False, path: str | None = None) -> bool:
     """Whether the text is template residue, filler or an error page, or contains some of it."""
     if text is None or not text.strip():
         return False
     if has_placeholder(text):
         return True
     low = _TAG.sub(" ", text).lower().replace(" ", " ").replace("’", "'")
-    if next(automaton(names).iter(low), None) is None and not any(w in low for w in ("lorem", "ipsum", "dolor", "adipiscing", "eiusmod", "tempor", "nostrud", "magna")):
+    if next(automaton(names, path).iter(low), None) is None and not any(w in low for w in ("lorem", "ipsum", "dolor", "adipiscing", "eiusmod", "tempor", "nostrud", "magna")):
         return False
     for sentence in [low] if names else _SENTENCE_END.split(low):
         sentence = " ".join(sentence.split())
-        if sentence and covered_share(sentence, names) >= COVERAGE:
+        if sentence and covered_share(sentence, names, path) >= COVERAGE:
             return True
     return False
 
 
-def residue_flag(c: Column, names: bool = False) -> Column:
-    """Boolean column: the text is residue (never null)."""
+def residue_flag(c: Column, names: bool = False, phrases: str | None = None) -> Column:
+    """Boolean column: the text is residue (never null). The phrases come from this package, or from a file that every worker can read."""
 
     @F.pandas_udf(BooleanType())
     def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([is_residue(t, names) for t in texts], dtype=bool)
+            yield pd.Series([is_residue(t, names, phrases) for t in texts], dtype=bool)
 
     return flag(c)
 
 
-def find_residue(people: DataFrame, fields: tuple[str, ...] = ("bio", "name")) -> DataFrame:
+def find_residue(people: DataFrame, fields: tuple[str, ...] = ("bio", "name"), phrases: str | None = None) -> DataFrame:
     """(id, field_name): one row per row and field that holds residue. One pass, no shuffle."""
-    flags = people.select("id", *[residue_flag(F.col(f), names=f == "name").alias(f) for f in fields])
+    flags = people.select("id", *[residue_flag(F.col(f), f == "name", phrases).alias(f) for f in fields])
     hits = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     return flags.select("id", F.explode(hits).alias("field_name"))
 
