@@ -22,6 +22,21 @@ NO_CATEGORY = "Management Consulting"
 
 KeywordMap = dict[str, list[str]]
 
+# Categories that need evidence in the person's own text, and the words that are evidence.
+REQUIRED_EVIDENCE: KeywordMap = {
+    "R&D": ["r&d", "research and development", "research lab", "patent", "innovation pipeline", "r & d"],
+    "People and Talent": [
+        "people & organization", "people and organization", "talent management practice", "talent advisory", "human resources practice", "hr practice", "hr leader", "people chair", "people practice", "people lead", "chief people officer", "chief human resources", "workforce planning", "people officer",
+        "organizational effectiveness practice", "talent practice", "human resources", "hr consultant", "hr director", "hr manager", "hr business partner", "hrbp", "hr transformation", "hr advisory", "talent acquisition", "talent development", "talent management", "recruitment", "executive search",
+        "headhunting", "learning and development", "l&d", "training and development", "employee relations", "employee engagement", "organizational development", "organisation development", "people analytics", "workforce analytics", "people director", "hr specialist", "hr generalist",
+        "compensation and benefits", "total rewards", "diversity, equity", "diversity and inclusion", "succession planning", "performance management",
+    ],
+    "Environment (ESG)": ["climate practice", "sustainability practice", "climate & sustainability", "climate and sustainability", "esg practice", "esg reporting", "esg advisory", "decarbonization", "decarbonisation", "net-zero", "net zero", "nature-positive", "environmental advisory"],
+    "Social (ESG)": ["social impact", "social responsibility", "social practice", "dei practice", "diversity, equity", "diversity and inclusion", "community impact"],
+    "Governance (ESG)": ["board governance", "esg governance", "governance framework", "governance architecture", "audit committee", "corporate governance advisory", "esg reporting"],
+    "Legal": ["general counsel", "chief legal", "legal officer", "litigation", "law firm", "legal practice", "legal advisory", "in-house counsel", "legal and regulatory"],
+}
+
 
 def load_keyword_map(path: str) -> KeywordMap:
     """A keyword map {category: [keyword]} from a JSON file; its order is the order of the categories."""

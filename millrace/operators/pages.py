@@ -162,6 +162,20 @@ def empty_run_stop(pages: DataFrame, most: int = 2) -> DataFrame:
     return runs.withColumn("stop", stop).where("stop is null or n <= stop").drop("island", "empty", "stop")
 
 
+def adaptive_empty_stop(pages: DataFrame, least: int = 1, most: int = 5, good: float = 0.8, after: int = 5) -> DataFrame:
+    """As ``empty_run_stop``, but a site that gave records on more than ``good`` of its pages so far, over more than ``after``
+    pages, may have ``most`` empty pages in a row instead of ``least`` before it ends."""
+    by_site = Window.partitionBy("site").orderBy("n")
+    so_far = pages.withColumn("seen", F.row_number().over(by_site)).withColumn("full", F.sum((F.col("found") > 0).cast("int")).over(by_site))
+    # Pages up to the last full one share its count, so a run of empty pages is what follows within a count.
+    runs = so_far.withColumn("empty", F.sum((F.col("found") == 0).cast("int")).over(Window.partitionBy("site", "full").orderBy("n")))
+    # The share counts up to the run's beginning, so that the run itself doesn't spoil it.
+    before = F.col("seen") - F.col("empty")
+    allowed = F.when((before > after) & (F.col("full") > good * before), most).otherwise(least)
+    stop = F.min(F.when((F.col("empty") > 0) & (F.col("empty") >= allowed), F.col("n"))).over(Window.partitionBy("site"))
+    return runs.withColumn("stop", stop).where("stop is null or n <= stop").drop("seen", "full", "empty", "stop")
+
+
 def short_pages(pages: DataFrame, least: int = LEAST_PAGE) -> DataFrame:
     return pages.where(F.length("html") < least)
 

@@ -166,6 +166,26 @@ def enrich_profiles(people: DataFrame, matches: DataFrame, profiles: DataFrame)
     )
 
 
+# Where a row comes from.
+SOURCE_LABELS = {"both": "Website + LinkedIn", "site": "Website", "roster": "LinkedIn (Apify)"}
+
+
+def source_label(on_site: Column, in_roster: Column) -> Column:
+    """Label of a row that stands on the site, in the roster, or in both."""
+    return F.when(on_site & in_roster, SOURCE_LABELS["both"]).when(on_site, SOURCE_LABELS["site"]).when(in_roster, SOURCE_LABELS["roster"])
+
+
+def match_search_results(people: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, url): of the results (id, pos, url, snippet) found for a person (id, name, company) the first whose slug carries the
+    first and the last name and whose text names the firm; an address given to several people stays with the first."""
+    names = people.select("id", fold("name").alias("_name"), fold("company").alias("_firm"))
+    slug = fold(F.regexp_extract("url", r"(?i)/in/([^/?#]+)", 1))
+    found = results.where(F.lower("url").contains("/in/")).select("id", "pos", "url", slug.alias("_slug"), fold(F.coalesce("snippet", F.lit(""))).alias("_text")).join(names, "id")
+    right = found.where(slug_fits(F.col("_slug"), F.col("_name")) & firm_in_text(F.col("_firm"), F.col("_text")))
+    first = right.groupBy("id").agg(F.min_by("url", F.struct("pos", "url")).alias("url"), F.min("pos").alias("pos"))
+    return one_owner_per_url(first).select("id", "url")
+
+
 def cascade(people: DataFrame, steps: list) -> DataFrame:
     """(id, profile_id, step): each step sees only what the steps before it left unmatched."""
     left, out = people, None

@@ -11,7 +11,6 @@ from millrace.session import table
 
 # A small keyword map for the topics of the test tables; real maps are files (classify.load_keyword_map).
 KEYWORDS = {"Finance and Accounting": ["ledger", "audit", "tax", "treasury"], "M&A and Corporate Development": ["deal", "restructuring", "m&a"], "Technology": ["cyber", "data", "software"], "People and Talent": ["talent", "reward", "learning"], "Legal": ["disputes", "counsel"]}
-REQUIRED = {"Technology": ["cyber", "software"], "Legal": ["disputes"]}
 
 
 def _p(s, d):
@@ -53,8 +52,9 @@ def primary_by_priority(s, d):
 
 
 def evidence_filter(s, d):
-    cats = F.array(*[F.lit(c) for c in KEYWORDS])
-    return _text(s, d).select("id", F.array_join(classify.evidence_filter(cats, F.col("text"), REQUIRED), ";").alias("kept"))
+    """Which of all categories each person's own text has evidence for, where it is asked for."""
+    cats = F.array(*[F.lit(c) for c in classify.CATEGORIES])
+    return _text(s, d).select("id", F.array_join(classify.evidence_filter(cats, F.col("text"), classify.REQUIRED_EVIDENCE), ";").alias("kept"))
 
 
 def _quality_table(s, d):
@@ -244,7 +244,7 @@ SQL = {
     + " else lower(trim(name, ' ')) end, '[^a-z0-9]+', '', 'g') as slug from companies where name is not null",
     "keyword_categories": f"with x as ({_TEXT}) " + " union all ".join(f"select id, '{c}' as category, {_case_hits(ws)} as hits from x where {_case_hits(ws)} > 0" for c, ws in KEYWORDS.items()),
     "primary_by_priority": f"with x as ({_TEXT}) select id, case " + " ".join(f"when {_case_hits(KEYWORDS[c])} > 0 then '{c}'" for c in classify.PRIORITY if c in KEYWORDS) + f" else '{classify.NO_CATEGORY}' end as \"primary\" from x",
-    "evidence_filter": f"with x as ({_TEXT}) select id, array_to_string(list_filter([" + ", ".join(f"case when {_case_hits(REQUIRED[c])} > 0 then '{c}' end" if c in REQUIRED else f"'{c}'" for c in KEYWORDS) + "], lambda v: v is not null), ';') as kept from x",
+    "evidence_filter": f"with x as ({_TEXT}) select id, array_to_string(list_filter([" + ", ".join(f"case when {_case_hits(classify.REQUIRED_EVIDENCE[c])} > 0 then '{c}' end" if c in classify.REQUIRED_EVIDENCE else f"'{c}'" for c in classify.CATEGORIES) + "], lambda v: v is not null), ';') as kept from x",
     "verbatim_strip": "select id, array_to_string(list_filter(inferred_expertise_functional, lambda x: x is not null and not contains(lower(coalesce(title, '')), lower(x))), ';') as kept from people",
     "qa_status": _VALID + "select case when r1 or r2 or r5 then 'failed' when r3 or r4 or r6 or r7 then 'flagged' else 'clean' end as status, count(*) as n from r group by 1",
     "qa_issue_counts": _VALID + """select issue, n from (select 'taxonomy_violation' as issue, cast(sum(r1::int + r2::int) as bigint) as n from r union all select 'count_violation', cast(sum(r3::int + r4::int) as bigint) from r

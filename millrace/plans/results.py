@@ -40,6 +40,19 @@ def _validated(s, d):
     return quality.validate(people.where("primary_expertise is not null or categories is not null"), vocabulary=vocabulary)
 
 
+def qa_full_rules(s, d):
+    """Every rule over every person: topics stand for the matched sectors, the functional list for what is inferred, sectors for
+    what is declared, the text for the reasoning, and the main label beside the topics for the evidence."""
+    none = F.array().cast("array<string>")
+    functional, topics = F.col("inferred_expertise_functional"), F.col("matched_inferred_expertise_topics")
+    rows = _p(s, d).select(
+        "id", "primary_expertise", functional.alias("categories"), topics.alias("matched_sector"), functional.alias("inferred"), topics.alias("topics"), t.split_list(F.col("sector"), ";").alias("declared"), F.col("bio").alias("reasoning"),
+        F.array_compact(F.concat(F.coalesce(topics, none), F.array("primary_expertise"))).alias("evidence_sectors"), F.concat_ws(" ", "title", "department").alias("declared_text"), F.col("profile_enriched").alias("analysed"),
+    )
+    names = lambda k: tuple(x for x, _ in _terms(s, d, k))
+    return quality.validate(rows, vocabulary=names("expertise") + names("functional"), sectors=names("topic"), limits=quality.Limits(categories=2, declared=3, inferred=3, topics=4))
+
+
 def requalified(s, d):
     """People that a quality filter sends back to analysis."""
     ids = quality.select_issues(_validated(s, d), status="failed")
@@ -118,6 +131,7 @@ def layer_issues(s, d):
 QUERIES = {
     "reset_masks": reset_masks,
     "rescrape_leaves_nothing": lambda s, d: ingest.plan_retry(_p(s, d), "rescrape").select("id", "next_step"),
+    "qa_full_rules": qa_full_rules,
     "requalified": requalified,
     "startable_companies": lambda s, d: ingest.startable(_c(s, d)).select("id", "status"),
     "failed_jobs": lambda s, d: ingest.failed_jobs(_c(s, d), table(s, d, "jobs")),
@@ -181,6 +195,17 @@ _HAD = {"image_url", "name", "title", "location", "email", "phone", "linkedin_ur
 SQL = {
     "reset_masks": " union all ".join(_mask(m) for m in MODES),
     "rescrape_leaves_nothing": "select id, 'scrape' as next_step from people where false",
+    "qa_full_rules": """with v as (select list(term) filter (where kind in ('expertise', 'functional')) as vocab, list(term) filter (where kind = 'topic') as sectors from reference_terms),
+ q as (select id, nullif(primary_expertise, '') as pe, coalesce(inferred_expertise_functional, []) as c, coalesce(matched_inferred_expertise_topics, []) as m, coalesce(list_filter(list_transform(string_split(sector, ';'), lambda x: trim(x, ' ')), lambda x: x <> ''), []) as d,
+  nullif(bio, '') as bio, lower(concat_ws(' ', title, department)) as own, coalesce(profile_enriched, false) as done, primary_expertise as p, vocab, sectors from people, v),
+ b as (select *, list_filter(c, lambda x: not list_contains(vocab, x)) as bad, list_filter(m, lambda x: not list_contains(sectors, x)) as wrong, list_sort(list_distinct(list_filter([p], lambda x: x is not null and not list_contains(m, x)))) as extra, list_filter(c, lambda x: contains(own, lower(x))) as copied from q),
+ r as (select id, list_filter([case when not list_contains(vocab, pe) then 'primary_expertise ''' || pe || ''' is not a valid taxonomy value' end, case when len(bad) > 0 then 'categories contains invalid values: [''' || array_to_string(bad, ''', ''') || ''']' end,
+  case when len(wrong) > 0 then 'matched_sector contains invalid values: [''' || array_to_string(wrong, ''', ''') || ''']' end, case when pe is not null and len(c) > 0 and not coalesce(list_contains(c, pe), false) then 'primary_expertise ''' || pe || ''' not present in categories' end,
+  case when len(c) > 0 and bio is null then 'reasoning is empty but inferred is non-empty' end, case when len(extra) > 0 then 'evidence_map has entries not committed to matched_sector: [''' || array_to_string(extra, ''', ''') || ''']' end,
+  case when len(copied) > 0 then 'inferred contains verbatim profile text: [''' || array_to_string(copied, ''', ''') || ''']' end], lambda x: x is not null) as hard,
+ list_filter([case when len(c) > 2 then 'categories has ' || len(c) || ' items (max 2)' end, case when len(d) > 3 then 'declared has ' || len(d) || ' items (max 3)' end, case when len(c) > 3 then 'inferred has ' || len(c) || ' items (max 3)' end, case when len(m) > 4 then 'topics has ' || len(m) || ' items (max 4)' end,
+  case when done and len(m) = 0 then 'matched_sector is empty' end, case when done and len(c) = 0 then 'categories is empty' end, case when done and pe is null then 'primary_expertise is not set after analysis' end], lambda x: x is not null) as soft from b)
+ select id, hard, soft, case when len(hard) > 0 then 'failed' when len(soft) > 0 then 'flagged' else 'clean' end as status from r""",
     "requalified": _QA + "select p.id, case when s.id is not null then null else p.primary_expertise end as primary_expertise, case when s.id is not null then 'analyze' end as next_step from people p left join (select id from s where status = 'failed') s on s.id = p.id",
     "startable_companies": "select id, status from companies where status not in ('" + "', '".join(ingest.IN_PROGRESS) + "')",
     "failed_jobs": "select c.id as company_id, c.job_id, c.error_message, j.filename, j.status as job_status from companies c join jobs j on j.id = c.job_id where c.status = 'error'",

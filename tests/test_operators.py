@@ -440,3 +440,21 @@ def test_sources_and_sinks_of_runs(spark, tmp_path):
         lists.get_by_id(flat, 9, "pos")
     meta = sinks.with_metadata(spark.createDataFrame([(1, "m", None)], "id long, model string, note string"), ["model", "note"]).first()
     assert meta["metadata"] == '{"model":"m"}'
+
+
+def test_search_results_and_labels(spark):
+    people = spark.createDataFrame([(1, "Robert Harding", "Boltama Capital"), (2, "Ann Lee", "Boltama Capital"), (3, "Rob Harding", "Boltama Capital")], "id long, name string, company string")
+    hits = [(1, 0, "https://x/in/joe-barry", "Boltama"), (1, 1, "https://x/in/rob-harding-162", "CFO at Boltama"), (1, 2, "https://x/in/robert-harding", "Boltama"), (2, 0, "https://x/in/ann-lee", "another firm"), (2, 1, "https://x/company/ann-lee", "Boltama"), (3, 5, "https://x/in/rob-harding-162", "Boltama"), (3, 6, "https://x/in/x", None)]
+    got = resolve.match_search_results(people, spark.createDataFrame(hits, "id long, pos int, url string, snippet string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "https://x/in/rob-harding-162")}
+    flags = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "a boolean, b boolean")
+    assert {r["l"] for r in flags.select(resolve.source_label(F.col("a"), F.col("b")).alias("l")).collect()} == {*resolve.SOURCE_LABELS.values(), None}
+
+
+def test_sites_that_did_well_may_have_longer_gaps(spark):
+    counts = {"bad": [3, 0, 3], "good": [1] * 9 + [0, 0, 2] + [0] * 5 + [9], "none": [0, 5]}
+    df = spark.createDataFrame([(s, n, f) for s, fs in counts.items() for n, f in enumerate(fs)], "site string, n int, found int")
+    got = {}
+    for r in pages.adaptive_empty_stop(df).collect():
+        got.setdefault(r["site"], []).append(r["n"])
+    assert {s: max(v) for s, v in got.items()} == {"bad": 1, "good": 16, "none": 0}
