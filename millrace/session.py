@@ -50,16 +50,30 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Tables of ``checkpoint`` that still stand.
+_WRITTEN: list[str] = []
+
+
+def clear_checkpoints(spark: SparkSession) -> int:
+    """Remove the tables that ``checkpoint`` wrote so far; for long sessions, between jobs whose results are stored. How many."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+    return n
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder once, as a columnar table, and go on from there.
 
     The table survives the loss of executors, later reads prune its columns, and its size is known to the optimiser. It is
-    removed when the application ends.
+    removed when the application ends, or by ``clear_checkpoints``.
     """
     spark = df.sparkSession
     path = f"{shared_checkpoint_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(clear_checkpoints, spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -458,3 +458,15 @@ def test_sites_that_did_well_may_have_longer_gaps(spark):
     for r in pages.adaptive_empty_stop(df).collect():
         got.setdefault(r["site"], []).append(r["n"])
     assert {s: max(v) for s, v in got.items()} == {"bad": 1, "good": 16, "none": 0}
+
+
+def test_checkpoints_can_be_cleared(spark):
+    from millrace import session
+
+    kept = session.checkpoint(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    import os
+
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert session.clear_checkpoints(spark) >= 1 and not os.path.isdir(path) and session.clear_checkpoints(spark) == 0
+    assert session.checkpoint(spark.range(3)).count() == 3
