@@ -122,19 +122,30 @@ class TrieEncoder:
         return out
 
 
+def read_vocabulary(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> bytes:
+    """The vocabulary file, read where the query is made: it travels with the task (under 1 MB), so workers need no copy."""
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=4)
+def encoder_of(vocabulary: bytes) -> TrieEncoder:
+    """One encoder per worker and vocabulary, so that its cache outlives a task."""
+    return TrieEncoder({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())})
+
+
 def load_encoder(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> TrieEncoder:
-    with open(os.path.join(folder, vocabulary), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return TrieEncoder(ranks)
+    return encoder_of(read_vocabulary(folder, vocabulary))
 
 
 def encode(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
     """Token ids (array<int>, never null) of a text column; no shuffle."""
 
+    data = read_vocabulary(folder, vocabulary)
+
     @F.pandas_udf(ArrayType(IntegerType(), False))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load_encoder(folder, vocabulary)
+        encoder = encoder_of(data)
         for texts in batches:
             yield pd.Series(encoder.encode_batch(texts), dtype=object)
 
@@ -144,9 +155,11 @@ def encode(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULA
 def count_tokens(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
     """Number of token ids of a text column (0 for null)."""
 
+    data = read_vocabulary(folder, vocabulary)
+
     @F.pandas_udf(IntegerType())
     def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load_encoder(folder, vocabulary)
+        encoder = encoder_of(data)
         for texts in batches:
             yield pd.Series([len(x) for x in encoder.encode_batch(texts)], dtype="int32")
 
