@@ -36,6 +36,9 @@ DIMENSIONS = 1 << 16
 EPOCHS, RATE, DECAY = 10, 0.5, 1e-5
 #: Rounds of the mixture model on the examples alone and with the documents; the corpus's part in the words of each area.
 SEED_ROUNDS, ROUNDS, SMOOTHING = 4, 10, 0.2
+#: Documents in which a word must stand to count as one (or an example); others, mostly broken by stray runs, say nothing.
+LEAST_SEEN = 3
+UNKNOWN = "?"
 #: Part of a page's sentences that are of no area.
 NONE = 0.02
 #: How many sentences of unlabelled documents a sentence of an example outweighs.
@@ -90,8 +93,25 @@ def sentences_of(text: str) -> list[str]:
     return [s.strip() for s in _SENTENCE.split(text) if s and not is_metadata(s.strip())]
 
 
-def words_of(sentence: str) -> list[str]:
-    """Words in lower case; names (told by capitals) and numbers stand as one word each."""
+def names_of(texts: list[list[str]], least: int = 3) -> frozenset[str]:
+    """Words that so many documents write with a capital inside sentences whose language writes only names so, and none without."""
+    often, low = Counter(), set()
+    for sentences in texts:
+        capital: set[str] = set()
+        for s in sentences:
+            if _GERMAN.search(s) or shouts(s):
+                continue
+            for i, w in enumerate(_WORD.findall(s)):
+                if w[0].islower():
+                    low.add(w)
+                elif i and len(w) > 2:
+                    capital.add(w.lower())
+        often.update(capital)
+    return frozenset(w for w, n in often.items() if n >= least and w not in low)
+
+
+def words_of(sentence: str, names: frozenset[str] = frozenset()) -> list[str]:
+    """Words in lower case; names (told by capitals, or known from elsewhere) and numbers stand as one word each."""
     found = _WORD.findall(sentence)
     shout = sum(w.isupper() for w in found) > len(found) / 2
     german = _GERMAN.search(sentence) is not None
@@ -101,7 +121,7 @@ def words_of(sentence: str) -> list[str]:
         # German writes all nouns with a capital, so there only runs of capitals are names. A first word alone is a name
         # unless it is one of the frame, which it can't be known to be here; it keeps its capital as a mark.
         run = named[i] and ((i > 0 and named[i - 1]) or (i + 1 < len(named) and named[i + 1]))
-        if run or (i and named[i] and not german):
+        if run or (i and named[i] and (not german or w.lower() in names)):
             if words and words[-1] == "Name":
                 continue
             w = "Name"
@@ -115,6 +135,27 @@ def words_of(sentence: str) -> list[str]:
     return words
 
 
+def shouts(sentence: str) -> bool:
+    """Whether most words are in capitals, so that names can't be told by theirs."""
+    found = _WORD.findall(sentence)
+    return sum(w.isupper() for w in found) > len(found) / 2
+
+
+def known_only(words: list[str], known: frozenset[str], shout: bool = False) -> list[str]:
+    """The words, unknown ones as a mark. In capitals a word right behind an unknown one is the rest of a name."""
+    out: list[str] = []
+    for w in words:
+        named = shout and out and out[-1] == UNKNOWN and w not in FUNCTION_WORDS
+        out.append(w if not named and (w in known or w[0] == "^" and not shout or w in ("Name", "#")) else UNKNOWN)
+    return out
+
+
+def known_words_of(examples: list[list[list[str]]], documents: list[list[list[str]]], least: int = LEAST_SEEN) -> frozenset[str]:
+    """Words of the examples, and those that stand in so many documents (sentences in capitals left out)."""
+    often = Counter(w for d in documents for w in {w for s in d for w in s})
+    return frozenset({w for d in examples for s in d for w in s} | {w for w, n in often.items() if n >= least} | FUNCTION_WORDS)
+
+
 def hash_grams(words: list[str]) -> np.ndarray:
     """Indices of the hashed unigrams and bigrams of a list of words."""
     grams = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
@@ -219,6 +260,13 @@ class SubjectModel:
     remark_model: LinearModel | None
     frame_words: frozenset[str]
     thresholds: np.ndarray
+    known_words: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
+
+    def read(self, sentence: str) -> list[str]:
+        """The words of a sentence in the reading with the fewest unknown ones, which stand as one mark."""
+        loud = shouts(sentence)
+        return min((known_only(words_of(r, self.names), self.known_words, loud) for r in readings(sentence)), key=lambda ws: ws.count(UNKNOWN))
 
     def frame(self, words: list[str]) -> np.ndarray:
         return frame_of(words, self.frame_words)
@@ -233,14 +281,8 @@ class SubjectModel:
         return p[at], q[at]
 
     def sentence_scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per sentence: area probabilities (best of its readings) and remark score (lowest of them)."""
-        read = [readings(s) for s in sentences]
-        owner = np.repeat(np.arange(len(read)), [len(r) for r in read]).astype(np.int64)
-        p, q = self.scores_of([words_of(r) for rs in read for r in rs])
-        best, remark = np.zeros((len(sentences), len(self.areas))), np.ones(len(sentences))
-        np.maximum.at(best, owner, p)
-        np.minimum.at(remark, owner, q)
-        return best, remark
+        """Area probabilities and remark score of each sentence."""
+        return self.scores_of([self.read(s) for s in sentences])
 
     def areas_of_all(self, texts: list[str]) -> list[list[str]]:
         """The areas of each text: those that reach their threshold in a sentence that is no remark, else ``general``."""
@@ -331,7 +373,7 @@ def _example_frame(examples: list[tuple[list[list[str]], int]], n_areas: int) ->
         for w in {w for s in sentences for w in s}:
             seen[w][a] += 1
     out = {w for w, by in seen.items() if (n := sum(by.values())) >= 3 and max(c for a, c in by.items() if a != n_areas or len(by) == 1) < 0.5 * n or by[n_areas] >= 2}
-    return frozenset(out | {"Name", "#", *FUNCTION_WORDS})
+    return frozenset(out | {"Name", "#", UNKNOWN, *FUNCTION_WORDS})
 
 
 def _spread_words(rows: _Rows, q: np.ndarray, n_areas: int) -> frozenset[str]:
@@ -354,12 +396,17 @@ def fit_subjects(examples: list[tuple[str, str]], texts: list[str], areas: list[
     """Fit on labelled (text, area) examples and on unlabelled texts."""
     areas = [a for a in areas if a != GENERAL]
     at = {a: i for i, a in enumerate(areas)}
-    cut = lambda text: [words_of(readings(s)[0]) for s in sentences_of(text)]
-    given = [(x, at.get(a, len(areas))) for t, a in examples if (x := cut(t))]
+    names = names_of([sentences_of(t) for t in (*texts, *(t for t, _ in examples))])
+    cut = lambda text: [(words_of(readings(s)[0], names), shouts(s)) for s in sentences_of(text)]
+    quiet = lambda x: [w for w, loud in x if not loud]
+    cut_examples = [(x, at.get(a, len(areas))) for t, a in examples if (x := cut(t))]
+    cut_texts = [x for t in texts if (x := cut(t))]
+    known = known_words_of([quiet(x) for x, _ in cut_examples], [quiet(x) for x in cut_texts])
+    given = [([known_only(w, known, loud) for w, loud in x], a) for x, a in cut_examples]
     if not given or not areas:
         empty = LinearModel(np.zeros((DIMENSIONS, len(areas)), dtype=np.float32), np.full(len(areas), -9, dtype=np.float32))
         return SubjectModel(areas, empty, None, frozenset(), np.full(len(areas), 0.5))
-    texts_ = [x for t in texts if (x := cut(t))]
+    texts_ = [[known_only(w, known, loud) for w, loud in x] for x in cut_texts]
     frame_words = _example_frame(given, len(areas))
     seen, q, new, new_q = spread_labels(given, texts_, len(areas), frame_words)
     for _ in range(2):
@@ -375,7 +422,7 @@ def fit_subjects(examples: list[tuple[str, str]], texts: list[str], areas: list[
         g[1] += weight * y
         g[2] += weight
     area_model = fit_linear([g[0] for g in groups.values()], np.array([g[1] / g[2] for g in groups.values()]), np.sqrt([g[2] for g in groups.values()]))
-    model = SubjectModel(areas, area_model, None, frame_words, np.full(len(areas), 0.5))
+    model = SubjectModel(areas, area_model, None, frame_words, np.full(len(areas), 0.5), known, names)
     model.remark_model = _fit_remarks(model, new, new_q)
     model.thresholds = _calibrate(model, examples)
     return model

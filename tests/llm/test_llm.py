@@ -276,6 +276,17 @@ def test_subjects_on_held_out_examples(spark, examples):
     assert found[:20] == [model.areas_of(t) for t, _ in test[:20]] and model.areas_of_all([]) == []
 
 
+def test_broken_words_and_names_say_nothing():
+    texts = [["Ann works in Oslo.", "She reads contracts."], ["Bob lives in Oslo too."], ["Oslo is far, says Oslo."], ["Das Team von Oslo ist da."], ["BOB SHOUTS IN ROME."] * 3]
+    assert subjects.names_of(texts, least=2) == {"oslo"}
+    assert "oslo" not in subjects.words_of("Das Büro ist in Oslo und für uns.", frozenset({"oslo"})) and "oslo" in subjects.words_of("Das Büro ist in Oslo und für uns.")
+    known = frozenset({"reads", "contracts", "capital"})
+    assert subjects.known_only(["^she", "reads", "contr", "Name"], known) == ["^she", "reads", "?", "Name"]
+    assert subjects.known_only(["boltama", "capital", "reads"], known, shout=True) == ["?", "?", "?"]
+    model = subjects.SubjectModel(["law"], None, None, frozenset(), np.array([0.5]), known)
+    assert model.read("She reads cont\u200bracts.") == ["^she", "reads", "contracts"]
+
+
 def test_subject_edges(spark, data):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "Colleagues value a calm manner and clear notes."), (5, "word " * 20_000)], "doc_id long, text string")
     got = sorted(map(tuple, subjects.find_subjects(docs, table(spark, data, "subject_areas"), table(spark, data, "subject_examples")).collect()))
