@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from millrace.functions.text import distinct_ignoring_case, first_set, split_list
+
 #: Keys under which a list holds an address, the first that is there counts.
 URL_KEYS = ("url", "URL", "link", "href", "website")
 
@@ -59,8 +61,36 @@ EMPLOYEE = StructType([StructField(n, StringType()) for n in ("firstName", "last
 def read_employees(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot of an employee payload (JSON lines) with an explicit schema; a place may be a text or an object."""
     df = spark.read.schema(EMPLOYEE).json(path)
-    place = F.coalesce(F.get_json_object("location", "$.linkedinText"), F.get_json_object("location", "$.parsed.text"), F.when(~F.col("location").startswith("{"), F.col("location")))
-    return df.withColumn("location", place)
+    return df.withColumn("location", _place())
+
+
+def _place() -> Column:
+    """A place that may be a text or an object."""
+    return F.coalesce(F.get_json_object("location", "$.linkedinText"), F.get_json_object("location", "$.parsed.text"), F.get_json_object("location", "$.full"), F.when(~F.col("location").startswith("{"), F.col("location")))
+
+
+PROFILE = "linkedinUrl string, url string, originalQuery struct<query: string>, headline string, about string, location string, photo string, profilePicture string, topSkills string, skills array<string>, experience array<struct<position: string, companyName: string, duration: string, location: string, skills: array<string>>>"
+
+
+def read_profile_payload(spark: SparkSession, path: str) -> DataFrame:
+    """(url, asked_url, headline, about, location, image_url, skills, experience): snapshots of profiles (JSON lines).
+
+    Skills may be texts or objects with a name, top skills one text with bullets; a picture may be a text or an object.
+    """
+    df = spark.read.schema(PROFILE).json(path)
+    own = F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.title"))).otherwise(x))
+    top = F.coalesce(split_list(F.col("topSkills"), "•"), F.array().cast("array<string>"))
+    image = F.coalesce(F.get_json_object("profilePicture", "$.url"), F.when(~F.col("profilePicture").startswith("{"), F.col("profilePicture")), F.col("photo"))
+    return df.select(first_set(F.col("linkedinUrl"), F.col("url")).alias("url"), F.col("originalQuery.query").alias("asked_url"), "headline", "about", _place().alias("location"), image.alias("image_url"), distinct_ignoring_case(F.filter(F.concat(top, own), lambda x: x.isNotNull() & (x != ""))).alias("skills"), "experience")
+
+
+SEARCH = "searchQuery struct<term: string>, organicResults array<struct<url: string, title: string, description: string, snippet: string>>"
+
+
+def read_search_results(spark: SparkSession, path: str) -> DataFrame:
+    """(term, pos, url, title, snippet): the results of searches (JSON lines), one row each, in their order."""
+    rows = spark.read.schema(SEARCH).json(path).select(F.col("searchQuery.term").alias("term"), F.posexplode("organicResults").alias("pos", "r"))
+    return rows.select("term", "pos", "r.url", "r.title", first_set(F.col("r.description"), F.col("r.snippet")).alias("snippet"))
 
 
 def get_by_id(df: DataFrame, id_: int, key: str = "id") -> DataFrame:

@@ -470,3 +470,15 @@ def test_checkpoints_can_be_cleared(spark):
     assert kept.count() == 5 and os.path.isdir(path)
     assert session.clear_checkpoints(spark) >= 1 and not os.path.isdir(path) and session.clear_checkpoints(spark) == 0
     assert session.checkpoint(spark.range(3)).count() == 3
+
+
+def test_payloads(spark, tmp_path):
+    one = {"linkedinUrl": "https://x/in/ann", "originalQuery": {"query": "https://x/in/ann-1"}, "headline": "CFO", "location": {"linkedinText": "Ulm"}, "profilePicture": {"url": "https://p/1"}, "topSkills": "Tax • Audit", "skills": ["tax", {"name": "VAT"}]}
+    two = {"url": "https://x/in/bob", "location": "Bonn", "photo": "https://p/2"}
+    (tmp_path / "p.json").write_text(json.dumps(one) + "\n" + json.dumps(two) + "\n")
+    got = {r["url"]: r for r in lists.read_profile_payload(spark, str(tmp_path / "p.json")).collect()}
+    a, b = got["https://x/in/ann"], got["https://x/in/bob"]
+    assert (a["asked_url"], a["location"], a["image_url"], a["skills"]) == ("https://x/in/ann-1", "Ulm", "https://p/1", ["Tax", "Audit", "VAT"])
+    assert (b["asked_url"], b["location"], b["image_url"], b["skills"]) == (None, "Bonn", "https://p/2", [])
+    (tmp_path / "s.json").write_text(json.dumps({"searchQuery": {"term": "ann"}, "organicResults": [{"url": "u1", "title": "t", "description": "", "snippet": "s"}, {"url": "u2", "description": "d"}]}) + "\n" + json.dumps({"searchQuery": {"term": "none"}}) + "\n")
+    assert [tuple(r) for r in lists.read_search_results(spark, str(tmp_path / "s.json")).orderBy("pos").collect()] == [("ann", 0, "u1", "t", "s"), ("ann", 1, "u2", None, "d")]
