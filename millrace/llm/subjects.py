@@ -110,8 +110,9 @@ def names_of(texts: list[list[str]], least: int = 3) -> frozenset[str]:
     return frozenset(w for w, n in often.items() if n >= least and w not in low)
 
 
-def words_of(sentence: str, names: frozenset[str] = frozenset()) -> list[str]:
-    """Words in lower case; names (told by capitals, or known from elsewhere) and numbers stand as one word each."""
+def words_of(sentence: str, names: frozenset[str] = frozenset(), known: frozenset[str] | None = None) -> list[str]:
+    """Words in lower case; names (told by capitals, or known from elsewhere) and numbers stand as one word each, and so do
+    those outside ``known`` if it is given."""
     found = _WORD.findall(sentence)
     shout = sum(w.isupper() for w in found) > len(found) / 2
     german = _GERMAN.search(sentence) is not None
@@ -132,7 +133,7 @@ def words_of(sentence: str, names: frozenset[str] = frozenset()) -> list[str]:
             if i == 0 and not shout:
                 w = "^" + w
         words.append(w)
-    return words
+    return words if known is None else known_only(words, known, shout)
 
 
 def shouts(sentence: str) -> bool:
@@ -265,8 +266,7 @@ class SubjectModel:
 
     def read(self, sentence: str) -> list[str]:
         """The words of a sentence in the reading with the fewest unknown ones, which stand as one mark."""
-        loud = shouts(sentence)
-        return min((known_only(words_of(r, self.names), self.known_words, loud) for r in readings(sentence)), key=lambda ws: ws.count(UNKNOWN))
+        return min((words_of(r, self.names, self.known_words) for r in readings(sentence)), key=lambda ws: ws.count(UNKNOWN))
 
     def frame(self, words: list[str]) -> np.ndarray:
         return frame_of(words, self.frame_words)
@@ -304,7 +304,15 @@ class _Rows:
     """Sentences of many documents as one flat array of hashed n-grams."""
 
     def __init__(self, documents: list[list[list[str]]], frame_words: frozenset[str]):
-        kept = [(w, r, d) for d, sentences in enumerate(documents) for w in sentences if len(r := topic_of(w, frame_words))]
+        rows: dict[tuple[str, ...], np.ndarray] = {}  # sentences repeat a lot
+
+        def row(words: list[str]) -> np.ndarray:
+            key = tuple(words)
+            if key not in rows:
+                rows[key] = topic_of(words, frame_words)
+            return rows[key]
+
+        kept = [(w, r, d) for d, sentences in enumerate(documents) for w in sentences if len(r := row(w))]
         self.words = [w for w, _, _ in kept]
         self.rows = [r for _, r, _ in kept]
         self.document = np.array([d for _, _, d in kept], dtype=np.int64)
@@ -396,11 +404,12 @@ def fit_subjects(examples: list[tuple[str, str]], texts: list[str], areas: list[
     """Fit on labelled (text, area) examples and on unlabelled texts."""
     areas = [a for a in areas if a != GENERAL]
     at = {a: i for i, a in enumerate(areas)}
-    names = names_of([sentences_of(t) for t in (*texts, *(t for t, _ in examples))])
-    cut = lambda text: [(words_of(readings(s)[0], names), shouts(s)) for s in sentences_of(text)]
+    split_texts, split_examples = [sentences_of(t) for t in texts], [sentences_of(t) for t, _ in examples]
+    names = names_of(split_texts + split_examples)
+    cut = lambda sentences: [(words_of(r, names), shouts(r)) for s in sentences for r in readings(s)[:1]]
     quiet = lambda x: [w for w, loud in x if not loud]
-    cut_examples = [(x, at.get(a, len(areas))) for t, a in examples if (x := cut(t))]
-    cut_texts = [x for t in texts if (x := cut(t))]
+    cut_examples = [(x, at.get(a, len(areas))) for c, (_, a) in zip(split_examples, examples) if (x := cut(c))]
+    cut_texts = [x for c in split_texts if (x := cut(c))]
     known = known_words_of([quiet(x) for x, _ in cut_examples], [quiet(x) for x in cut_texts])
     given = [([known_only(w, known, loud) for w, loud in x], a) for x, a in cut_examples]
     if not given or not areas:
