@@ -205,16 +205,11 @@ def read_nodes(people: DataFrame, lexicon: frozenset[str]) -> DataFrame:
 
 def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     """(light, heavy, score): verified links from lighter to heavier nodes of a company."""
-    # A bare initial has too few q-grams for the bands, so it meets by the surname beside it.
-    short = F.when(F.col("surname") != "", F.xxhash64(F.concat_ws("|", F.lit("i"), F.left("given", F.lit(1)), "surname")))
-    exact = [F.xxhash64(F.lit(c), c) for c in ("page", "network", "mailbox", "line", "portrait")]
-    exact = [F.when(F.col(c).isNotNull(), k) for c, k in zip(("page", "network", "mailbox", "line", "portrait"), exact)]
-    keys = F.concat(minhash_bands(F.col("given"), F.col("surname")), F.filter(F.array(short, *exact), lambda k: k.isNotNull()))
-    # The company is part of the key, so that a bucket is one number.
-    buckets = nodes.select("node", F.explode(F.transform(F.array_distinct(keys), lambda k: F.xxhash64("company_id", k))).alias("key"))
-    meetings = buckets.alias("x").join(buckets.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
-    pairs = meetings.select(F.col("x.node").alias("n1"), F.col("y.node").alias("n2")).distinct()
-    both = pairs.join(nodes.alias("p"), F.col("n1") == F.col("p.node")).join(nodes.alias("q"), F.col("n2") == F.col("q.node"))
+    pairs = checkpoint(meet_nodes(nodes, lexicon))
+    # What the rules reject by the names alone is gone already, so few nodes are left to be compared.
+    ends = broadcast_if_small(pairs.select(F.explode(F.array("n1", "n2")).alias("node")).distinct())
+    met = checkpoint(nodes.join(ends, "node", "left_semi"))
+    both = pairs.join(met.alias("p"), F.col("n1") == F.col("p.node")).join(met.alias("q"), F.col("n2") == F.col("q.node"))
     linked, score = alike(lexicon)
     # Full names before initials, then by weight.
     p_rank, q_rank = (F.struct(F.length(f"{x}.given") > 1, f"{x}.weight", f"{x}.node") for x in "pq")
@@ -222,20 +217,54 @@ def link_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     return both.where(linked).select(light.alias("light"), heavy.alias("heavy"), score.alias("score"))
 
 
-def alike(lexicon: frozenset[str]) -> tuple[Column, Column]:
-    """Whether the nodes ``p`` and ``q`` (aliases) of one company stand for one person, and how much speaks for it."""
+def meet_nodes(nodes: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """(n1, n2): nodes of a company that share a key, without those that ``alike`` rejects by their names alone.
+
+    Two different known given names are never linked but by an identifier, so among nodes with known given names the given
+    name is part of the band's key: namesakes by the surname alone, whose number grows as the square of a company, don't meet.
+    The others (initials, slips, rare names) meet all nodes by the plain keys. Names travel with the keys, so that the join
+    tests them and only pairs that pass are shuffled.
+    """
+    known = F.col("given").isin(*lexicon) if lexicon else F.lit(False)
+    named = ("node", "given", "surname")
+    banded = checkpoint(nodes.select("company_id", *named, known.alias("known"), minhash_bands(F.col("given"), F.col("surname")).alias("bands")))
+    # The company is part of the key, so that a bucket is one number.
+    keyed = lambda rows, keys: rows.select(*named, F.explode(F.transform(F.array_distinct(keys), lambda k: F.xxhash64("company_id", k))).alias("key"))
+    # A bare initial has too few q-grams for the bands, so it meets by the surname beside it.
+    short = F.when(F.col("surname") != "", F.xxhash64(F.concat_ws("|", F.lit("i"), F.left("given", F.lit(1)), "surname")))
+    plain = F.concat("bands", F.array_compact(F.array(short)))
+    by_given = keyed(banded.where("known"), F.transform("bands", lambda k: F.xxhash64("given", k)))
+    unknown = broadcast_if_small(checkpoint(keyed(banded.where("not known"), plain)))
+    exact = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in ("page", "network", "mailbox", "line", "portrait")]
+    by_id = keyed(nodes, F.array_compact(F.array(*exact)))
+    by_name, monge_elkan = named_alike()
+    met = lambda a, b, order, test: a.alias("p").join(b.alias("q"), (F.col("p.key") == F.col("q.key")) & order & test).select(F.least("p.node", "q.node").alias("n1"), F.greatest("p.node", "q.node").alias("n2"))
+    once = F.col("p.node") < F.col("q.node")
+    pairs = met(by_given, by_given, once, by_name).unionByName(met(by_id, by_id, once, monge_elkan >= 0.6))
+    # Equal lines, portraits or pages ask for less, but such nodes meet by them.
+    return pairs.unionByName(met(keyed(banded, plain), unknown, F.col("p.node") != F.col("q.node"), by_name)).distinct()
+
+
+def named_alike() -> tuple[Column, Column]:
+    """Whether the names of ``p`` and ``q`` (aliases) are those of one person, and their Monge-Elkan similarity."""
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    known = (lambda c: c.isin(*lexicon)) if lexicon else (lambda c: F.lit(False))
     surname, given = name_likeness(p("surname"), q("surname")), name_likeness(p("given"), q("given"))
     crossed = (name_likeness(p("surname"), q("given")) + name_likeness(p("given"), q("surname"))) / 2
     monge_elkan = F.greatest((surname + given) / 2, crossed)
+    return (surname >= 0.6) & (given >= 0.5) & (monge_elkan >= SIMILARITY) | (crossed >= 0.9), monge_elkan
+
+
+def alike(lexicon: frozenset[str]) -> tuple[Column, Column]:
+    """Whether the nodes ``p`` and ``q`` (aliases) of one company stand for one person, and how much speaks for it."""
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    known = (lambda c: c.isin(*lexicon)) if lexicon else (lambda c: F.lit(False))
+    by_name, monge_elkan = named_alike()
     same_id = _agree(p("line"), q("line")) | _agree(p("portrait"), q("portrait")) | _agree(p("page"), q("page"))
     mailbox, title, city = (_agree(p(c), q(c)) for c in ("mailbox", "title", "city"))
     other_id = _conflict(p("line"), q("line")) | _conflict(p("portrait"), q("portrait")) | _conflict(p("page"), q("page"))
     two_names = known(p("given")) & known(q("given")) & (p("given") != q("given"))
     one_initial = (F.length(p("given")) < 2) | (F.length(q("given")) < 2)
     support = mailbox.cast("int") * 3 + title.cast("int") * 2 + city.cast("int") + _agree(p("network"), q("network")).cast("int") * 3
-    by_name = (surname >= 0.6) & (given >= 0.5) & (monge_elkan >= SIMILARITY) | (crossed >= 0.9)
     apart = _conflict(p("title"), q("title")) & _conflict(p("city"), q("city")) & ~mailbox
     linked = F.when(other_id, False).when(same_id, monge_elkan >= 0.6).when(two_names, False).otherwise(by_name & F.when(one_initial, ~apart).otherwise(True))
     return linked, monge_elkan + F.when(same_id, 4).otherwise(0) + support / 4

@@ -388,6 +388,26 @@ def test_given_names_are_the_same_on_copies_of_a_table(spark):
     assert spellings.given_names(people) == spellings.given_names(ten)
 
 
+def test_namesakes_by_the_surname_alone_dont_meet(spark):
+    """In one hot company no pair of different known given names is made, and no link of any pair is lost by that."""
+    given = ["Simon", "Maria", "Peter", "Olga", "Marcus", "Linda", "Oscar", "Julia", "Felix", "Ingrid"]
+    surnames = [f"{a}{b}{c}" for a in ("kul", "fil", "mor") for b in ("kage", "polta", "dimu") for c in ("hagen", "worth")]
+    names = [f"{g} {s}" for g in given for s in surnames] + ["S Kulkagehagen", "Kulkagehagen, Simon", "Maria Kulkagehaegn", "Mraia Filpoltaworth", "Xanthor Mordimuworth", "Xanthor Mordimuwroth"]
+    nodes = checkpoint(spellings.make_nodes(spellings.read_nodes(people_df(spark, [{"id": i, "company_id": 3, "name": n} for i, n in enumerate(names)]), lexicon := frozenset(x.lower() for x in given))))
+    both = nodes.alias("p").crossJoin(nodes.alias("q")).where("p.node < q.node")
+    bands = {r["node"]: set(r["b"]) for r in nodes.select("node", spellings.minhash_bands(F.col("given"), F.col("surname")).alias("b")).collect()}
+    initials = both.where("left(p.given, 1) = left(q.given, 1) and p.surname = q.surname").select("p.node", "q.node").collect()
+    linked = {(r[0], r[1]) for r in both.where(spellings.alike(lexicon)[0]).select("p.node", "q.node").collect()}
+    want = {x for x in linked if bands[x[0]] & bands[x[1]]} | (linked & {(r[0], r[1]) for r in initials})
+    got = {(min(r["light"], r["heavy"]), max(r["light"], r["heavy"])) for r in spellings.link_nodes(nodes, lexicon).collect()}
+    pairs = {(r["n1"], r["n2"]) for r in spellings.meet_nodes(nodes, lexicon).collect()}
+    assert got == want and len(want) >= 4
+    # The bands alone make the square of a company.
+    named = {r["node"]: r["given"] for r in nodes.collect()}
+    square = {(a, b) for a in bands for b in bands if a < b and bands[a] & bands[b] and {named[a], named[b]} <= lexicon and named[a] != named[b]}
+    assert len(square) > 1000 and not square & pairs and len(pairs) <= len(want)
+
+
 def test_stars_are_the_same_as_by_brute_force(spark):
     rng = random.Random(4)
     links = sorted({(rng.randrange(1, 60), rng.randrange(60)) for _ in range(90)})
