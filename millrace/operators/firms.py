@@ -127,7 +127,7 @@ def company_roster(companies: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile_id, company_id, name, headline, pos): profiles at every company that their firm may mean; ``company_id`` is
     null for profiles that fit none."""
     named = companies.select(F.col("id").alias("company_id"), firm_keys(firm_text()).alias("firm"))
-    read = profiles.select("profile_id", profile_keys("company_name", "headline", "about").alias("employer"), F.concat_ws(" ", "first_name", "last_name").alias("name"), "headline", F.col("profile_id").alias("pos"))
+    read = checkpoint(profiles.select("profile_id", profile_keys("company_name", "headline", "about").alias("employer"), F.concat_ws(" ", "first_name", "last_name").alias("name"), "headline", F.col("profile_id").alias("pos")))
     near = near_firms(named.select(F.col("firm").alias("employer")), read).select("employer", F.explode("firms").alias("hash"))
     at = near.join(named.select("company_id", F.xxhash64("firm").alias("hash")), "hash").select("employer", "company_id")
     return read.join(at, "employer", "left").select("profile_id", "company_id", "name", "headline", "pos")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank_to_null, first_set, significant_tokens
-from millrace.functions.udfs import fold, sequence_ratio
+from millrace.functions.udfs import fold
+from millrace.operators.ratios import best_partners
+from millrace.session import broadcast_if_small, checkpoint, input_partitions
 
 #: Words before and after names that don't count, words of firms that say nothing, thresholds.
 NAME_PREFIXES = "sir|dame|lord|lady|dr|prof|mr|mrs|ms|rev|gen|col|maj|adm|amb|hon"
@@ -85,46 +88,62 @@ def letter_bound(a: Column, b: Column) -> Column:
     return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
-#: Letters from rare to frequent in names, so that prefixes of sorted letters are selective (any fixed order is exact).
-_RARE_FIRST = "jzqxkvbywgpfmucdlhrsnioate "
+#: Names of a company that one task compares with its roster; a larger company is spread over tasks.
+NAMES_TOGETHER = 8192
 
 
-def meeting_keys(name: Column) -> Column:
-    """Keys of which two names share one if their sequence ratio can reach 0.80 or one is the other's nickname.
+def near_names(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """(company_id, n, profile_id, ratio): for each name (company_id, n) the entry (company_id, m, first) of its company with
+    the best sequence ratio of ``RATIO_WITH_TITLE`` or more, the first in roster order of equals.
 
-    A ratio of 0.80 asks for 0.4 (la + lb) common letters, and the shorter name has two thirds of the longer one's length,
-    so at least two thirds of the letters of either name are common (counted with repetition). Sorted in one order, the
-    first third (and one) of the letters of both must then meet. Nicknames share the last name and three letters.
+    Whole companies, or shares of large ones, come together with their entries, so that pairs are compared in memory and none
+    is shuffled (see ``ratios.best_partners``).
     """
-    letters = F.split(F.translate(name, _RARE_FIRST, "abcdefghijklmnopqrstuvwxyz{"), "")
-    counted = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    prefix = F.slice(F.array_sort(counted), F.lit(1), (F.length(name) - F.ceil(F.length(name) * 2 / 3) + 1).cast("int"))
-    nick = F.concat(F.lit("n:"), F.element_at(F.split(name, " "), -1), F.lit("|"), F.left(name, F.lit(3)))
-    return F.array_append(prefix, nick)
+    tasks = input_partitions(names)
+    sizes = broadcast_if_small(checkpoint(names.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / NAMES_TOGETHER).alias("shares"))))
+    place = F.pmod(F.xxhash64("company_id", F.pmod(F.xxhash64("n"), F.col("shares"))), F.lit(4 * tasks)).alias("place")
+    placed = checkpoint(names.join(sizes, "company_id").select("company_id", "n", place))
+    placed_entries = entries.join(placed.select("company_id", F.col("place").alias("at")).distinct(), "company_id").select("company_id", "at", "m", "first.pos", "first.profile_id")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = dict(tuple(right.sort_values(["pos", "profile_id"], kind="stable").groupby("company_id")))
+        out = []
+        for company, rows in left.groupby("company_id"):
+            if company in own:
+                n, there = rows["n"].tolist(), own[company]
+                at, ratio = best_partners(n, there["m"].tolist(), RATIO_WITH_TITLE)
+                ids = there["profile_id"].tolist()
+                out += [(company, n[k], ids[at[k]], float(ratio[k])) for k in (at >= 0).nonzero()[0].tolist()]
+        return pd.DataFrame(out, columns=["company_id", "n", "profile_id", "ratio"])
+
+    # A stated width keeps AQE from putting the little data, which takes long, into a few tasks.
+    together = placed.repartition(tasks, "place").groupBy("place").cogroup(placed_entries.repartition(tasks, "at").groupBy("at"))
+    return together.applyInPandas(compare, "company_id long, n string, profile_id long, ratio double")
 
 
 def match_roster(people: DataFrame, roster: DataFrame) -> DataFrame:
     """(id, profile_id, tier, ratio): the roster entry of each person of the same company.
 
     ``people``: id, company_id, name, title. ``roster``: profile_id, company_id, name, headline, pos. An exact or nickname hit
-    wins, the first in roster order; else the best sequence ratio of 0.88, or 0.80 with a supporting title. Names meet by
-    keys that lose no pair above 0.80 (see ``meeting_keys``); length and letter bounds come before the ratio.
+    wins, the first in roster order; else the best sequence ratio of 0.88, or 0.80 with a supporting title. Equal names of a
+    company are one: exact and nickname hits are an equality join on last name and three letters, and only the names that it
+    leaves are compared by ratio (see ``near_names``), which loses no pair above 0.80.
     """
-    p = people.select("id", "company_id", "title", norm_name(fold("name")).alias("n")).where("n <> ''")
-    r = roster.select("profile_id", "company_id", "headline", "pos", norm_name(fold("name")).alias("m")).where("m <> ''")
-    keyed_p = p.select("id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("n")))).alias("key"))
-    keyed_r = r.select("profile_id", "company_id", F.explode(F.array_distinct(meeting_keys(F.col("m")))).alias("key"))
-    met = keyed_p.join(keyed_r, ["company_id", "key"]).select("id", "profile_id").distinct()
-    pairs = met.join(p, "id").join(r.drop("company_id").distinct(), "profile_id")
-    sure = (F.col("n") == F.col("m")) | is_nickname(F.col("n"), F.col("m"))
-    shortest, both = F.least(F.length("n"), F.length("m")), F.length("n") + F.length("m")
-    likely = sure | ((2.0 * shortest / both >= RATIO_WITH_TITLE) & (letter_bound(F.col("n"), F.col("m")) >= RATIO_WITH_TITLE))
-    scored = pairs.where(likely).withColumn("sure", sure).withColumn("ratio", F.when(F.col("sure"), 1.0).otherwise(sequence_ratio("n", "m")))
-    # One row per person is wanted, so an aggregate does (partial before the shuffle) instead of a window.
-    order = F.struct(F.col("sure").cast("int").alias("s"), F.when(F.col("sure"), 1.0).otherwise(F.col("ratio")).alias("q"), (-F.col("pos")).alias("p"), (-F.col("profile_id")).alias("f"))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("profile_id", "sure", "ratio", "title", "headline"), order).alias("b")).select("id", "b.*")
-    ok = F.col("sure") | (F.col("ratio") >= RATIO) | ((F.col("ratio") >= RATIO_WITH_TITLE) & title_supports(F.col("title"), F.coalesce("headline", F.lit(""))))
-    return best.where(ok).select("id", "profile_id", F.when(F.col("sure"), "exact").when(F.col("ratio") >= RATIO, "ratio").otherwise("title").alias("tier"), "ratio")
+    p = checkpoint(people.select("id", "company_id", "title", norm_name(fold("name")).alias("n")).where("n <> '' and company_id is not null"))
+    r = checkpoint(roster.select("profile_id", "company_id", "headline", "pos", norm_name(fold("name")).alias("m")).where("m <> '' and company_id is not null"))
+    names = checkpoint(p.select("company_id", "n").distinct())
+    entries = checkpoint(r.groupBy("company_id", "m").agg(F.min(F.struct(F.col("pos").isNull().alias("o"), "pos", "profile_id")).alias("first")))
+    keyed = lambda d, c: d.withColumn("last", F.element_at(F.split(c, " "), -1)).withColumn("start", F.left(F.col(c), F.lit(3)))
+    met = keyed(names, "n").join(keyed(entries, "m"), ["company_id", "last", "start"]).where((F.col("n") == F.col("m")) | is_nickname(F.col("n"), F.col("m")))
+    sure = checkpoint(met.groupBy("company_id", "n").agg(F.min("first").alias("first")))
+    near = checkpoint(near_names(names.join(sure, ["company_id", "n"], "left_anti"), entries))
+    best = sure.select("company_id", "n", "first.profile_id", F.lit(True).alias("sure"), F.lit(1.0).alias("ratio")).unionByName(near.select("company_id", "n", "profile_id", F.lit(False).alias("sure"), "ratio"))
+    # Only the pairs between the two thresholds ask for a headline.
+    asked = broadcast_if_small(near.where(F.col("ratio") < RATIO).select("company_id", "profile_id").distinct())
+    headlines = checkpoint(r.join(asked, ["company_id", "profile_id"], "left_semi").groupBy("company_id", "profile_id").agg(F.max("headline").alias("headline")))
+    found = p.join(best, ["company_id", "n"]).join(broadcast_if_small(headlines), ["company_id", "profile_id"], "left")
+    ok = F.col("sure") | (F.col("ratio") >= RATIO) | title_supports(F.col("title"), F.coalesce("headline", F.lit("")))
+    return found.where(ok).select("id", "profile_id", F.when(F.col("sure"), "exact").when(F.col("ratio") >= RATIO, "ratio").otherwise("title").alias("tier"), "ratio")
 
 
 def overwrite_merge(new: Column, old: Column) -> Column:

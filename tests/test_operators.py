@@ -166,6 +166,28 @@ def test_roster_match_against_brute_force(spark):
     assert {x["id"]: x["profile_id"] for x in resolve.match_roster(p, r).collect()} == want
 
 
+def test_best_partners_against_brute_force():
+    """The bounds over blocks of names lose no best ratio, nor the first of equals, in names of any length."""
+    import random
+
+    from millrace.operators.ratios import best_partners
+
+    rng = random.Random(3)
+
+    def name():
+        letters = list(f"{rng.choice(['rob', 'robert', 'anna', 'hannah', 'johan'])} {rng.choice(['kul', 'fil', 'po'])}{rng.choice(['ka', 'ru'])}{rng.choice(['hagen', 'worth', ''])}")
+        for _ in range(rng.randrange(4)):
+            letters[rng.randrange(len(letters))] = rng.choice(["", "e", "x", "oo"])
+        return "".join(letters) or "a"
+
+    names, others = [name() for _ in range(200)] + ["x" * 70, "ab " * 30, "a"], [name() for _ in range(200)] + ["x" * 66, "ab " * 29, "a", "b"]
+    place, ratio = best_partners(names, others, resolve.RATIO_WITH_TITLE)
+    for i, n in enumerate(names):
+        best, j = max((difflib.SequenceMatcher(None, n, m).ratio(), -j) for j, m in enumerate(others))
+        assert (place[i], ratio[i]) == ((-j, best) if best >= resolve.RATIO_WITH_TITLE else (-1, 0.0))
+    assert (place >= 0).sum() > 50
+
+
 def test_letter_bound_never_below_ratio(spark):
     words = ["anna", "hannah", "smith", "smythe", "lee", "ellee", "x", "abcabc"]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").select("a", "b", resolve.letter_bound(F.col("a"), F.col("b")).alias("bound"), sequence_ratio("a", "b").alias("r"))
