@@ -206,10 +206,10 @@ def match_search_results(people: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def cascade(people: DataFrame, steps: list) -> DataFrame:
-    """(id, profile_id, step): each step sees only what the steps before it left unmatched."""
+    """(id, profile_id, step): each step sees only what the steps before it left unmatched, and runs once."""
     left, out = people, None
     for k, step in enumerate(steps):
-        hits = step(left).select("id", "profile_id").withColumn("step", F.lit(k))
+        hits = checkpoint(step(left).select("id", "profile_id").withColumn("step", F.lit(k)))
         left = left.join(hits.select("id"), "id", "left_anti")
         out = hits if out is None else out.unionByName(hits)
     return out

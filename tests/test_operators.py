@@ -166,6 +166,21 @@ def test_roster_match_against_brute_force(spark):
     assert {x["id"]: x["profile_id"] for x in resolve.match_roster(p, r).collect()} == want
 
 
+def test_cascade_runs_each_step_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def profile(i):
+        seen.add(1)
+        return i + 100
+
+    people = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    first = lambda left: left.where("id < 5").withColumn("profile_id", profile("id"))
+    second = lambda left: left.where("id < 9").withColumn("profile_id", F.lit(7))
+    got = {tuple(r) for r in resolve.cascade(people, [first, second]).collect()}
+    assert got == {(i, i + 100, 0) for i in range(5)} | {(i, 7, 1) for i in range(5, 9)} and seen.value == 5
+
+
 def test_best_partners_against_brute_force():
     """The bounds over blocks of names lose no best ratio, nor the first of equals, in names of any length."""
     import random
