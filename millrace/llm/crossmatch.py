@@ -1,7 +1,7 @@
 """Matching persons across two sources without a shared key (problem 4).
 
-Records of both sources form a graph record - attribute - token. Random walks over a bounded sample of it train skip-gram
-vectors of the (hashed) tokens on the driver. Blocking: one family of hyperplane tables over the trained vectors of the names,
+Records of both sources form a graph record - attribute - token. Random walks over shares of it, all records
+taking part, train skip-gram vectors of the (hashed) tokens, which are averaged. Blocking: one family of hyperplane tables over the trained vectors of the names,
 within a firm. A record stands in the cell of its surname, and in cells of its given name that the hyperplanes of the surname
 split: the number of these planes follows the firm's size, so that a cell stays small whatever the size, and the number of
 tables follows from the planes, so that surnames at the cosine ``SLIP_COSINE`` still meet with the chance ``RECALL``
@@ -40,7 +40,9 @@ from millrace.operators import firms
 from millrace.operators.firms import employer_in_text, nearest_firms, same_firm
 from millrace.session import broadcast_if_small, checkpoint
 
-#: Records of each source that the token vectors are trained on (in the order of a hash): a bound for the driver.
+#: Records that one task walks and trains on; there are as many shares as all records need.
+RECORDS_TOGETHER = 20_000
+#: Records that the tests of the index train on.
 SAMPLE_RECORDS = 3_000
 VOCABULARY, DIMENSIONS, WALKS, WALK_LENGTH, WINDOW, NEGATIVES, RATE = 1 << 14, 32, 3, 8, 1, 4, 0.05
 #: The cosine at which two surnames must still meet, and the chance of it: one slip in a surname of usual length leaves 0.6, a swap a little less.
@@ -275,13 +277,37 @@ def with_cosines(pairs: DataFrame, model: TokenVectors) -> DataFrame:
     return pairs.withColumn("cosine", cosines("same_address", F.expr("size(p.addresses) > 0"), F.expr("q.address is not null"), *[f"{s}.{a}" for s in "pq" for a in ATTRIBUTES]))
 
 
-def bounded_sample(records: DataFrame, id_: str, most: int = SAMPLE_RECORDS) -> list[dict[str, str]]:
-    """About ``most`` records by a hash of their id, so that no more than that comes to the driver from any number of partitions."""
-    total = max(1, records.count())
-    scale = 1 << 30
-    order = F.pmod(F.xxhash64(id_), F.lit(scale))
-    near = records.where(order < min(scale, int(1.2 * scale * most / total) + 1))
-    return [r.asDict() for r in near.select(order.alias("o"), *ATTRIBUTES).orderBy("o", *ATTRIBUTES).limit(most).select(*ATTRIBUTES).collect()]
+def train_all(records: DataFrame, frequencies: np.ndarray, together: int = RECORDS_TOGETHER) -> TokenVectors:
+    """``train_vectors`` over all records: shares of about ``together`` records, by a hash, are walked and trained side by side
+    from the same start, and the vectors of a token are averaged over the shares that hold it, weighted by its records there.
+    A vector a token comes to the driver, whatever the number of shares."""
+    shares = max(1, math.ceil(records.count() / together))
+    placed = records.select(F.pmod(F.xxhash64(*ATTRIBUTES), F.lit(shares)).alias("share"), *ATTRIBUTES)
+
+    def train(b: pd.DataFrame) -> pd.DataFrame:
+        own = b[list(ATTRIBUTES)].sort_values(list(ATTRIBUTES)).to_dict("records")
+        held = np.bincount([t for r in own for a in ATTRIBUTES for t in set(tokens_of(a, r[a] or ""))], minlength=VOCABULARY)
+        at = np.flatnonzero(held)
+        return pd.DataFrame({"token": at, "n": held[at], "v": list(train_vectors(own, frequencies).vectors[at])})
+
+    def average(b: pd.DataFrame) -> pd.DataFrame:
+        out = [(t, np.average(np.stack(g["v"].tolist()), axis=0, weights=g["n"])) for t, g in b.sort_values(["token", "n"]).groupby("token")]
+        return pd.DataFrame(out, columns=["token", "v"])
+
+    trained = placed.groupBy("share").applyInPandas(train, "token long, n long, v array<float>")
+    model = train_vectors([], frequencies)
+    for r in trained.groupBy(F.pmod("token", F.lit(64))).applyInPandas(average, "token long, v array<float>").collect():
+        model.vectors[r["token"]] = r["v"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [model.attribute_vectors(a, [v or "" for v in b[a].tolist()]).astype(float) for a in ATTRIBUTES]
+            yield pd.DataFrame({"attribute": ATTRIBUTES, "n": [int((np.abs(x).sum(axis=1) > 0).sum()) for x in own], "v": [x.sum(axis=0) for x in own]})
+
+    columns = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMENSIONS)]
+    for r in records.select(*ATTRIBUTES).mapInPandas(sums, "attribute string, n long, v array<double>").groupBy("attribute").agg(F.sum("n").alias("n"), *columns).collect():
+        model.means[r["attribute"]] = np.array([r[f"v{i}"] for i in range(DIMENSIONS)], dtype=np.float32) / np.float32(max(1, r["n"]))
+    return model
 
 
 def judge_pairs(people: DataFrame, companies: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +332,9 @@ def judge_pairs(people: DataFrame, companies: DataFrame, profiles: DataFrame) ->
         .select("node", "given", "surname", F.coalesce("employer", F.lit("")).alias("employer"), F.array_compact(F.array("page", "network")).alias("addresses"), F.col("network").isNotNull().alias("networked"), "title", "city")
     )
     roster = checkpoint(read_profiles(profiles, lexicon).withColumnRenamed("title_key", "title").withColumn("address", F.when(F.col("address") != "", F.xxhash64("address"))))
-    frequencies = token_frequencies(persons.select(*ATTRIBUTES).unionByName(roster.select(*ATTRIBUTES)))
-    model = train_vectors(bounded_sample(persons, "node") + bounded_sample(roster, "profile_id"), frequencies)
+    records = persons.select(*ATTRIBUTES).unionByName(roster.select(*ATTRIBUTES))
+    frequencies = token_frequencies(records)
+    model = train_all(records, frequencies)
     sizes = checkpoint(persons.where("employer <> ''").groupBy("employer").agg(F.count(F.lit(1)).alias("n")).select("employer", F.xxhash64("employer").alias("firm"), planes_of(F.col("n")).alias("planes")))
     near = _near(named, roster, sizes)
     stand_a = persons.join(broadcast_if_small(sizes), "employer", "left").withColumn("free", F.lit(True))

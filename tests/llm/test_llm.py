@@ -524,6 +524,18 @@ def test_tables_follow_the_planes():
     assert crossmatch.choose_tables(0) == 1
 
 
+def test_vectors_are_trained_on_all_records(spark):
+    """Every token that any record holds has moved from where training starts, however many shares there are."""
+    records = [(f"sur{i}", f"given{i % 40}", f"firm{i % 50} works", "cfo aud", f"city{i % 30}") for i in range(7000)]
+    df = spark.createDataFrame(records, list(crossmatch.ATTRIBUTES))
+    frequencies = crossmatch.token_frequencies(df)
+    model, start = crossmatch.train_all(df, frequencies, together=2000), crossmatch.train_vectors([], frequencies)
+    held = frequencies > 0
+    moved = np.abs(model.vectors - start.vectors).max(axis=1) > 0
+    assert moved[held].mean() > 0.99 and not moved[~held].any()
+    assert all(np.abs(model.means[a]).sum() > 0 for a in crossmatch.ATTRIBUTES)
+
+
 def test_walks_stay_on_the_graph():
     """A walk may go from a token only to one that a record holding the first token holds as well."""
     records = [{"surname": f"name{'abc'[i % 3]}", "given": f"g{i % 5}", "employer": f"firm{i % 4}", "title": "", "city": ""} for i in range(30)]
