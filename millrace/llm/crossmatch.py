@@ -27,7 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,8 @@ RECORDS_TOGETHER = 20_000
 #: Records that the tests of the index train on.
 SAMPLE_RECORDS = 3_000
 VOCABULARY, DIMENSIONS, WALKS, WALK_LENGTH, WINDOW, NEGATIVES, RATE = 1 << 14, 32, 3, 8, 1, 4, 0.05
+#: Pairs of a step, whose vectors move together; a step has under twice as many, and their negatives must fit the vocabulary.
+PAIRS_TOGETHER = 2048
 #: The cosine at which two surnames must still meet, and the chance of it: one slip in a surname of usual length leaves 0.6, a swap a little less.
 SLIP_COSINE, RECALL = 0.55, 0.95
 #: Records of a firm that need no planes of the surname (the given names alone split them); the most planes; planes that stand for a whole name.
@@ -79,10 +81,11 @@ def read_profiles(profiles: DataFrame, lexicon: frozenset[str]) -> DataFrame:
     return profiles.select(PROFILE_COLUMNS).mapInPandas(read, _PROFILE_SCHEMA)
 
 
-def tokens_of(attribute: str, value: str) -> list[int]:
+@lru_cache(maxsize=100_000)
+def tokens_of(attribute: str, value: str) -> tuple[int, ...]:
     """Hashed tokens of one attribute: padded trigrams of names and firms, words of titles, the whole of the rest."""
     if not value:
-        return []
+        return ()
     if attribute in ("surname", "employer"):
         padded = f"  {value.split()[0] if attribute == 'employer' else value} "
         parts = [padded[i : i + 3] for i in range(len(padded) - 2)]
@@ -90,7 +93,7 @@ def tokens_of(attribute: str, value: str) -> list[int]:
         parts = value.split()
     else:
         parts = [value]
-    return [zlib.crc32(f"{attribute}:{p}".encode()) % VOCABULARY for p in parts]
+    return tuple([zlib.crc32(f"{attribute}:{p}".encode()) % VOCABULARY for p in parts])
 
 
 def choose_tables(planes: int, cosine: float = SLIP_COSINE, recall: float = RECALL) -> int:
@@ -184,7 +187,7 @@ def _offsets(lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
 
 def walk_tokens(records: list[dict[str, str]], rng: np.random.Generator) -> np.ndarray:
     """Tokens seen by random walks record -> attribute -> token -> record, one walk a line; all walkers step together."""
-    attributes = [own for r in records if (own := [ts for a in ATTRIBUTES if (ts := tokens_of(a, r.get(a) or ""))])]
+    attributes = [own for r in records if (own := [ts for a in ATTRIBUTES if (v := r.get(a)) and (ts := tokens_of(a, v))])]
     if not attributes:
         return np.zeros((0, WALK_LENGTH), dtype=np.int64)
     lists = [ts for own in attributes for ts in own]
@@ -205,26 +208,51 @@ def walk_tokens(records: list[dict[str, str]], rng: np.random.Generator) -> np.n
     return seen
 
 
-def train_vectors(records: list[dict[str, str]], frequencies: np.ndarray, seed: int = 5) -> TokenVectors:
-    """Skip-gram with negative sampling over the random walks."""
+def skip_gram(records: list[dict[str, str]], seed: int = 5) -> np.ndarray:
+    """Token vectors by skip-gram with negative sampling over the random walks; steps on ``PAIRS_TOGETHER`` pairs at once.
+
+    The tokens that the pairs of a step aren't near are a run of the vocabulary from a random start. Tokens stand there by their
+    hashes and pairs come in random order, so each pair still has ``NEGATIVES`` tokens, any one as likely as another; but none
+    comes twice in a step, so they are read and written as rows, without a search for those that are to be summed.
+    """
     rng = np.random.default_rng(seed)
-    vectors = rng.standard_normal((VOCABULARY, DIMENSIONS)) / np.sqrt(DIMENSIONS)
+    vectors = (rng.standard_normal((VOCABULARY, DIMENSIONS)) / np.sqrt(DIMENSIONS)).astype(np.float32)
     context = np.zeros_like(vectors)
-    weights = np.log((frequencies.sum() + 1) / (frequencies + 1)).clip(0.1).astype(np.float32)
     seen = walk_tokens(records, rng)
     steps = [d for d in range(-WINDOW, WINDOW + 1) if d]
-    pairs = np.concatenate([np.stack([seen[:, max(0, -d) : WALK_LENGTH - max(0, d)].ravel(), seen[:, max(0, d) : WALK_LENGTH - max(0, -d)].ravel()], axis=1) for d in steps])
-    if len(pairs):
-        for part in np.array_split(rng.permutation(len(pairs)), max(1, len(pairs) // 2048)):
-            center, near = pairs[part, 0], pairs[part, 1]
-            targets = np.concatenate([near[:, None], rng.integers(VOCABULARY, size=(len(part), NEGATIVES))], axis=1)
-            label = np.zeros(targets.shape)
-            label[:, 0] = 1
-            v, u = vectors[center], context[targets]
-            g = (label - 1 / (1 + np.exp(-np.einsum("bd,bnd->bn", v, u)))) * RATE
-            np.add.at(context, targets, g[:, :, None] * v[:, None, :])
-            np.add.at(vectors, center, np.einsum("bn,bnd->bd", g, u))
-    model = TokenVectors(vectors.astype(np.float32), weights, {})
+    pairs = np.concatenate([np.stack([seen[:, max(0, -d) : WALK_LENGTH - max(0, d)].ravel(), seen[:, max(0, d) : WALK_LENGTH - max(0, -d)].ravel()]) for d in steps], axis=1)
+    if not pairs.size:
+        return vectors
+    pairs = pairs[:, rng.permutation(pairs.shape[1])]
+    pull = lambda x: np.float32(RATE) / (1 + np.exp(x))
+    halves = np.arange(DIMENSIONS // 2)
+
+    def add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        # Two numbers at once, as one complex number; a token may come several times.
+        np.add.at(table.view(np.complex64).reshape(-1), (rows[:, None] * (DIMENSIONS // 2) + halves).reshape(-1), values.view(np.complex64).reshape(-1))
+
+    for center, near in np.array_split(pairs, max(1, pairs.shape[1] // PAIRS_TOGETHER), axis=1):
+        start, n = int(rng.integers(VOCABULARY)), NEGATIVES * len(center)
+        over = max(0, start + n - VOCABULARY)
+        v, u = vectors[center], context[near]
+        w = np.concatenate([context[start : start + n], context[:over]]).reshape(NEGATIVES, len(center), DIMENSIONS)
+        g, h = pull(np.einsum("bd,bd->b", v, u))[:, None], -pull(-np.einsum("bd,nbd->nb", v, w))
+        away = (h[:, :, None] * v).reshape(n, DIMENSIONS)
+        context[start : start + n] += away[: n - over]
+        context[:over] += away[n - over :]
+        add(context, near, g * v)
+        add(vectors, center, g * u + np.einsum("nb,nbd->bd", h, w))
+    return vectors
+
+
+def token_weights(frequencies: np.ndarray) -> np.ndarray:
+    """Rare tokens tell more than frequent ones."""
+    return np.log((frequencies.sum() + 1) / (frequencies + 1)).clip(0.1).astype(np.float32)
+
+
+def train_vectors(records: list[dict[str, str]], frequencies: np.ndarray, seed: int = 5) -> TokenVectors:
+    """Vectors and means of these records alone."""
+    model = TokenVectors(skip_gram(records, seed), token_weights(frequencies), {})
     for a in ATTRIBUTES:
         own = model.attribute_vectors(a, [r.get(a) or "" for r in records])
         present = np.abs(own).sum(axis=1) > 0
@@ -232,9 +260,15 @@ def train_vectors(records: list[dict[str, str]], frequencies: np.ndarray, seed:
     return model
 
 
-def token_frequencies(records: DataFrame) -> np.ndarray:
-    """How many records hold each hashed token, over all records: distinct values are counted first, and at most VOCABULARY
-    numbers come to the driver."""
+def count_values(records: DataFrame) -> DataFrame:
+    """(attribute, value, n): in how many records each value of an attribute stands."""
+    values = records.select(F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in ATTRIBUTES]))).where("value <> ''")
+    return values.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_frequencies(records: DataFrame, values: DataFrame | None = None) -> np.ndarray:
+    """How many records hold each hashed token, over all records: distinct values are counted first (``values``, if it is done),
+    and at most VOCABULARY numbers come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(VOCABULARY, dtype=np.int64)
@@ -245,8 +279,7 @@ def token_frequencies(records: DataFrame) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"token": at, "n": sums[at]})
 
-    values = records.select(F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in ATTRIBUTES]))).where("value <> ''")
-    counts = values.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n")).mapInPandas(count, "token long, n long")
+    counts = (count_values(records) if values is None else values).mapInPandas(count, "token long, n long")
     out = np.zeros(VOCABULARY)
     for r in counts.groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[r["token"]] = r["n"]
@@ -277,35 +310,42 @@ def with_cosines(pairs: DataFrame, model: TokenVectors) -> DataFrame:
     return pairs.withColumn("cosine", cosines("same_address", F.expr("size(p.addresses) > 0"), F.expr("q.address is not null"), *[f"{s}.{a}" for s in "pq" for a in ATTRIBUTES]))
 
 
-def train_all(records: DataFrame, frequencies: np.ndarray, together: int = RECORDS_TOGETHER) -> TokenVectors:
+def train_all(records: DataFrame, frequencies: np.ndarray, together: int = RECORDS_TOGETHER, values: DataFrame | None = None) -> TokenVectors:
     """``train_vectors`` over all records: shares of about ``together`` records, by a hash, are walked and trained side by side
     from the same start, and the vectors of a token are averaged over the shares that hold it, weighted by its records there.
-    A vector a token comes to the driver, whatever the number of shares."""
+    The means are those of all records, by their distinct values. A vector a token comes to the driver, whatever the number of shares."""
     shares = max(1, math.ceil(records.count() / together))
     placed = records.select(F.pmod(F.xxhash64(*ATTRIBUTES), F.lit(shares)).alias("share"), *ATTRIBUTES)
 
     def train(b: pd.DataFrame) -> pd.DataFrame:
-        own = b[list(ATTRIBUTES)].sort_values(list(ATTRIBUTES)).to_dict("records")
-        held = np.bincount([t for r in own for a in ATTRIBUTES for t in set(tokens_of(a, r[a] or ""))], minlength=VOCABULARY)
+        held = np.zeros(VOCABULARY, dtype=np.int64)
+        for a in ATTRIBUTES:
+            for v, n in b[a].value_counts().items():
+                held[list(set(tokens_of(a, v)))] += n
         at = np.flatnonzero(held)
-        return pd.DataFrame({"token": at, "n": held[at], "v": list(train_vectors(own, frequencies).vectors[at])})
+        own = [dict(zip(ATTRIBUTES, r)) for r in sorted(zip(*(b[a].fillna("").tolist() for a in ATTRIBUTES)))]
+        return pd.DataFrame({"token": at, "share": b["share"].iloc[0], "n": held[at], "v": list(skip_gram(own)[at])})
 
     def average(b: pd.DataFrame) -> pd.DataFrame:
-        out = [(t, np.average(np.stack(g["v"].tolist()), axis=0, weights=g["n"])) for t, g in b.sort_values(["token", "n"]).groupby("token")]
-        return pd.DataFrame(out, columns=["token", "v"])
-
-    trained = placed.groupBy("share").applyInPandas(train, "token long, n long, v array<float>")
-    model = train_vectors([], frequencies)
+        b = b.sort_values(["token", "share"])
+        token, n = b["token"].to_numpy(), b["n"].to_numpy()
+        first = np.flatnonzero(np.diff(token, prepend=-1))
+        sums = np.add.reduceat(np.stack(b["v"].tolist()) * n[:, None], first, axis=0)
+        return pd.DataFrame({"token": token[first], "v": list((sums / np.add.reduceat(n, first)[:, None]).astype(np.float32))})
+
+    trained = placed.groupBy("share").applyInPandas(train, "token long, share long, n long, v array<float>")
+    model = TokenVectors(skip_gram([]), token_weights(frequencies), {a: np.zeros(DIMENSIONS, dtype=np.float32) for a in ATTRIBUTES})
     for r in trained.groupBy(F.pmod("token", F.lit(64))).applyInPandas(average, "token long, v array<float>").collect():
         model.vectors[r["token"]] = r["v"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [model.attribute_vectors(a, [v or "" for v in b[a].tolist()]).astype(float) for a in ATTRIBUTES]
-            yield pd.DataFrame({"attribute": ATTRIBUTES, "n": [int((np.abs(x).sum(axis=1) > 0).sum()) for x in own], "v": [x.sum(axis=0) for x in own]})
+            for a, part in b.groupby("attribute"):
+                own, n = model.attribute_vectors(a, part["value"].tolist()).astype(float), part["n"].to_numpy()
+                yield pd.DataFrame({"attribute": [a], "n": [n[np.abs(own).sum(axis=1) > 0].sum()], "v": [n @ own]})
 
     columns = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMENSIONS)]
-    for r in records.select(*ATTRIBUTES).mapInPandas(sums, "attribute string, n long, v array<double>").groupBy("attribute").agg(F.sum("n").alias("n"), *columns).collect():
+    for r in (count_values(records) if values is None else values).mapInPandas(sums, "attribute string, n long, v array<double>").groupBy("attribute").agg(F.sum("n").alias("n"), *columns).collect():
         model.means[r["attribute"]] = np.array([r[f"v{i}"] for i in range(DIMENSIONS)], dtype=np.float32) / np.float32(max(1, r["n"]))
     return model
 
@@ -333,8 +373,8 @@ def judge_pairs(people: DataFrame, companies: DataFrame, profiles: DataFrame) ->
     )
     roster = checkpoint(read_profiles(profiles, lexicon).withColumnRenamed("title_key", "title").withColumn("address", F.when(F.col("address") != "", F.xxhash64("address"))))
     records = persons.select(*ATTRIBUTES).unionByName(roster.select(*ATTRIBUTES))
-    frequencies = token_frequencies(records)
-    model = train_all(records, frequencies)
+    values = checkpoint(count_values(records))
+    model = train_all(records, token_frequencies(records, values), values=values)
     sizes = checkpoint(persons.where("employer <> ''").groupBy("employer").agg(F.count(F.lit(1)).alias("n")).select("employer", F.xxhash64("employer").alias("firm"), planes_of(F.col("n")).alias("planes")))
     near = _near(named, roster, sizes)
     stand_a = persons.join(broadcast_if_small(sizes), "employer", "left").withColumn("free", F.lit(True))

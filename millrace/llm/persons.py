@@ -156,10 +156,10 @@ def split_name(name: str | None, places: tuple[str, ...] = (), given_names: froz
     if len(words[0]) > 2 and not known(words[0]):
         near = lambda w: known(w) or _near_given(w, given_names)
         # Surname first: a given name, an initial or a cut form comes behind it.
-        cut_last = re.search(rf"\b{words[-1]}\.", fold(text)) is not None and len(words[-1]) <= 4
+        cut_last = lambda: len(words[-1]) <= 4 and f"{words[-1]}." in fold(text) and re.search(rf"\b{words[-1]}\.", fold(text)) is not None
         if len(words) > 2 and near(words[1]) and not near(words[0]):
             return words[1], " ".join(words[2:]), words[0]
-        if len(words) == 2 and (known(words[1]) or len(words[1]) == 1 or cut_last):
+        if len(words) == 2 and (known(words[1]) or len(words[1]) == 1 or cut_last()):
             return words[1], "", words[0]
     return words[0], " ".join(words[1:-1]), words[-1]
 
